@@ -272,7 +272,8 @@ def _settle(kind: Kind, blocks: int):
         key, ids, first, count, check, size = unpack(group.column("blob").to_pylist(), (*REQUEST, "<u4"))
         body = b"".join(zstandard.decompress(x) for x in group.column("texts").to_pylist())
         ends = np.cumsum(size.astype(np.int64))
-        order = np.lexsort((first, ids))
+        order = np.lexsort((check, first, ids))
+        order = order[_groups(ids[order], first[order], check[order])]  # rows that repeat are one
         texts = [body[ends[k] - size[k] : ends[k]] for k in order.tolist()]
         ids, first, count, check = (a[order] for a in (ids, first, count, check))
         mask = np.array(kind.decide(ids, first.astype(np.int64), count.astype(np.int64), texts), np.uint64)

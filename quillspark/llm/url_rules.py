@@ -5,7 +5,8 @@ subdomains share a prefix, and the path follows. A url is looked up once for eac
 fits if its key is a prefix of the url's, which is an interval of keys, from the key itself to the key and a byte above all
 UTF-8. Such intervals nest or are apart. Urls and the ends of intervals are sorted together; at every end the row says which
 rule is then on top of the stack (at a start the rule, at an end the rule around it), so the last such row before a url names
-its innermost rule. Of the rules found for its suffixes the longest wins.
+its innermost rule. Of the rules found for its suffixes the longest wins (of
+equally long ones that with the longer host).
 
 Only distinct (host, path) pairs are sorted, and only suffixes that a rule has. A suffix such as ``com.`` can hold most rows, so
 they are dealt to ``SALTS`` sorts, each with all the ends of that suffix's rules.
