@@ -150,9 +150,11 @@ def fit_lines(corpus: list[str]) -> Model:
 
 
 def fit(docs: DataFrame) -> Model:
-    texts = documents(docs).where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    docs = documents(docs).where("text is not null")
+    # ids alone are sorted and broadcast, SAMPLE of them; only the chosen documents' lines leave their tasks
+    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     lines = F.slice(F.split(F.substring("text", 1, 16384), "\n"), 1, LINES)
-    return fit_lines(sorted(x for r in texts.select(lines).collect() for x in r[0]))
+    return fit_lines(sorted(x for r in docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(lines).collect() for x in r[0]))
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
