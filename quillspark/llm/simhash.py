@@ -9,6 +9,12 @@ the ring beyond it. Inside a shard a vantage-point tree in memory finds the exac
 that the triangle bound can't exclude, in whole arrays of queries. Only a spanning forest of the pairs found leaves a shard.
 Components come from alternating large-star and small-star steps, each cut by a table in the shared folder.
 
+``near_dedup``, the stage for corpora, wants texts whose five-word shingles have a Jaccard similarity of 0.8 or more. That is
+about 10 of 64 bits, where no exact search prunes, so it widens the same search: fingerprints of distinct shingles have
+``WIDE_WORDS`` words of 64 bits, of which ``WIDE_RADIUS`` bits differ at a similarity of some 0.79, and the branches are
+those of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed, in which a pair of similarity 0.8 meets with a
+probability of 0.94 and one of 0.85 of 0.98. Pairs that meet are told by their whole fingerprints.
+
 Equal fingerprints are one node from the start, so thousands of copies cost one row. Nulls: a null text has no words and
 the fingerprint zero; a null doc_id gets its fingerprint's component. Repeated rows get equal results.
 """
@@ -22,23 +28,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, materialize, rows_of, table
+from quillspark.llm.common import documents, materialize, mixed, rows_of, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BRANCH, LEAF, SHARD_BITS = 50_000, 64, 7
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS = 5, 4, 42, 28, 14
+_DRAWN = np.stack([np.random.default_rng(k).permutation(64 * WIDE_WORDS)[:TREE_BITS] for k in range(TREES)])
 
 
-def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
+def shingles(text: bytes | None, k: int) -> np.ndarray:
+    """XXH64 of each ``k``-word shingle of the lower-cased text; of all words if they are fewer."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= k:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
+    if len(words) <= k:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are 1 in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 4096):
         bits = np.unpackbits(h[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -46,6 +59,31 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
+    return majority(shingles(text, k))
+
+
+def wide_fingerprint(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the wide fingerprint, and its branch in each tree."""
+    h = np.unique(shingles(text, WIDE_SHINGLE))
+    words = np.array([majority(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1))) for k in range(WIDE_WORDS)], np.uint64)
+    bits = np.unpackbits(words.view(np.uint8), bitorder="little")
+    return words, bits[_DRAWN] @ (1 << np.arange(TREE_BITS))
+
+
+def _wide(batches):
+    for batch in batches:
+        ids, words, leaves = [], [], []
+        for doc_id, text in rows_of(batch):
+            w, leaf = wide_fingerprint(text)
+            ids.append(doc_id)
+            words.append(w)
+            leaves.append(leaf)
+        w = np.array(words, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+        columns = [pa.array(ids, pa.int64()), *(pa.array(w[:, k]) for k in range(WIDE_WORDS)), pa.array([x.tolist() for x in leaves], pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"fp{k}" for k in range(WIDE_WORDS)), "leaves"])
+
+
 def _fingerprints(batches):
     for batch in batches:
         ids, prints = [], []
@@ -88,16 +126,21 @@ class _Forest:
         self.label = move[self.label]
 
 
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints, whose words are the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
 def _search(points: np.ndarray, own: np.ndarray, asked: np.ndarray, radius: int, forest: _Forest) -> None:
     """Union the points ``asked`` with those of the tree over ``own`` within the radius."""
     if not len(own) or not len(asked):
         return
     if len(own) > LEAF:
         vantage = points[own[len(own) // 2]]
-        d = np.bitwise_count(points[own] ^ vantage)
+        d = _far(points[own], vantage)
         edge = int(np.median(d))
         if edge < d.max():
-            q = np.bitwise_count(points[asked] ^ vantage).astype(np.int64)
+            q = _far(points[asked], vantage)
             _search(points, own[d <= edge], asked[q <= edge + radius], radius, forest)
             _search(points, own[d > edge], asked[q > edge - radius], radius, forest)
             return
@@ -105,16 +148,16 @@ def _search(points: np.ndarray, own: np.ndarray, asked: np.ndarray, radius: int,
         leaf = own[at : at + LEAF]
         for to in range(0, len(asked), 4096):
             some = asked[to : to + 4096]
-            a, b = np.nonzero(np.bitwise_count(points[some][:, None] ^ points[leaf][None, :]) <= radius)
+            a, b = np.nonzero(_far(points[some][:, None], points[leaf][None, :]) <= radius)
             forest.union(some[a], leaf[b])
 
 
 def links_in(points: np.ndarray, blocks: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each point, the position of the smallest point it is linked with among those of its block."""
+    """For each point (a row of words), the position of the smallest point it is linked with among those of its block."""
     forest, order = _Forest(len(points)), np.argsort(blocks, kind="stable")
     for own in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
         if 1 < len(own) <= LEAF:
-            a, b = np.nonzero(np.triu(np.bitwise_count(points[own][:, None] ^ points[own][None, :]) <= radius, 1))
+            a, b = np.nonzero(np.triu(_far(points[own][:, None], points[own][None, :]) <= radius, 1))
             if len(a):
                 forest.union(own[a], own[b])
         elif len(own) > LEAF:
@@ -122,10 +165,11 @@ def links_in(points: np.ndarray, blocks: np.ndarray, radius: int = RADIUS) -> np
     return forest.label
 
 
-def _shard(radius: int):
+def _shard(radius: int, columns: tuple[str, ...] = ("fp",)):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("rep", ignore_index=True)
-        label = links_in(frame["fp"].to_numpy().view(np.uint64), frame["leaf"].to_numpy(), radius)
+        points = np.stack([frame[c].to_numpy() for c in columns], 1).view(np.uint64)
+        label = links_in(points, frame["leaf"].to_numpy(), radius)
         rep = frame["rep"].to_numpy()
         linked = label != np.arange(len(label))
         return pd.DataFrame({"u": rep[linked], "v": rep[label[linked]]})
@@ -181,9 +225,20 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id, with all its columns."""
-    keep = near_groups(docs, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id"))
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, component_id of each document: components of texts whose five-word shingles are alike."""
+    words = [f"fp{k}" for k in range(WIDE_WORDS)]
+    prints = materialize(documents(docs).mapInArrow(_wide, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", leaves array<int>"))
+    reps = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), F.any_value("leaves").alias("leaves")))
+    rows = reps.where("rep is not null").select(*words, "rep", F.posexplode("leaves").alias("tree", "leaf"))
+    found = components(rows.groupBy("tree", (F.col("leaf") % (1 << SHARD_BITS)).alias("shard")).applyInPandas(_shard(WIDE_RADIUS, tuple(words)), "u long, v long"))
+    named = reps.join(found, reps["rep"] == found["node"], "left").select(*words, F.coalesce("root", "rep").alias("component_id"))
+    return prints.join(named, words).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """The documents that stay: of each component of similar texts the one with the smallest doc_id, with all its columns."""
+    keep = similar_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id"))
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
 
 

@@ -190,3 +190,22 @@ def test_links_of_dense_clusters(spark, branch):
     found = {r.node: r.root for r in simhash.components(simhash.links(reps, branch=branch)).collect()}
     want = _components({k: prints[k] for k in first.values()}, simhash.RADIUS)
     assert {k: found.get(k, k) for k in want} == want
+
+
+def test_similar_texts_are_found(spark):
+    """Texts whose five-word shingles are 0.85 alike or more meet; others don't."""
+    r = random.Random(9)
+    data, pairs = [], []
+    for k in range(120):
+        w = [f"w{r.randrange(900)}" for _ in range(r.randrange(120, 400))]
+        other = list(w)
+        for at in range(r.randrange(5), len(w), r.choice([12, 70, 100, 150])):
+            other[at] = f"w{r.randrange(900)}"
+        s, t = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, other))
+        pairs.append((2 * k, len(s & t) / len(s | t)))
+        data += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other).upper())]
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    near = [got[k + 1] == k for k, j in pairs if j >= 0.85]
+    assert len(near) > 30 and sum(near) / len(near) >= 0.9
+    assert not any(got[k + 1] == k for k, j in pairs if j < 0.6)
+    assert len(simhash.near_dedup(docs(spark)).collect()) < len(rows()) and simhash.near_dedup(docs(spark, [])).count() == 0
