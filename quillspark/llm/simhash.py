@@ -221,7 +221,8 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = materialize(fingerprints(docs))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(links(reps.where("rep is not null"), radius))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    # written, so that the join below can split the partition of a fingerprint that many documents share
+    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -232,7 +233,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     reps = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), F.any_value("leaves").alias("leaves")))
     rows = reps.where("rep is not null").select(*words, "rep", F.posexplode("leaves").alias("tree", "leaf"))
     found = components(rows.groupBy("tree", (F.col("leaf") % (1 << SHARD_BITS)).alias("shard")).applyInPandas(_shard(WIDE_RADIUS, tuple(words)), "u long, v long"))
-    named = reps.join(found, reps["rep"] == found["node"], "left").select(*words, F.coalesce("root", "rep").alias("component_id"))
+    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*words, F.coalesce("root", "rep").alias("component_id")))
     return prints.join(named, words).select("doc_id", "component_id")
 
 
