@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import WORD, materialize, table
 
-WEIGHTS, SHARE, EPOCHS, BLOCK, RUN, SEED = (5, 2, 1), 1.5, 2, 256, 1 << 16, "mix-1"
+WEIGHTS, SHARE, EPOCHS, BLOCK, RUN, SEED = (5, 2, 1), 1.5, 2, 256, 1 << 12, "mix-1"
 
 
 def sized(docs: DataFrame) -> DataFrame:
