@@ -4,6 +4,8 @@
    segments of a task only the first document's go on; the later ones are known to be repeats.
 2. Names meet by minimizer. Later occurrences of a segment are repeats; minimizers with several different segments are
    contested: some of their windows may be equal.
+   A minimizer with over ``hot`` different segments (a phrase that very many documents hold) is not sent to one shard: its
+   segments are cut into single windows, each a segment of its own that goes to the shard of its own hash.
 3. The first occurrence of each contested segment is sent, with its text, to its minimizer's shard, where the operator's own
    method (``decide``) finds which of its windows start earlier in another one.
 4. Documents meet the verdicts on them, and lose what repeated windows cover.
@@ -31,6 +33,7 @@ from quillspark.llm.windows import segments, twice
 
 LAST_ID = (1 << 63) - 1
 FLUSH = 12 << 20  # bytes of text in a task's memory at a time
+HOT = 0x80  # in a request's number of windows: its minimizer is hot
 ENTRY = ("<u8", "<u8", "<i8", "<u4", "u1")  # key, name, id, first window, windows
 VERDICT = ("<i8", "<u4", "<u8", "<u4")  # id, first window, mask of the windows, check
 REQUEST = ("<u8", "<i8", "<u4", "u1", "<u4")  # key, id, first window, windows, check
@@ -48,6 +51,7 @@ class Kind:
     gram: int
     within: bool  # a document's own earlier windows count too
     decide: Callable
+    hot: int = 1000
 
 
 def pack(arrays) -> bytes:
@@ -207,6 +211,8 @@ def _meet(kind: Kind, blocks: int):
         which = np.cumsum(new_key) - 1
         contested = ((np.bincount(which, _groups(key, name)) > 1)[which] | (name >> np.uint64(48) > 0)) & ~later
         rows = known + _verdicts(entries, later, blocks)
+        hot = (np.bincount(which, contested) > kind.hot)[which]
+        count = np.where(hot, count | HOT, count).astype("u1")
         arrays = [a[contested] for a in (key, ids, first, count, (name & np.uint64(0xFFFFFFFF)).astype("<u4"))]
         rows += [(2, b, blob) for b, blob in _packed(ids[contested] % blocks, arrays)]
         return pa.Table.from_batches([_batch(rows)])
@@ -239,6 +245,14 @@ def _same(kind: Kind, tokens: Tokens, first, count, check):
     return fits
 
 
+def _single(kind: Kind, tokens: Tokens, ids, first, count, which):
+    """The windows of segments, each as a segment with its own name for a key."""
+    own, n = np.flatnonzero(which), count[which].astype(np.int64)
+    at = np.repeat(first[own].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    name = tokens.name(*prefix_hash(tokens.data), at, np.ones(len(at), np.int64), kind.window)
+    return [(k, ids[0], a, 1, k & np.uint64(0xFFFFFFFF), tokens.span(a, kind.window)) for k, a in zip(name, at.tolist())]
+
+
 def _fetch(kind: Kind, shards: int):
     """The texts of contested segments, by shard."""
 
@@ -248,8 +262,11 @@ def _fetch(kind: Kind, shards: int):
             for _, text, (key, ids, first, count, check), again in _rows_with(docs, REQUEST, asked.column("blob").to_pylist()):
                 if len(key):
                     tokens = Tokens(text, kind.words)
+                    hot, count = count & HOT > 0, count & ~np.uint8(HOT)
                     keep = _same(kind, tokens, first, count.astype(np.int64), check) if again else np.ones(len(key), bool)
-                    for k in np.flatnonzero(keep).tolist():
+                    if (hot & keep).any():
+                        found += _single(kind, tokens, ids, first, count, hot & keep)
+                    for k in np.flatnonzero(keep & ~hot).tolist():
                         found.append((key[k], ids[k], first[k], count[k], check[k], tokens.span(int(first[k]), int(count[k]) + kind.window - 1)))
         rows = []
         if found:

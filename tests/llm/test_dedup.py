@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from dataclasses import replace
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import exact_dedup, simhash, substring, suffix_array
-from quillspark.llm.repeats import pack, unpack
+from quillspark.llm.repeats import pack, unpack, without_repeats
 from quillspark.llm.windows import segments, sliding_min
 from tests.llm.helpers import docs, rows, tokens
 
@@ -69,6 +70,17 @@ def test_repeats_of_periodic_and_overlapping_texts(spark, name):
     assert {r.doc_id: tuple(r)[1:5] for r in got} == {d: v for (d, _), v in want.items()}
 
 
+@pytest.mark.parametrize("kind", [substring.KIND, suffix_array.KIND])
+def test_hot_minimizers_give_the_same(spark, kind):
+    r = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(10)) + " and a phrase that all of the documents hold"
+    own = [" ".join(f"w{r.randrange(40)}" for _ in range(30)) for _ in range(12)]
+    data = [(k, f"{r.choice(own)} {common} {r.choice(own)}") for k in range(40)] + [(3, "again " + common)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    rows = [sorted(map(str, without_repeats(d, replace(kind, hot=hot)).drop("kept").collect())) for hot in (1, 1000)]
+    assert rows[0] == rows[1]
+
+
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 9))
 def test_sliding_min(values, width):
     v = np.array(values, np.uint64)
