@@ -52,6 +52,7 @@ class Kind:
     within: bool  # a document's own earlier windows count too
     decide: Callable
     hot: int = 1000
+    shards: int = 16  # for each shuffle partition; a block sends a packed row to each shard it has segments for
 
 
 def pack(arrays) -> bytes:
@@ -352,7 +353,7 @@ def without_repeats(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept_sha256, kept (the text that is left) of each document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks, buckets, shards = _prime(4 * parts + 1), 4 * parts, 16 * parts
+    blocks, buckets, shards = _prime(4 * parts + 1), 4 * parts, kind.shards * parts
     docs = documents(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), F.col("text").cast("binary").alias("text"), "doc_id")
     names = docs.select("id", "text").mapInArrow(_cut(kind, buckets, blocks), _ROWS)
     # known verdicts go to a bucket by their block's number

@@ -99,7 +99,7 @@ def decide(ids, firsts, counts, texts) -> list[int]:
     return masks
 
 
-KIND = Kind(words=False, window=WINDOW, gram=GRAM, within=True, decide=decide)
+KIND = Kind(words=False, window=WINDOW, gram=GRAM, within=True, decide=decide, shards=2)
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
