@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import ordered, query_filter
-from quillspark.plans import more
+from quillspark.plans import more, scalars
 from quillspark.sources import sinks
 from quillspark.sources.tables import TABLES, load
 from quillspark.streaming import events as live
@@ -245,6 +245,7 @@ FRAMES = {
     "filter_language_has": (_sessions("has:errors"), _filtered("errors > 0")),
     "filter_language_range": (_sessions("minTokens:3k maxMessages:70"), _filtered("total_tokens >= 3000 and messages <= 70")),
     "filter_language_unknown_key": (_sessions("colour:red mincost:many channel:chat"), _filtered("channel = 'chat'")),
+    **scalars.FRAMES,
 }
 
 
