@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import ordered, query_filter
-from quillspark.plans import more, scalars
+from quillspark.plans import content, more, scalars, secondary
 from quillspark.sources import sinks
 from quillspark.sources.tables import TABLES, load
 from quillspark.streaming import events as live
@@ -246,12 +246,13 @@ FRAMES = {
     "filter_language_range": (_sessions("minTokens:3k maxMessages:70"), _filtered("total_tokens >= 3000 and messages <= 70")),
     "filter_language_unknown_key": (_sessions("colour:red mincost:many channel:chat"), _filtered("channel = 'chat'")),
     **scalars.FRAMES,
+    **content.FRAMES,
 }
 
 
 def queries() -> dict:
-    return {k: _statement(v) for k, v in (BOTH | more.BOTH).items()} | {k: v[0] for k, v in FRAMES.items()}
+    return {k: _statement(v) for k, v in (BOTH | more.BOTH | secondary.BOTH).items()} | {k: v[0] for k, v in FRAMES.items()}
 
 
 def oracles() -> dict:
-    return {k: _say(v, 1).replace("1.0D", "1.0::double").replace("0.0D", "0.0::double").replace("4.0D", "4.0").replace("3.0D", "3.0").replace("1000.0D", "1000.0").replace("842D", "842") for k, v in (BOTH | more.BOTH).items()} | {k: v[1] for k, v in FRAMES.items() if v[1]}
+    return {k: _say(v, 1).replace("1.0D", "1.0::double").replace("0.0D", "0.0::double").replace("4.0D", "4.0").replace("3.0D", "3.0").replace("1000.0D", "1000.0").replace("0.35D", "0.35").replace("20000.0D", "20000.0").replace("842D", "842") for k, v in (BOTH | more.BOTH | secondary.BOTH).items()} | {k: v[1] for k, v in FRAMES.items() if v[1]}
