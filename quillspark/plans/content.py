@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import content as T
-from quillspark.operators import chunking, stateful
+from quillspark.functions import schedules
+from quillspark.operators import chunking, matching, stateful
 from quillspark.sources.tables import load
 
 C = F.col
@@ -77,6 +78,26 @@ def coalesced_blocks(spark, sf_dir):
     return stateful.coalesce_blocks(c, "conv_id", "turn", "n", 600).select("conv_id", "turn", "block")
 
 
+def entity_merge_full(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.when(C("doc_id") % 50 > 0, F.md5(F.substring("text", 1, 12))).alias("entity"), "doc_id", F.when(C("doc_id") % 3 > 0, C("lang")).alias("lang"),
+                                                F.when(C("doc_id") % 2 == 0, C("source")).alias("source"), F.substring("text", 1, (C("doc_id") % 40).cast("int")).alias("note"), (C("doc_id") % 7 == 0).alias("detail"))
+    return matching.merge_sightings(d, "entity", "doc_id", "detail", ["lang", "source"], ["note"])
+
+
+def cron_next_runs(spark, sf_dir):
+    expr = F.when(C("event_id") % 3 == 0, F.lit("30 6 * * *")).when(C("event_id") % 3 == 1, F.lit("*/15 * * * *")).otherwise(F.lit("bad"))
+    return load(spark, sf_dir, "events").select("event_id", schedules.next_cron_ms()(expr, F.unix_millis(C("ts").cast("timestamp"))).alias("next_ms"))
+
+
+def visible_page_text(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", F.md5(schedules.visible_text()("html")).alias("text_md5"))
+
+
+def code_region_counts(spark, sf_dir):
+    text = F.concat(F.lit("see `a` and\n```py\n"), F.coalesce("text", F.lit("")), F.lit("\n```\nend"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(schedules.code_regions()(text)).alias("regions"))
+
+
 FRAMES = {
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
@@ -87,6 +108,13 @@ FRAMES = {
  when regexp_matches(lower(text), '\+\d{10,}|[\w.-]+@[\w.-]+\.\w+|is called|named') then 'entity' when regexp_matches(lower(text), '\b(is|are|has|have)\b') then 'fact' else 'other' end as category from conversations"""),
     "keyword_counts": (keyword_counts, "with w as (select conv_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3 and not regexp_full_match(w, '[0-9]+') and not list_contains([" + ", ".join(f"'{w}'" for w in T.STOP) + "], w)))) as word from conversations) select word, count(*) as n, count(distinct conv_id) as conversations from w group by 1"),
     "model_sizes": (model_sizes, """select p_partkey, p_size % 9 + 0.5::double as billions, p_size % 2 = 1 as truthy, '{"a":' || (p_size + 1) || ',"z":' || p_size || '}' as json from part"""),
+    "entity_merge_full": (entity_merge_full, """with d as (select case when doc_id % 50 > 0 then md5(substr(text, 1, 12)) end as entity, doc_id, case when doc_id % 3 > 0 then lang end as lang, case when doc_id % 2 = 0 then source end as source, nullif(substr(text, 1, cast(doc_id % 40 as int)), '') as note, doc_id % 7 = 0 as detail from documents),
+o as (select *, min(doc_id) filter (detail) over (partition by entity) as op from d where entity is not null)
+select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) filter (lang is not null)) as lang, coalesce(min(source) filter (doc_id = op), arg_min(source, doc_id) filter (source is not null)) as source,
+ case when min(note) filter (doc_id = op) is not null then arg_max(note, {'n': length(note), 's': -doc_id}) filter (doc_id >= op and note is not null) else arg_max(note, {'n': length(note), 's': -doc_id}) filter (note is not null) end as note,
+ bool_or(detail) as detail, count(*) as sightings from o group by 1 union all select entity, lang, source, coalesce(note, ''), detail, 1 from d where entity is null"""),
+    "cron_next_runs": (cron_next_runs, "select event_id, case event_id % 3 when 0 then case when ts < date_trunc('day', ts) + interval '390 minutes' then epoch_ms(date_trunc('day', ts)) + 23400000 else epoch_ms(date_trunc('day', ts)) + 109800000 end when 1 then (epoch_ms(ts) // 900000 + 1) * 900000 end as next_ms from events"),
+    "code_region_counts": (code_region_counts, "select conv_id, turn, cast(2 as int) as regions from conversations"), "visible_page_text": (visible_page_text, None),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
     "fixed_window_limit": (fixed_window_limit, None), "sliding_lockout": (sliding_lockout, None), "coalesced_blocks": (coalesced_blocks, None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,42 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
     """Finished runs of JSONL run logs; other lines are dropped."""
     row = F.from_json("value", "ts bigint, jobId string, action string, status string, durationMs bigint, model string, provider string, usage struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint>")
     return spark.read.option("recursiveFileLookup", True).text(path).select(row.alias("r")).where("r.action = 'finished' and r.ts is not null and trim(r.jobId) <> ''").select("r.*")
+
+
+def latest_log(spark: SparkSession, folder: str) -> DataFrame:
+    """path and mtime of the newest ``*-YYYY-MM-DD.log`` of a folder; reads no content."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(folder).select("path", F.col("modificationTime").alias("mtime"))
+    dated = found.where(F.col("path").rlike(r"-\d{4}-\d{2}-\d{2}\.log$"))
+    return dated.agg(F.max(F.struct("mtime", "path")).alias("r")).where("r is not null").select("r.path", "r.mtime")
+
+
+def log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of the log files that arrive in a folder: the checkpoint is the cursor."""
+    return spark.readStream.option("pathGlobFilter", "*.log").text(folder).select(F.col("value").alias("line"))
+
+
+def pending_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queued deliveries (a JSON file each), oldest first; malformed files are skipped."""
+    schema = "id string, channel string, to string, enqueuedAt bigint, retryCount int, _bad string"
+    rows = spark.read.schema(schema).option("pathGlobFilter", "*.json").option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(folder)
+    return rows.where("_bad is null and id is not null and enqueuedAt is not null").drop("_bad").orderBy("enqueuedAt", "id")
+
+
+def test_reports(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each test of JSON test reports: file, title, status, ms."""
+    schema = "testResults array<struct<name: string, assertionResults: array<struct<fullName: string, status: string, duration: double>>>>"
+    files = spark.read.schema(schema).option("multiLine", True).json(folder).select(F.explode("testResults").alias("f"))
+    return files.select(F.col("f.name").alias("file"), F.explode("f.assertionResults").alias("t")).select("file", F.col("t.fullName").alias("title"), F.col("t.status").alias("status"), F.col("t.duration").alias("ms"))
+
+
+def cost_log(spark: SparkSession, path: str, provider: str) -> DataFrame:
+    """Daily costs by model of one provider, from a JSON list (or one record) of provider logs: day, model, cost."""
+    schema = "provider string, daily array<struct<date: string, modelBreakdowns: array<struct<modelName: string, cost: double>>>>"
+    days = spark.read.schema(schema).option("multiLine", True).json(path).where(F.col("provider") == provider).select(F.explode("daily").alias("d"))
+    return days.select(F.col("d.date").alias("day"), F.explode("d.modelBreakdowns").alias("m")).select("day", F.col("m.modelName").alias("model"), F.col("m.cost").alias("cost"))
+
+
+def all_stores(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Rows of several session stores, with the store each came from; most recent first."""
+    parts = [session_store(spark, p).withColumn("store", F.lit(p)) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy(F.col("updated_at").desc_nulls_last(), "key")
