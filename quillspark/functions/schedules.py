@@ -124,6 +124,71 @@ def visible_text_of(html: str) -> str:
     return " ".join(" ".join(parser.text).split())
 
 
+BLOCKS = "p div section article header footer table tr ul ol".split()
+
+
+class _Markdown(HTMLParser):
+    """Writes links, headings and list items as Markdown and blocks as lines. ``marks`` holds where each open link or heading began."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.marks, self.silent, self.title = [], [], 0, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "noscript"):
+            self.silent += 1
+        elif tag in ("a", "title", "li", "h1", "h2", "h3", "h4", "h5", "h6"):
+            self.marks.append((tag, len(self.out), dict(attrs).get("href") or ""))
+        elif tag in ("br", "hr"):
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "noscript"):
+            self.silent = max(0, self.silent - 1)
+        elif any(m[0] == tag for m in self.marks):
+            while self.marks[-1][0] != tag:
+                self.marks.pop()
+            _, at, href = self.marks.pop()
+            label = " ".join("".join(self.out[at:]).split())
+            del self.out[at:]
+            if tag == "title":
+                self.title = self.title or label
+            self.out.append(self._as(tag, label, href))
+        elif tag in BLOCKS:
+            self.out.append("\n")
+
+    @staticmethod
+    def _as(tag, label, href):
+        if tag == "a":
+            return f"[{label}]({href})" if label and href else label or href
+        if tag == "li":
+            return f"\n- {label}" if label else ""
+        return f"\n{'#' * int(tag[1])} {label}\n" if tag[0] == "h" else label
+
+    def handle_data(self, data):
+        if not self.silent:
+            self.out.append(data)
+
+
+def markdown_of(html: str) -> tuple[str | None, str]:
+    """The title and the Markdown of a page."""
+    parser = _Markdown()
+    parser.feed(html)
+    parser.close()
+    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"[ \t]+\n", "\n", "".join(parser.out).replace("\r", "")))
+    return parser.title, re.sub(r"\n{3,}", "\n\n", text).strip()
+
+
+def html_markdown():
+    """A pandas UDF: title and text of HTML as Markdown; null for null."""
+
+    @F.pandas_udf("title string, text string")
+    def run(html: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None, None) if h is None else markdown_of(h) for h in html], columns=["title", "text"])
+
+    return run
+
+
 def visible_text():
     """A pandas UDF: the text of HTML that a reader sees, without hidden elements (tag, attribute, class or style), comments and scripts."""
 

@@ -41,3 +41,40 @@ def html_text(c: Column) -> Column:
 
 def session_key(agent: Column, channel: Column, kind: Column, peer: Column) -> Column:
     return F.concat_ws(":", F.lit("agent"), F.lower(F.trim(agent)), F.lower(F.trim(channel)), kind, peer)
+
+
+#: What stands before a secret, the secret's characters, the fewest of them, and what ends it.
+ASSIGNED = [
+    (r"\b[A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)\b\s*[=:]\s*(?<q>[\"']?)", r"[^\s\"'\\]", 1, r"\k<q>"),
+    (r'"(?:apiKey|token|secret|password|passwd|accessToken|refreshToken)"\s*:\s*"', r'[^"]', 1, '"'),
+    (r"--(?:api[-_]?key|token|secret|password|passwd)\s+(?<q>[\"']?)", r"[^\s\"']", 1, r"\k<q>"),
+    (r"Authorization\s*[:=]\s*Bearer\s+", r"[A-Za-z0-9._\-+=]", 1, ""),
+    (r"\bBearer\s+", r"[A-Za-z0-9._\-+=]", 18, r"\b"),
+]
+#: What a key opens with (its pattern and length), its other characters and the fewest of them.
+OPENED = [
+    ("sk-", 3, "[A-Za-z0-9_-]", 8), ("ghp_", 4, "[A-Za-z0-9]", 20), ("xox[baprs]-", 5, "[A-Za-z0-9-]", 10), ("xapp-", 5, "[A-Za-z0-9-]", 10), ("gsk_", 4, "[A-Za-z0-9_-]", 10),
+    ("AIza", 4, r"[0-9A-Za-z\-_]", 20), ("pplx-", 5, "[A-Za-z0-9_-]", 10), ("npm_", 4, "[A-Za-z0-9]", 10),
+]
+PRIVATE = r"-----{} [A-Z ]*PRIVATE KEY-----"
+
+
+def redact_all(c: Column) -> Column:
+    """Secrets masked: under 18 characters as ``***``, others by their first six and last four; private keys keep their outer
+    lines. Short ones go first, so that a mask isn't masked again by its own rule."""
+    steps = []
+    for before, kind, least, after in ASSIGNED:
+        lead = f"(?<lead>{before})"
+        steps.append((rf"{lead}(?!{kind}{{18}}){kind}{{{least},}}(?<end>{after})", "${lead}***${end}"))
+        steps.append((rf"{lead}(?<a>{kind}{{6}}){kind}{{8,}}(?<z>{kind}{{4}})(?<end>{after})", "${lead}${a}…${z}${end}"))
+    begin, end = PRIVATE.format("BEGIN"), PRIVATE.format("END")
+    steps += [(rf"{begin}[^\r\n]+?{end}", "***"), (rf"({begin}[^\r\n]*)[\s\S]*?([^\r\n]*{end})", "$1\n…redacted…\n$2")]
+    for head, n, kind, least in OPENED:
+        if n + least < 18:
+            steps.append((rf"\b(?!{head}{kind}{{{18 - n},}}\b){head}{kind}{{{least},}}\b", "***"))
+        steps.append((rf"\b({head}{kind}{{{6 - n}}}){kind}{{{max(8, least - (6 - n) - 4)},}}({kind}{{4}})\b", "$1…$2"))
+    steps.append((r"\b(github)_pat_[A-Za-z0-9_]{16,}([A-Za-z0-9_]{4})\b", "$1…$2"))
+    steps += [(rf"\b({bot}\d{{6}})\d*:[A-Za-z0-9_-]{{16,}}([A-Za-z0-9_-]{{4}})\b", "$1…$2") for bot in ("bot", "")]
+    for pattern, by in steps:
+        c = F.regexp_replace(c, "(?i)" + pattern, by)
+    return c

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import content as T
 from quillspark.functions import schedules
+from quillspark.functions import text as X
 from quillspark.operators import chunking, matching, stateful
 from quillspark.sources.tables import load
 
@@ -98,6 +99,14 @@ def code_region_counts(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(schedules.code_regions()(text)).alias("regions"))
 
 
+def page_markdown(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", schedules.html_markdown()("html").alias("m")).select("page_id", "m.title", F.md5("m.text").alias("text_md5"))
+
+
+def redacted_documents(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", X.redact_all(C("text")).alias("t"), "text").select("doc_id", F.md5("t").alias("redacted_md5"), (~C("t").eqNullSafe(C("text"))).alias("changed"))
+
+
 FRAMES = {
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
@@ -115,6 +124,7 @@ select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) fi
  bool_or(detail) as detail, count(*) as sightings from o group by 1 union all select entity, lang, source, coalesce(note, ''), detail, 1 from d where entity is null"""),
     "cron_next_runs": (cron_next_runs, "select event_id, case event_id % 3 when 0 then case when ts < date_trunc('day', ts) + interval '390 minutes' then epoch_ms(date_trunc('day', ts)) + 23400000 else epoch_ms(date_trunc('day', ts)) + 109800000 end when 1 then (epoch_ms(ts) // 900000 + 1) * 900000 end as next_ms from events"),
     "code_region_counts": (code_region_counts, "select conv_id, turn, cast(2 as int) as regions from conversations"), "visible_page_text": (visible_page_text, None),
+    "page_markdown": (page_markdown, None), "redacted_documents": (redacted_documents, None),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
     "fixed_window_limit": (fixed_window_limit, None), "sliding_lockout": (sliding_lockout, None), "coalesced_blocks": (coalesced_blocks, None),
 }

@@ -6,6 +6,7 @@ from datetime import datetime, timezone
 
 
 from quillspark.functions import schedules
+from quillspark.functions import text as text_functions
 from quillspark.operators import matching
 from quillspark.sources import tables
 
@@ -86,3 +87,21 @@ def test_sources(spark, tmp_path):
     (tmp_path / "app-2024-01-01.log").write_text("x")
     (tmp_path / "other.log").write_text("y")
     assert [r.path.rsplit("/", 1)[-1] for r in tables.latest_log(spark, str(tmp_path)).collect()] == ["app-2024-01-01.log"]
+
+
+def test_markdown_of_html():
+    html = "<title> T &amp; U </title><h2>Head <b>two</b></h2><p>See <a href='http://x/'>the <i>site</i></a><br>and <a href='/y'></a></p><ul><li>one</li><li></li></ul><script>z</script>"
+    assert schedules.markdown_of(html) == ("T & U", "T & U\n## Head two\nSee [the site](http://x/)\nand /y\n\n- one")
+    assert schedules.markdown_of("") == (None, "")
+
+
+def test_redaction(spark):
+    long = "abcdefghijklmnopqrst"
+    cases = {
+        f"API_KEY={long} x": "API_KEY=abcdef…qrst x", "my_token: 'short' y": "my_token: '***' y", f'{{"token": "{long}"}}': '{"token": "abcdef…qrst"}', "--password hunter2 run": "--password *** run",
+        f"Authorization: Bearer {long}": "Authorization: Bearer abcdef…qrst", f"Bearer {long}.": "Bearer abcdef…qrst.", "Bearer short": "Bearer short", "use sk-12345678 now": "use *** now",
+        "use sk-1234567890abcdefgh now": "use sk-123…efgh now", f"ghp_{long}12": "ghp_ab…st12", f"github_pat_{long}": "github…qrst", "/bot123456:" + long + "/x": "/bot123456…qrst/x",
+        "-----BEGIN RSA PRIVATE KEY-----\nabc\ndef\n-----END RSA PRIVATE KEY-----": "-----BEGIN RSA PRIVATE KEY-----\n…redacted…\n-----END RSA PRIVATE KEY-----", "plain text": "plain text",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r[0]: r[1] for r in df.select("t", text_functions.redact_all(df.t)).collect()} == cases
