@@ -110,3 +110,28 @@ def truthy(json: Column, path: str) -> Column:
 def sorted_json(m: Column) -> Column:
     """A map as JSON with its keys in order: equal maps give equal texts."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def post_title(c: Column) -> Column:
+    """author and text out of the title of a shared post: ``A on LinkedIn: text``, ``A's Post`` or ``text | A``; else all is text."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"(?i)\s*[-|·–—]\s*LinkedIn\s*$", ""))
+    on, owns, bar = r"(?i)^(.{2,80}?) on LinkedIn:\s*(.*)$", r"(?i)^(.{2,80}?)['’]s (?:Post|Activity|Update)$", r"^(.+) \| (.*?)$"
+    who = F.trim(F.regexp_replace(F.regexp_extract(t, bar, 2), r"(?i)\s+(?:posted|reposted|commented)(?: on the topic| on this)?$", ""))
+    named = t.rlike(bar) & (who != "") & (F.size(F.split(who, " ")) <= 8) & (F.length(who) <= 80)
+    pair = lambda a, b: F.struct(F.trim(a).alias("author"), F.trim(b).alias("text"))
+    return (
+        F.when(t.rlike(on), pair(F.regexp_extract(t, on, 1), F.regexp_extract(t, on, 2))).when(t.rlike(owns), pair(F.regexp_extract(t, owns, 1), F.lit("")))
+        .when(named, pair(who, F.regexp_extract(t, bar, 1))).otherwise(pair(F.lit(""), t))
+    )
+
+
+def source_line(n: Column, line_map: Column) -> Column:
+    """The line of the source file for line ``n`` (from 1) of a flattened text; ``n`` where the map ends."""
+    return F.coalesce(F.get(line_map, n - 1), n)
+
+
+def merged_allow_list(own: Column, stored: Column, policy: Column) -> Column:
+    """Trimmed entries of both lists, each once, without blanks; a stored list doesn't count under the policy ``allowlist``."""
+    extra = F.when(policy == "allowlist", F.array().cast("array<string>")).otherwise(F.coalesce(stored, F.array().cast("array<string>")))
+    both = F.concat(F.coalesce(own, F.array().cast("array<string>")), extra)
+    return F.array_distinct(F.filter(F.transform(both, lambda x: F.trim(x)), lambda x: x != ""))

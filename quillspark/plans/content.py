@@ -107,6 +107,15 @@ def redacted_documents(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", X.redact_all(C("text")).alias("t"), "text").select("doc_id", F.md5("t").alias("redacted_md5"), (~C("t").eqNullSafe(C("text"))).alias("changed"))
 
 
+def titles_lines_lists(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").where("source is not null")
+    k = C("doc_id")
+    title = F.when(k % 4 == 0, F.concat(F.lit("Ann Lee on LinkedIn: about "), "source")).when(k % 4 == 1, F.concat(C("source"), F.lit("'s Post - LinkedIn"))).when(
+        k % 4 == 2, F.concat(F.lit("a | b | "), C("source"), F.lit(" posted on the topic | LinkedIn"))).otherwise(C("source"))
+    allow = T.merged_allow_list(F.array(F.lit(" a "), C("lang"), F.lit("")), F.array(C("source"), F.lit("a")), F.when(k % 2 == 0, F.lit("allowlist")).otherwise(F.lit("pairing")))
+    return d.where("lang is not null").select("doc_id", T.post_title(title).alias("t"), T.source_line((k % 5 + 1).cast("int"), F.array(F.lit(3), F.lit(7))).alias("line"), F.array_join(allow, ",").alias("allow")).select("doc_id", "t.*", "line", "allow")
+
+
 FRAMES = {
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
@@ -125,6 +134,8 @@ select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) fi
     "cron_next_runs": (cron_next_runs, "select event_id, case event_id % 3 when 0 then case when ts < date_trunc('day', ts) + interval '390 minutes' then epoch_ms(date_trunc('day', ts)) + 23400000 else epoch_ms(date_trunc('day', ts)) + 109800000 end when 1 then (epoch_ms(ts) // 900000 + 1) * 900000 end as next_ms from events"),
     "code_region_counts": (code_region_counts, "select conv_id, turn, cast(2 as int) as regions from conversations"), "visible_page_text": (visible_page_text, None),
     "page_markdown": (page_markdown, None), "redacted_documents": (redacted_documents, None),
+    "titles_lines_lists": (titles_lines_lists, """select doc_id, case doc_id % 4 when 0 then 'Ann Lee' when 3 then '' else source end as author, case doc_id % 4 when 0 then 'about ' || source when 1 then '' when 2 then 'a | b' else source end as text,
+ cast(case doc_id % 5 when 0 then 3 when 1 then 7 else doc_id % 5 + 1 end as int) as line, 'a,' || lang || case when doc_id % 2 = 1 then ',' || source else '' end as allow from documents where source is not null and lang is not null"""),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
     "fixed_window_limit": (fixed_window_limit, None), "sliding_lockout": (sliding_lockout, None), "coalesced_blocks": (coalesced_blocks, None),
 }

@@ -54,4 +54,7 @@ BOTH = {
     "reaper": "select user_id, max(cast(ts as string)) as last_at from events group by 1 having max(ts) < timestamp '2024-01-30 00:00:00'",
     "reindex_triggers": "select source, cast(floor(sum(n_chars) / 100000) as int) as by_size, cast(floor(count(*) / 50) as int) as by_count from documents group by 1",
     "debounce_precedence": "select event_id, coalesce(case when user_id % 7 = 0 then 50 end, case when event_type = 'view' then 200 end, case when user_id % 2 = 0 then 100 end, 0) as wait from events",
+    # Preferred candidates, merged presence
+    "preferred_candidate": "select c_nationkey, c_custkey from (select c_nationkey, c_custkey, row_number() over (partition by c_nationkey order by case when c_acctbal >= 0 then 0 else 1 end, case when c_mktsegment = 'BUILDING' then 1 else 0 end, c_custkey) as rn from customer) r where rn = 1",
+    "presence_changes": "with e as (select event_id, user_id, event_type, lag(event_type) over w as before, lag(event_id) over w as prior from events window w as (partition by user_id order by ts, event_id)) select event_id, user_id, case when prior is null then 'new' when before <> event_type then 'changed' else 'same' end as change from e",
 }
