@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +80,29 @@ def redact_all(c: Column) -> Column:
     for pattern, by in steps:
         c = F.regexp_replace(c, "(?i)" + pattern, by)
     return c
+
+
+def safe_pattern(pattern: str) -> bool:
+    """Whether a user's pattern parses and repeats nothing that itself repeats without a bound, such as ``(a+)+``."""
+    try:
+        tree = re._parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError):
+        return False
+
+    def nested(part, inside: bool) -> bool:
+        if isinstance(part, tuple) and part and str(part[0]) in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT"):
+            _, most, body = part[1]
+            open_ended = most == re._constants.MAXREPEAT
+            return (inside and open_ended) or nested(body, inside or most > 1)
+        return any(nested(x, inside) for x in part) if isinstance(part, (tuple, list, re._parser.SubPattern)) else False
+
+    return not nested(tree, False)
+
+
+def redact_with(c: Column, patterns: list[str]) -> Column:
+    """What matches one of the user's patterns becomes ``***``; unsafe patterns are refused."""
+    for pattern in patterns:
+        if not safe_pattern(pattern):
+            raise ValueError(f"unsafe pattern: {pattern}")
+        c = F.regexp_replace(c, pattern, "***")
+    return c

@@ -5,6 +5,8 @@ import random
 from datetime import datetime, timezone
 
 
+import pytest
+
 from quillspark.functions import schedules
 from quillspark.functions import text as text_functions
 from quillspark.operators import matching
@@ -105,3 +107,14 @@ def test_redaction(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r[0]: r[1] for r in df.select("t", text_functions.redact_all(df.t)).collect()} == cases
+
+
+def test_user_patterns(spark):
+    for good in (r"id-\d+", "(ab)?c*", "a{2,3}b+", "(a|b)+"):
+        assert text_functions.safe_pattern(good), good
+    for bad in ("(a+)+", "(a*)*b", "((x|y+)z)*", "(", "(a{2,}){3}"):
+        assert not text_functions.safe_pattern(bad), bad
+    df = spark.createDataFrame([("id-12 ok",)], "t string")
+    assert df.select(text_functions.redact_with(df.t, [r"id-\d+"])).first()[0] == "*** ok"
+    with pytest.raises(ValueError):
+        text_functions.redact_with(df.t, ["(a+)+"])
