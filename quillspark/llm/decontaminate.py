@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. A first pass counts, over all documents, in how many each
-``SEED_WORDS``-gram of the test items stands. The rarer half of an item's n-grams (``LEAST_SEEDS`` at least) are its seeds: the
-choice is by rank within the item, so an item that leaked into thousands of documents keeps its seeds. A second pass joins
-documents to items on the seeds, takes the passage around each run of hits (the item's length and half as much on either
-side), and aligns its words with the item's: ``MATCH`` for a word, ``MISS`` for another word, ``GAP`` for a word more or less.
-The score is the best local alignment over that of the item with itself; ``THRESHOLD`` and above is a leak.
+Words are runs of letters and digits in lower case. Every ``SEED_WORDS``-gram of an item is a seed, common or rare: an edited copy
+holds any of them. One pass joins documents to items on the seeds, takes the passage around each run of hits (the item's
+length and as much on either side, as far as an alignment over the threshold reaches), and aligns its words with the item's:
+``MATCH`` for a word, ``MISS`` for another word, ``GAP`` for a word more or less. The score is the best local alignment over
+that of the item with itself; ``THRESHOLD`` and above is a leak. Passages that hold too few of the item's words for
+the threshold are not aligned, which loses none. A copy of which no ``SEED_WORDS`` words in a row are left has no seed.
 
 The items are broadcast in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark takes more blocks, each with its own
-two passes. Documents are never shuffled, and all candidates are aligned.
+pass. Documents are never shuffled.
 
 Nulls: a null or empty text holds no passage, and a null item or one of fewer than ``SEED_WORDS`` words matches nothing.
 Items with equal texts each get their rows, as do repeated rows of documents.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, mixed, prefix_hash, rows_of, table
 
-SEED_WORDS, LEAST_SEEDS, THRESHOLD, BLOCK_BYTES = 3, 6, 0.5, 16 << 20
+SEED_WORDS, THRESHOLD, BLOCK_BYTES = 3, 0.5, 16 << 20
 MATCH, MISS, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 _ROWS = "doc_id long, item_id long, score double, seeds int, start_word int, end_word int"
@@ -73,10 +73,15 @@ class Items:
         self.ids = [r[0] for r in rows]
         both = [word_hashes(r[1]) for r in rows]
         self.words = [w for w, _ in both]
-        self.gram_of = np.concatenate([g for _, g in both] or [np.zeros(0, np.uint64)])
-        self.item_of = np.repeat(np.arange(len(rows)), [len(g) for _, g in both])
-        self.at = np.concatenate([np.arange(len(g)) for _, g in both] or [np.zeros(0, np.int64)]).astype(np.int64)
-        self.grams, self.gram_of = np.unique(self.gram_of, return_inverse=True)
+        self.flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
+        self.end = np.cumsum([len(w) for w in self.words], dtype=np.int64)
+        grams = np.concatenate([*(g for _, g in both), np.zeros(0, np.uint64)])
+        item_of = np.repeat(np.arange(len(rows)), [len(g) for _, g in both])
+        at = np.concatenate([*(np.arange(len(g)) for _, g in both), np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.argsort(grams, kind="stable")
+        self.item_of, self.at = item_of[order], at[order]
+        self.grams, self.first = np.unique(grams[order], return_index=True)
+        self.first = np.append(self.first, len(grams))
 
     def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of a document's n-grams that the table has, and their places in the table."""
@@ -86,19 +91,12 @@ class Items:
         found = np.flatnonzero(self.grams[k] == grams)
         return found, k[found]
 
-    def keep_rare(self, counts: dict[int, int]) -> None:
-        """Keep the rarer half of each item's n-grams as seeds; drop all others from the table."""
-        df = np.array([counts.get(k, 0) for k in range(len(self.grams))], np.int64)
-        keep = np.zeros(len(self.gram_of), bool)
-        for item in range(len(self.ids)):
-            own = np.arange(*np.searchsorted(self.item_of, [item, item + 1]))
-            order = own[np.lexsort((self.gram_of[own], df[self.gram_of[own]]))]
-            keep[order[: max(LEAST_SEEDS, -(-len(own) // 2))]] = True
-        used, gram_of = np.unique(self.gram_of[keep], return_inverse=True)
-        self.grams, self.item_of, self.at = self.grams[used], self.item_of[keep], self.at[keep]
-        order = np.argsort(gram_of, kind="stable")
-        self.item_of, self.at, gram_of = self.item_of[order], self.at[order], gram_of[order]
-        self.first = np.searchsorted(gram_of, np.arange(len(self.grams) + 1))
+    def possible(self, items: np.ndarray, words: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the items of which a share ``threshold`` of the words stands among ``words``: no other reaches that score."""
+        n = np.array([len(self.words[i]) for i in items], np.int64)
+        ends = np.cumsum(n)
+        there = np.isin(self.flat[np.repeat(self.end[items] - ends, n) + np.arange(n.sum())], words)
+        return items[np.add.reduceat(there, ends - n, dtype=np.int64) / n >= threshold]
 
     def leaks(self, words: np.ndarray, grams: np.ndarray, threshold: float):
         """(item's id, score, seeds, first and last word) of each item that leaked into a document."""
@@ -108,38 +106,29 @@ class Items:
         n = self.first[found + 1] - self.first[found]
         rows = np.repeat(self.first[found] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         item, start = self.item_of[rows], np.repeat(places, n) - self.at[rows]
+        likely = np.isin(item, self.possible(np.unique(item), words, threshold))
+        item, start = item[likely], start[likely]
+        if not len(item):
+            return
         order = np.lexsort((start, item))
         item, start = item[order], start[order]
         for own in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
             target = self.words[item[own[0]]]
             size, best = len(target), (0.0, 0, 0)
             for run in np.split(own, np.flatnonzero(np.diff(start[own]) > size) + 1):
-                lo, hi = max(0, int(start[run[0]]) - size // 2), min(len(words), int(start[run[-1]]) + size + size // 2)
+                lo, hi = max(0, int(start[run[0]]) - size), min(len(words), int(start[run[-1]]) + 2 * size)
                 for a in range(lo, hi, 16 * size):  # a long run in overlapping stretches, each of bounded size
-                    score, x, y = align(target, words[a : min(hi, a + 18 * size)])
+                    passage = words[a : min(hi, a + 18 * size)]
+                    if np.isin(target, passage).sum() / size < threshold:
+                        continue
+                    score, x, y = align(target, passage)
                     best = max(best, (score, a + x, a + y))
             if best[0] >= threshold:
                 yield self.ids[item[own[0]]], best[0], len(own), best[1], best[2]
 
 
 def _block_leaks(docs: DataFrame, rows, threshold: float) -> DataFrame:
-    context = docs.sparkSession.sparkContext
-    all_grams = context.broadcast(Items(rows))
-
-    def count(batches):
-        items = all_grams.value
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for _, text in rows_of(batch):
-                if text:
-                    total[np.unique(items.hits(word_hashes(text.decode("utf-8", "replace"))[1])[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], names=["gram", "n"])
-
-    counts = docs.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    seeds = Items(rows)
-    seeds.keep_rare(dict(map(tuple, counts.collect())))  # a row for an n-gram of the block
-    sent = context.broadcast(seeds)
+    sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
     def find(batches):
         items = sent.value

@@ -84,6 +84,22 @@ def test_leaks(spark):
     assert decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b.limit(0)).count() == 0
 
 
+def test_edited_leaks_against_brute_force(spark):
+    """One-off and mass copies: changed, added and dropped words leave only common seeds or only rare ones."""
+    items = [(k, words(24 + k, 100 + k, 5000)) for k in range(8)]
+    edits = [_edited(t, every) for _, t in items for every in (4, 5)]
+    edits += [" ".join(w for k, w in enumerate(t.split()) if k % 5) for _, t in items]
+    edits += [" ".join(w + (f" added{k}" if k < len(t.split()) - 4 else "") for k, w in enumerate(t.split())) for _, t in items]
+    texts = [f"{words(40, 200 + k, 5000)} {t} {words(40, 300 + k, 5000)}" for k, t in enumerate(edits)]
+    texts += [f"only {' '.join(t.split()[:4])} of it {words(60, 400 + k, 5000)}" for k, (_, t) in enumerate(items)]
+    texts += [texts[0]] * 60 + [texts[3]] * 60
+    hashed = [(i, decontaminate.word_hashes(t)[0]) for i, t in items]
+    want = {(d, i) for d, t in enumerate(texts) for i, w in hashed if decontaminate.align(w, decontaminate.word_hashes(t)[0])[0] >= decontaminate.THRESHOLD}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) == 32 + 120 and got == want
+
+
 def test_alignment_against_plain_dp():
     import numpy as np
 
