@@ -9,11 +9,12 @@ the ring beyond it. Inside a shard a vantage-point tree in memory finds the exac
 that the triangle bound can't exclude, in whole arrays of queries. Only a spanning forest of the pairs found leaves a shard.
 Components come from alternating large-star and small-star steps, each cut by a table in the shared folder.
 
-``near_dedup``, the stage for corpora, wants texts whose five-word shingles have a Jaccard similarity of 0.8 or more. That is
-about 10 of 64 bits, where no exact search prunes, so it widens the same search: fingerprints of distinct shingles have
-``WIDE_WORDS`` words of 64 bits, of which ``WIDE_RADIUS`` bits differ at a similarity of some 0.79, and the branches are
-those of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed, in which a pair of similarity 0.8 meets with a
-probability of 0.94 and one of 0.85 of 0.98. Pairs that meet are told by their whole fingerprints.
+``near_dedup``, the stage for corpora, joins texts whose distinct five-word shingles have a Jaccard similarity of ``ALIKE`` (4 / 5) or
+more. Fingerprints only propose pairs: those of ``WIDE_WORDS`` words of 64 bits that differ in ``WIDE_RADIUS`` bits at most (a pair
+of similarity 0.8 differs in some 38) and meet in one of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed.
+Every proposed pair is told by the Jaccard similarity of its shingles themselves. A leaf with more than ``PAIRS`` pairs a text
+proposes each text's nearest first, and then all pairs that the links found so far don't join. So no link is wrong (but for equal
+64-bit hashes), and one is missed only if its pair meets in no tree. Texts with equal sets of shingles are one node.
 
 Equal fingerprints are one node from the start, so thousands of copies cost one row. Nulls: a null text has no words and
 the fingerprint zero; a null doc_id gets its fingerprint's component. Repeated rows get equal results.
@@ -32,9 +33,12 @@ from quillspark.llm.common import documents, materialize, mixed, rows_of, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BRANCH, LEAF, SHARD_BITS = 50_000, 64, 7
-WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS = 5, 4, 42, 28, 14
+WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS, PAIRS = 5, 4, 58, 64, 14, 32
+ALIKE = (4, 5)
 _DRAWN = np.stack([np.random.default_rng(k).permutation(64 * WIDE_WORDS)[:TREE_BITS] for k in range(TREES)])
 
+KEY, WIDE = ("key0", "key1"), tuple(f"fp{k}" for k in range(WIDE_WORDS))
+
 
 def shingles(text: bytes | None, k: int) -> np.ndarray:
     """XXH64 of each ``k``-word shingle of the lower-cased text; of all words if they are fewer."""
@@ -63,25 +67,50 @@ def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
     return majority(shingles(text, k))
 
 
-def wide_fingerprint(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """The words of the wide fingerprint, and its branch in each tree."""
-    h = np.unique(shingles(text, WIDE_SHINGLE))
-    words = np.array([majority(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1))) for k in range(WIDE_WORDS)], np.uint64)
-    bits = np.unpackbits(words.view(np.uint8), bitorder="little")
-    return words, bits[_DRAWN] @ (1 << np.arange(TREE_BITS))
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """The words of the wide fingerprint of distinct shingles."""
+    return np.array([majority(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1))) for k in range(WIDE_WORDS)], np.uint64)
+
+
+def leaves_of(points: np.ndarray, trees: int = TREES) -> np.ndarray:
+    """The leaf of each wide fingerprint in each of the first trees."""
+    out = np.zeros((len(points), trees), np.int32)
+    for at in range(0, len(points), 1024):
+        bits = np.unpackbits(np.ascontiguousarray(points[at : at + 1024]).view(np.uint8).reshape(-1, 8 * WIDE_WORDS), axis=1, bitorder="little")
+        for k in range(TREE_BITS):
+            out[at : at + 1024] |= bits[:, _DRAWN[:trees, k]].astype(np.int32) << k
+    return out
+
+
+def set_key(h: np.ndarray) -> tuple[int, int]:
+    """128 bits that name a set of shingles, as two longs."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), "<i8").tolist())
 
 
 def _wide(batches):
     for batch in batches:
-        ids, words, leaves = [], [], []
+        ids, keys, words = [], [], []
         for doc_id, text in rows_of(batch):
-            w, leaf = wide_fingerprint(text)
+            h = np.unique(shingles(text, WIDE_SHINGLE))
             ids.append(doc_id)
-            words.append(w)
-            leaves.append(leaf)
-        w = np.array(words, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-        columns = [pa.array(ids, pa.int64()), *(pa.array(w[:, k]) for k in range(WIDE_WORDS)), pa.array([x.tolist() for x in leaves], pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *(f"fp{k}" for k in range(WIDE_WORDS)), "leaves"])
+            keys.append(set_key(h))
+            words.append(wide_fingerprint(h))
+        k, w = np.array(keys, np.int64).reshape(-1, 2), np.array(words, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
+        columns = [pa.array(ids, pa.int64()), *(pa.array(x) for x in k.T), *(pa.array(x) for x in w.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, *WIDE])
+
+
+def _sets(batches):
+    """The shingles of the texts that have the set their representative stands for."""
+    for batch in batches:
+        key, out = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), ([], [], [], [])
+        for (doc_id, text), own in zip(rows_of(batch), key):
+            h = np.unique(shingles(text, WIDE_SHINGLE))
+            if set_key(h) == own:
+                for x, y in zip(out, (doc_id, *own, h.view(np.int64))):
+                    x.append(y)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["rep", *KEY, "shingles"])
 
 
 def _fingerprints(batches):
@@ -226,15 +255,114 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
+def _near_pairs(points: np.ndarray, own: np.ndarray):
+    """(a, b, differing bits) of the pairs within the wide radius, a block of ``own`` at a time."""
+    for at in range(0, len(own), 256):
+        block, rest = own[at : at + 256], own[at:]
+        d = _far(points[block][:, None], points[rest][None, :])
+        x, y = np.nonzero((d <= WIDE_RADIUS) & (np.arange(len(rest))[None, :] > np.arange(len(block))[:, None]))
+        yield block[x], rest[y], d[x, y]
+
+
+def _nearest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Each point with its nearest companion in another component."""
+    best = np.full(n, np.iinfo(np.int64).max)
+    for a, b, d in pairs:
+        np.minimum.at(best, a, d << 40 | b)
+        np.minimum.at(best, b, d << 40 | a)
+    some = np.flatnonzero(best < np.iinfo(np.int64).max)
+    return some, best[some] & (1 << 40) - 1
+
+
+def _propose(bound: int | None):
+    """Pairs (u, v) of a shard to be told by their shingles. A leaf of more than ``bound`` pairs a point gives only each point's
+    nearest, and a row (null, leaf) that says so; without a bound, all pairs of different components."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["leaf", "rep"], ignore_index=True)
+        points = np.stack([frame[c].to_numpy() for c in WIDE], 1).view(np.uint64)
+        leaf, rep, tree = frame["leaf"].to_numpy(), frame["rep"].to_numpy(), int(frame["tree"].iloc[0])
+        comp = frame["comp"].to_numpy() if bound is None else np.arange(len(rep))
+        first = np.flatnonzero(np.concatenate(([True], np.diff(leaf) != 0)))
+        size = np.diff(np.append(first, len(leaf)))
+        small = np.repeat(size <= LEAF, size)
+        all_a, all_b, near_a, near_b, hot = [], [], [], [], []
+        for step in range(1, min(LEAF, int(size.max()))):
+            a = np.flatnonzero((leaf[step:] == leaf[:-step]) & small[step:] & (comp[step:] != comp[:-step]))
+            a = a[_far(points[a], points[a + step]) <= WIDE_RADIUS]
+            all_a.append(a)
+            all_b.append(a + step)
+        for at, n in zip(first[size > LEAF], size[size > LEAF]):
+            own, found, many = np.arange(at, at + n), [], 0
+            for a, b, _ in _near_pairs(points, own):
+                other = comp[a] != comp[b]
+                found.append((a[other], b[other]))
+                many += int(other.sum())
+                if bound is not None and many > bound * n:
+                    break
+            else:
+                all_a += [a for a, _ in found]
+                all_b += [b for _, b in found]
+                continue
+            a, b = _nearest(len(rep), _near_pairs(points, own))
+            near_a.append(a)
+            near_b.append(b)
+            hot.append(int(leaf[at]))
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (all_a, all_b))
+        if len(a) and tree:  # a pair is proposed by the first tree in which it meets
+            used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+            before = leaves_of(points[used], tree)
+            x, y = where[: len(a)], where[len(a) :]
+            fresh = np.concatenate([~(before[x[k : k + 65536]] == before[y[k : k + 65536]]).any(axis=1) for k in range(0, len(a), 65536)])
+            a, b = a[fresh], b[fresh]
+        a, b = np.concatenate([a, *near_a]), np.concatenate([b, *near_b])
+        u, v = np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])
+        return pd.DataFrame({
+            "u": pd.array([*u.tolist(), *[None] * len(hot)], "Int64"), "v": pd.array([*v.tolist(), *hot], "Int64"),
+            "tree": pd.array([tree] * (len(u) + len(hot)), "Int32"),
+        })
+
+    return run
+
+
+def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of representatives whose shingles have a Jaccard similarity of ``ALIKE`` or more."""
+    pairs = pairs.where("u <> v").select("u", "v").distinct()
+    pairs = materialize(pairs)
+    used = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
+    named = reps.select("rep", *KEY).join(used, "rep")
+    texts = documents(docs).join(named, F.col("doc_id") == named["rep"]).select("doc_id", "text", *KEY)
+    sets = materialize(texts.mapInArrow(_sets, "rep long, key0 long, key1 long, shingles array<long>").dropDuplicates(["rep", *KEY]).select("rep", "shingles"))
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("i"))
+    return materialize(both.where(F.col("i") * ALIKE[1] >= (F.col("n") - F.col("i")) * ALIKE[0]).select("u", "v").distinct())
+
+
+def similar_groups(docs: DataFrame, bound: int = PAIRS) -> DataFrame:
     """doc_id, component_id of each document: components of texts whose five-word shingles are alike."""
-    words = [f"fp{k}" for k in range(WIDE_WORDS)]
-    prints = materialize(documents(docs).mapInArrow(_wide, "doc_id long, " + ", ".join(f"{w} long" for w in words) + ", leaves array<int>"))
-    reps = materialize(prints.groupBy(*words).agg(F.min("doc_id").alias("rep"), F.any_value("leaves").alias("leaves")))
-    rows = reps.where("rep is not null").select(*words, "rep", F.posexplode("leaves").alias("tree", "leaf"))
-    found = components(rows.groupBy("tree", (F.col("leaf") % (1 << SHARD_BITS)).alias("shard")).applyInPandas(_shard(WIDE_RADIUS, tuple(words)), "u long, v long"))
-    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*words, F.coalesce("root", "rep").alias("component_id")))
-    return prints.join(named, words).select("doc_id", "component_id")
+    prints = materialize(documents(docs).mapInArrow(_wide, "doc_id long, " + ", ".join(f"{w} long" for w in (*KEY, *WIDE))))
+    reps = materialize(prints.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), *[F.any_value(w).alias(w) for w in WIDE]))
+
+    def leaves(batches):
+        for batch in batches:
+            points = np.stack([batch.column(k + 1).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
+            found = pa.FixedSizeListArray.from_arrays(pa.array(leaves_of(points).ravel()), TREES).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["rep", *WIDE, "leaves"])
+
+    points = reps.where("rep is not null").select("rep", *WIDE)
+    rows = points.mapInArrow(leaves, "rep long, " + ", ".join(f"{w} long" for w in WIDE) + ", leaves array<int>").select("rep", *WIDE, F.posexplode("leaves").alias("tree", "leaf"))
+    shard = (F.col("leaf") % 16).alias("shard")
+    proposed = materialize(rows.groupBy("tree", shard).applyInPandas(_propose(bound), "u long, v long, tree int"))
+    links = alike(proposed.where("u is not null"), reps, docs)
+    found = components(links)
+    hot = materialize(proposed.where("u is null").select("tree", F.col("v").cast("int").alias("leaf")))
+    if not hot.isEmpty():
+        found = materialize(found)
+        again = rows.join(F.broadcast(hot), ["tree", "leaf"]).join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
+        more = again.groupBy("tree", "leaf").applyInPandas(_propose(None), "u long, v long, tree int")
+        found = components(links.union(alike(more, reps, docs)))
+    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*KEY, F.coalesce("root", "rep").alias("component_id")))
+    return prints.join(named, list(KEY)).select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:

@@ -221,3 +221,34 @@ def test_similar_texts_are_found(spark):
     assert len(near) > 30 and sum(near) / len(near) >= 0.9
     assert not any(got[k + 1] == k for k, j in pairs if j < 0.6)
     assert len(simhash.near_dedup(docs(spark)).collect()) < len(rows()) and simhash.near_dedup(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("bound", [simhash.PAIRS, 0])
+def test_similar_texts_are_told_by_their_shingles(spark, bound):
+    """Pairs on both sides of 0.8, and a group in which copies are alike to its centre more than to each other."""
+    r = random.Random(19)
+    data, sets = [], []
+
+    def add(w):
+        data.append((len(data), " ".join(w)))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)})
+
+    for k in range(300):
+        w = [f"w{r.randrange(900)}" for _ in range(200)]
+        other = list(w)
+        for at in range(3, 200, r.choice([45, 50, 38, 33, 30, 26])):
+            other[at] = "x"
+        add(w)
+        add(other)
+    centre = [f"c{r.randrange(900)}" for _ in range(200)]
+    for k in range(150):
+        add([f"y{k}" if at in (k, (k + 50) % 200, (k + 100) % 200) else w for at, w in enumerate(centre)])
+    pairs = {(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))}
+    root = list(range(len(sets)))
+    for _ in range(20):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string"), bound).collect()}
+    assert 100 < len(pairs) and 50 < sum(k + 1 < 600 and (k, k + 1) not in pairs for k in range(0, 600, 2))
+    assert all(root[got[k]] == root[k] for k in got)  # no link is wrong
+    assert sum(got[k] == root[k] for k in got) >= 0.98 * len(got)
