@@ -18,20 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share. In local mode, where all share the disk, a session that names none gets one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back, so lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Cut the lineage: write ``df`` to the shared folder and read it back, so lost executors cost no recomputation.
+
+    The table stays until ``release`` or ``keep_only`` deletes it; all lie in one folder named after the application."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application's operators wrote; their DataFrames can't be read after it."""
+    _delete(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    written.clear()
+
+
+def keep_only(df: DataFrame, mark: int) -> DataFrame:
+    """Materialize ``df``, then delete the tables written before it since ``mark`` (a length of ``written``)."""
+    out = materialize(df)
+    for path in written[mark:-1]:
+        _delete(df.sparkSession, path)
+    del written[mark:-1]
+    return out
 
 
 def documents(df: DataFrame) -> DataFrame:

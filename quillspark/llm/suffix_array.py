@@ -1,10 +1,12 @@
 """Suffix-array dedup by deep-shallow sorting.
 
 Every byte in a ``WINDOW``-byte string that also starts earlier (smaller doc_id, or an earlier start in the same document)
-goes. ``repeats`` brings together the suffixes that share a minimizer gram; here they are sorted: a multikey quicksort
-on ``SHALLOW`` bytes, eight at a time and only within ties, then a blind trie for each group that is still tied. A blind
-trie holds the positions at which its strings branch and no text; a string goes down blindly to one leaf, is compared with
-that one string, and either equals it or branches where they first differ.
+goes. ``repeats`` deals the suffixes (of which the first ``WINDOW`` bytes count) to shards by their minimizers; a shard puts its own
+in order. A multikey quicksort on eight bytes at a time splits each group in three at its pivot, all groups of a round at once,
+down to ``SHALLOW`` bytes. A blind trie orders each group that is still tied: it holds the positions at which its strings branch;
+a string goes down blindly to one leaf, is compared with that one string, and either joins it or branches where they first
+differ, and the branches in byte order give the group's order and the longest common prefixes of its neighbours. Runs of
+neighbours with a common prefix of ``WINDOW`` bytes are equal strings; all but the earliest repeat.
 
 Nulls: a null text is empty; see ``repeats`` for null and repeated doc_id. Matches never cross documents.
 """
@@ -21,82 +23,122 @@ WINDOW, GRAM, SHALLOW = 100, 50, 24
 
 
 class BlindTrie:
-    """Strings of equal length; ``add`` says whether the string was there."""
+    """Strings of equal length. A leaf is a list: the string, and the members that have it in the order they came."""
 
     def __init__(self):
         self.root = None
 
-    def add(self, text: bytes) -> bool:
+    def add(self, text: bytes, member: int) -> None:
         if self.root is None:
-            self.root = text
-            return False
+            self.root = [text, member]
+            return
         node = self.root
-        while type(node) is not bytes:
+        while type(node) is tuple:
             at, branches = node
             node = branches.get(text[at]) or next(iter(branches.values()))
-        if node == text:
-            return True
-        differ, half = 0, len(text)
+        if node[0] == text:
+            node.append(member)
+            return
+        leaf, differ, half = node[0], 0, len(text)
         while half - differ > 1:  # the longest common prefix, by bisection
             middle = (differ + half) // 2
-            if node[:middle] == text[:middle]:
+            if leaf[:middle] == text[:middle]:
                 differ = middle
             else:
                 half = middle
         above, node = None, self.root
-        while type(node) is not bytes and node[0] < differ:
+        while type(node) is tuple and node[0] < differ:
             above, node = (node[1], text[node[0]]), node[1][text[node[0]]]
-        if type(node) is not bytes and node[0] == differ:
-            node[1][text[differ]] = text
-            return False
-        other = node
-        while type(other) is not bytes:
-            other = next(iter(other[1].values()))
-        made = (differ, {other[differ]: node, text[differ]: text})
+        if type(node) is tuple and node[0] == differ:
+            node[1][text[differ]] = [text, member]
+            return
+        made = (differ, {leaf[differ]: node, text[differ]: [text, member]})
         if above is None:
             self.root = made
         else:
             above[0][above[1]] = made
-        return False
-
-
-def shallow_groups(data: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> np.ndarray:
-    """Group number of each string by its first ``depth`` bytes; -1 for a string alone."""
-    group, tied = np.zeros(len(starts), np.int64), np.arange(len(starts))
-    for at in range(0, depth, 8):
-        word = np.zeros(len(tied), np.uint64)
-        for k in range(8):
-            word = (word << np.uint64(8)) | data[starts[tied] + at + k]
-        order = np.lexsort((word, group[tied]))
-        tied, word = tied[order], word[order]
-        new = np.ones(len(tied), bool)
-        new[1:] = (word[1:] != word[:-1]) | (group[tied][1:] != group[tied][:-1])
-        number = np.cumsum(new) - 1
-        alone = np.bincount(number, minlength=1)[number] == 1
-        group[tied] = np.where(alone, -1, number)
-        tied = tied[~alone]
-        if not len(tied):
-            break
-    return group
+
+    def ordered(self):
+        """(member, bytes it shares with the one before) in the order of the strings."""
+        open_nodes = [(self.root, 0)] if self.root is not None else []
+        while open_nodes:
+            node, shared = open_nodes.pop()
+            if type(node) is list:
+                yield node[1], shared
+                for member in node[2:]:
+                    yield member, len(node[0])
+            else:
+                at, branches = node
+                below = [branches[c] for c in sorted(branches)]
+                open_nodes += [(x, at) for x in below[:0:-1]] + [(below[0], shared)]
+
+
+def _words_at(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Eight bytes from each start as a number in the bytes' order."""
+    return np.ascontiguousarray(data[starts[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
+
+
+def multikey_quicksort(data: np.ndarray, starts: np.ndarray, depth: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings by their first ``depth`` bytes (a multiple of 8), and where in it a group of equal ones begins.
+
+    Stable: equal strings stay in the order given."""
+    n = len(starts)
+    order, begins, at = np.arange(n), np.zeros(n, bool), np.zeros(n, np.int64)
+    begins[:1] = True
+    word = _words_at(data, starts) if n else np.zeros(0, np.uint64)
+    places = np.arange(n) if n > 1 else np.arange(0)
+    while len(places):
+        first = np.flatnonzero(begins[places])
+        size = np.diff(np.append(first, len(places)))
+        which = np.repeat(np.arange(len(first)), size)
+        own, pivot = word[places], word[places[first + size // 2]][which]
+        part = which * 3 + (own >= pivot) + (own > pivot)
+        turn = np.argsort(part, kind="stable")
+        order[places], word[places], part = order[places[turn]], own[turn], part[turn]
+        edge = np.ones(len(places), bool)
+        edge[1:] = part[1:] != part[:-1]
+        begins[places] |= edge
+        equal = part % 3 == 1
+        at[places[equal]] += 8
+        size = np.diff(np.append(np.flatnonzero(edge), len(places)))
+        left = (np.repeat(size, size) > 1) & (at[places] < depth)
+        places, equal = places[left], equal[left]
+        deeper = places[equal]
+        word[deeper] = _words_at(data, starts[order[deeper]] + at[deeper])
+    return order, begins
+
+
+def suffix_array(data: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the ``window``-byte strings at these starts, and the bytes each shares with the one before it
+    (0 where the shallow sort already parts them)."""
+    order, begins = multikey_quicksort(data, starts)
+    shared, body = np.zeros(len(order), np.int64), data.tobytes()
+    first = np.flatnonzero(begins)
+    size = np.diff(np.append(first, len(order)))
+    for at, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+        trie = BlindTrie()
+        for member, start in zip(order[at : at + n].tolist(), starts[order[at : at + n]].tolist()):
+            trie.add(body[start : start + window], member)
+        order[at : at + n], shared[at : at + n] = zip(*trie.ordered())
+    return order, shared
 
 
 def decide(ids, firsts, counts, texts) -> list[int]:
+    """Masks of the windows that start earlier; the segments come in order of (id, first window)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
     nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
     seg = np.repeat(np.arange(len(texts)), counts)
-    starts = np.repeat(np.cumsum(lengths) - lengths, counts) + nth
-    group = shallow_groups(data, starts)
-    order = np.lexsort((firsts[seg] + nth, ids[seg], group))
-    order = order[group[order] >= 0]
-    masks, body = [0] * len(texts), data.tobytes()
-    last, trie = -1, BlindTrie()
-    for g, k, s, j in zip(group[order].tolist(), starts[order].tolist(), seg[order].tolist(), nth[order].tolist()):
-        if g != last:
-            last, trie = g, BlindTrie()
-        if trie.add(body[k : k + WINDOW]):
-            masks[s] |= 1 << j
-    return masks
+    begin = firsts[seg] + nth
+    corpus = np.lexsort((begin, ids[seg]))  # segments of one id can overlap only if it has several texts
+    seg, nth, begin = seg[corpus], nth[corpus], begin[corpus]
+    order, shared = suffix_array(data, (np.cumsum(lengths) - lengths)[seg] + nth)
+    lead = np.maximum.accumulate(np.where(shared < WINDOW, np.arange(len(order)), 0))
+    a, b = order, order[lead]  # the earliest of a run leads it, as equal strings stay in corpus order
+    repeats = a[(ids[seg[a]] > ids[seg[b]]) | ((ids[seg[a]] == ids[seg[b]]) & (begin[a] > begin[b]))]
+    masks = np.zeros(len(texts), np.uint64)
+    np.bitwise_or.at(masks, seg[repeats], np.uint64(1) << nth[repeats].astype(np.uint64))
+    return masks.tolist()
 
 
 KIND = Kind(words=False, window=WINDOW, gram=GRAM, within=True, decide=decide, shards=2)

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from dataclasses import replace
@@ -11,9 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import exact_dedup, simhash, substring, suffix_array
-from quillspark.llm.repeats import pack, unpack, without_repeats
+from quillspark.llm.repeats import decided, pack, unpack, without_repeats
 from quillspark.llm.windows import segments, sliding_min
-from tests.llm.helpers import docs, rows, tokens
+from tests.llm.helpers import docs, rows, tokens, words
 
 LAST = (1 << 63) - 1
 
@@ -99,10 +100,79 @@ def test_pack_round_trip():
 @settings(max_examples=60)
 @given(st.lists(st.lists(st.sampled_from("ab"), min_size=12, max_size=12).map(lambda x: "".join(x).encode()), max_size=80))
 def test_blind_trie(texts):
-    trie, seen = suffix_array.BlindTrie(), set()
-    for t in texts:
-        assert trie.add(t) == (t in seen)
-        seen.add(t)
+    trie = suffix_array.BlindTrie()
+    for k, t in enumerate(texts):
+        trie.add(t, k)
+    got = list(trie.ordered())
+    want = sorted(range(len(texts)), key=lambda k: (texts[k], k))
+    assert [m for m, _ in got] == want
+    assert [s for _, s in got[1:]] == [len(os.path.commonprefix([texts[a], texts[b]])) for a, b in zip(want, want[1:])]
+
+
+@settings(max_examples=60)
+@given(st.text("abc", min_size=40, max_size=400), st.sampled_from([8, 16]))
+def test_multikey_quicksort(text, depth):
+    data = text.encode()
+    starts = np.arange(len(data) - 24)
+    order, begins = suffix_array.multikey_quicksort(np.frombuffer(data, np.uint8), starts, depth)
+    assert order.tolist() == sorted(starts.tolist(), key=lambda k: (data[k : k + depth], k))
+    assert begins.tolist() == [k == 0 or data[a : a + depth] != data[b : b + depth] for k, (a, b) in enumerate(zip(order, [0, *order]))]
+
+
+@settings(max_examples=60)
+@given(st.lists(st.text("ab", min_size=1, max_size=30), min_size=8, max_size=40))
+def test_suffix_array(parts):
+    data = "".join(p * 3 for p in parts).encode() + b"x" * 40
+    starts = np.arange(len(data) - 40)
+    order, shared = suffix_array.suffix_array(np.frombuffer(data, np.uint8), starts, 40)
+    assert order.tolist() == sorted(starts.tolist(), key=lambda k: (data[k : k + 40], k))
+    for a, b, n in zip(order, order[1:], shared[1:]):
+        real = len(os.path.commonprefix([data[a : a + 40], data[b : b + 40]]))
+        assert n == real or n == 0 and real < suffix_array.SHALLOW
+
+
+def _thue_morse(letters):
+    x = "a"
+    while len(x) < letters:
+        x += x.translate({97: "b", 98: "a"})
+    return x, x.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("letters", [512, 1024, 2048, 4096])
+def test_words_on_which_polynomial_hashes_collide(spark, letters):
+    frame = "one two three four five six {} eight nine ten eleven twelve thirteen"
+    data = [(k, frame.format(x)) for k, x in enumerate(_thue_morse(letters), 1)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(d).collect()} == {1: 0, 2: 0}
+    want = repeats(data, *CASES["suffix"][1:])
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_array.suffix_dedup(d).collect()} == {k: v for (k, _), v in want.items()}
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = words(40, 21), words(40, 22)
+    data = [(1, a), (2, a + " " + b), (2, b + " " + a), (3, b), (2, "short")]
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in substring.substring_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(1, 40, 0), (2, 80, 40), (3, 40, 40), (2, 1, 0)}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_very_long_documents(spark, name):
+    """A megabyte of words and one without a single space, next to short texts that repeat a part of them."""
+    run, tokenise, join, window, within = CASES[name]
+    long, solid = words(160_000, 31, 50_000), "".join(words(200_000, 32, 50_000).split())
+    data = [(1, long), (2, "before " + long[500_000:501_000] + " after"), (3, solid), (4, solid[:200] + words(30, 33)), (5, long)]
+    want = repeats(data, tokenise, join, window, within)
+    got = run(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in got} == {d: v for (d, _), v in want.items()}
+
+
+def test_who_decides(spark):
+    """Names decide copies, the method what differs around a minimizer; together they are all windows that repeat."""
+    a, b = words(300, 41), words(9, 42)
+    data = [(1, a), (2, a), (3, "x " + b + " " + a[:200] + " y"), (4, "z " + b + " " + a[:200] + " q")]
+    got = decided(spark.createDataFrame(data, "doc_id long, text string"), substring.KIND)
+    gone = 288 + sum(len(w) - 12 for w in [a[:200].split()]) * 2
+    assert got["judged"] > 0 and got["named"] + got["found"] >= gone - 2
 
 
 @settings(max_examples=40)
