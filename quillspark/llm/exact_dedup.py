@@ -1,13 +1,15 @@
 """Exact dedup by content-defined chunk recipes.
 
 A text loses its white space (``[\\x20\\x09-\\x0D]``) and is cut where its own bytes say so: after every 8-byte window
-whose hash has ``AVERAGE_BITS`` leading zeros, but no chunk under ``LEAST`` or over ``MOST`` bytes. A chunk's identifier is
-128 bits of its SHA-256, so it is verified by content and needs no copy of the bytes. A text's recipe is the ordered list
-of its identifiers; equal recipes, checked by the whole text's SHA-256, are equal texts. Only recipes are shuffled, about 16
-bytes for a kilobyte of text; documents never move.
-
-Nulls: a null text counts as empty; a null ``doc_id`` takes part, and stays only if no other row of its group has as many
-code points. Rows that repeat a ``doc_id`` get one result each. Empty tables give empty results.
+whose hash has ``AVERAGE_BITS`` leading zeros, but no chunk under ``LEAST`` or over ``MOST`` bytes. A chunk's digest is all 256
+bits of its SHA-256, which stands for its bytes. Chunks are deduplicated: each different digest becomes one row of the
+chunk store, and its identifier there is the place where it first occurs (row and position), so it takes 8 + 4 bytes, and the
+bytes themselves stay where they are and can be looked up. A text's recipe is the ordered list of its chunks' identifiers; texts
+are equal when their recipes are, and nothing else is compared. About 50 bytes move for a kilobyte of text; documents never do.
+
+Nulls: a null text counts as empty, and its recipe is the empty list; a null ``doc_id`` takes part, and stays only if no other
+row of its group has as many code points. Rows that repeat a ``doc_id`` are rows like any other: exactly one row of a
+group is kept (of equal doc_id and length the one whose text has the smallest SHA-256, then any). Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,13 +19,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import documents, materialize, rows_of, table
 
 AVERAGE_BITS, LEAST, MOST = 10, 256, 16384
 _SPACE = b" \t\n\x0b\x0c\r"
-_RECIPES = "doc_id long, n_chars long, n_bytes long, text_sha256 string, recipe binary"
+_RECIPES = "doc_id long, n_chars long, text_sha256 string, raw binary, digests array<binary>"
 
 
 def cuts(data: bytes) -> list[int]:
@@ -46,10 +49,10 @@ def cuts(data: bytes) -> list[int]:
     return ends
 
 
-def recipe_of(data: bytes) -> list[bytes]:
+def digests_of(data: bytes) -> list[bytes]:
     last, out = 0, []
     for end in cuts(data):
-        out.append(hashlib.sha256(data[last:end]).digest()[:16])
+        out.append(hashlib.sha256(data[last:end]).digest())
         last = end
     return out
 
@@ -61,49 +64,61 @@ def _recipes(batches):
             text = text or b""
             data = text.translate(None, _SPACE)
             chars = len(text.decode("utf-8", "replace"))
-            out.append((doc_id, chars, len(data), hashlib.sha256(data).hexdigest(), b"".join(recipe_of(data))))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))],
-            names=["doc_id", "n_chars", "n_bytes", "text_sha256", "recipe"],
-        )
+            out.append((doc_id, chars, hashlib.sha256(data).hexdigest(), hashlib.sha256(text).digest()[:16], digests_of(data)))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _RECIPES.split(", ")])
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """row (a number of its own), doc_id, n_chars, text_sha256, raw (names the text as it is), digests of each row; written."""
+    rows = documents(docs).mapInArrow(_recipes, _RECIPES)
+    return materialize(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
-def chunk_recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, n_bytes, text_sha256, recipe (16 bytes for each chunk, in order) of each row."""
-    return documents(docs).mapInArrow(_recipes, _RECIPES)
+def chunk_store(rows: DataFrame) -> DataFrame:
+    """The distinct chunks: digest, chunk_id (row and at: where it first occurs), uses; written."""
+    places = rows.select("row", F.posexplode("digests").alias("at", "digest"))
+    return materialize(places.groupBy("digest").agg(F.min(F.struct("row", "at")).alias("chunk_id"), F.count("*").alias("uses")))
 
 
-def chunk_store(recipes: DataFrame) -> DataFrame:
-    """The distinct chunks of recipes: chunk_id and uses."""
-    n = F.expr("transform(sequence(0, greatest(octet_length(recipe) div 16 - 1, 0)), i -> substring(recipe, i * 16 + 1, 16))")
-    return recipes.where("octet_length(recipe) > 0").select(F.explode(n).alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("uses"))
+def recipes(rows: DataFrame, store: DataFrame) -> DataFrame:
+    """row, recipe: the chunk ids of each row in order. A row without chunks isn't there.
+
+    The store is written, so the join has an exchange of its own on either side and a chunk that very many rows hold can be split."""
+    places = rows.select("row", F.posexplode("digests").alias("at", "digest"))
+    named = places.join(store.select("digest", "chunk_id"), "digest")
+    listed = F.array_sort(F.collect_list(F.struct("at", "chunk_id")))
+    return named.groupBy("row").agg(listed.alias("r")).select("row", F.transform("r", lambda x: x["chunk_id"]).alias("recipe"))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
-    recipes = materialize(chunk_recipes(docs))
-    # written, so that the join below has an exchange of its own on either side and a large group's partition can be split
-    groups = materialize(recipes.groupBy("recipe", "text_sha256").agg(
-        F.max(F.struct("n_chars", (-F.col("doc_id")).alias("minus_id"))).alias("best"), F.count("*").alias("group_size")
-    ))
-    return (
-        recipes.join(groups, ["recipe", "text_sha256"])
-        .withColumn("keep_id", -F.col("best.minus_id"))
-        .select(
-            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
-            F.expr("octet_length(recipe) div 16").alias("n_chunks"),
-        )
+    """A row for each document: doc_id, keep_id, group_size, kept, text_sha256, n_chunks, raw."""
+    rows = chunked(docs)
+    none = F.array().cast("array<struct<row:bigint,at:int>>")
+    own = materialize(
+        rows.drop("digests").join(recipes(rows, chunk_store(rows)), "row", "left").withColumn("recipe", F.coalesce("recipe", none))
+    )
+    best = F.max_by(F.struct("row", "doc_id"), F.struct("n_chars", F.bitwise_not("doc_id").alias("id"), F.bitwise_not(F.expr("conv(hex(substring(raw, 1, 7)), 16, 10)").cast("long")).alias("raw"), F.bitwise_not("row").alias("row")))
+    groups = materialize(own.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")))
+    return own.join(groups, "recipe").select(
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"), "raw",
     )
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+    """The documents that stay, with all their columns: one row of each group of equal texts.
+
+    A verdict is for a doc_id with the text it has; of rows equal in both one is left."""
+    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"))
+    raw = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
+    left = docs.withColumn("_raw", raw)
+    left = left.join(keep, left["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]) & (left["_raw"] == keep["_kept_raw"]), "left_semi")
+    nth = F.row_number().over(W.partitionBy("doc_id", "_raw").orderBy("_raw"))
+    return left.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_raw")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
+    return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks", "raw")
 
 
 SQL = r"""

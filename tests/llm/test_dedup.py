@@ -198,17 +198,45 @@ def test_exact_groups(spark):
     for r in got:
         own = by_sha[r.text_sha256]
         keep = max(own, key=lambda x: (len(x[1] or ""), x[0] is not None, -(x[0] or 0)))[0]
-        assert (r.keep_id, r.group_size, r.kept) == (keep, len(own), r.doc_id == keep)
-    assert exact_dedup.exact_dedup(docs(spark)).columns == docs(spark).columns
-    assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
-    assert exact_dedup.chunk_store(exact_dedup.chunk_recipes(docs(spark))).count() > 5
+        assert (r.keep_id, r.group_size) == (keep, len(own)) and (not r.kept or r.doc_id == keep)
+    assert sorted(r.text_sha256 for r in got if r.kept) == sorted(by_sha)  # one row of each group
+    left = exact_dedup.exact_dedup(docs(spark))
+    assert left.columns == docs(spark).columns and left.count() == len(by_sha)
+    assert exact_dedup.exact_groups(docs(spark, [])).count() == 0 and exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
+def test_exact_rows_of_one_id(spark):
+    least = -(1 << 63)
+    long = words(120_000, 51, 90_000)
+    data = [(1, "a b"), (1, "a b"), (1, "ab"), (2, "x"), (2, "y"), (3, "y "), (least, "q"), (4, "q"), (None, "n"), (None, "n "), (5, long), (6, long.replace(" ", "\n")), (7, long + "!")]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(d).collect()}
+    assert got == {(1, 1, 3, True), (1, 1, 3, False), (2, 2, 1, True), (2, 3, 2, False), (3, 3, 2, True), (least, least, 2, True), (4, least, 2, False),
+                   (None, None, 2, False), (None, None, 2, True), (5, 5, 2, True), (6, 5, 2, False), (7, 7, 1, True)}
+    want = [(1, "a b"), (2, "x"), (3, "y "), (least, "q"), (None, "n "), (5, long), (7, long + "!")]
+    assert sorted(map(tuple, exact_dedup.exact_dedup(d).collect()), key=str) == sorted(want, key=str)
+
+
+def test_chunks_are_stored_once(spark):
+    """Texts that share chunks have the same identifiers for them, and an identifier leads to its chunk's bytes."""
+    base = "".join(map(str, range(9000)))
+    data = [(1, base), (2, "in front " + base), (3, base + " behind"), (4, base), (5, ""), (6, None)]
+    d = exact_dedup.chunked(spark.createDataFrame(data, "doc_id long, text string"))
+    store = exact_dedup.chunk_store(d)
+    row = {r.row: r for r in d.collect()}
+    chunks = {tuple(r.chunk_id): r for r in store.collect()}
+    digests = [x for r in row.values() for x in r.digests]
+    assert len(chunks) == len(set(map(bytes, digests))) < len(digests) / 3 and sum(r.uses for r in chunks.values()) == len(digests)
+    for r in exact_dedup.recipes(d, store).collect():
+        assert [bytes(chunks[tuple(x)].digest) for x in r.recipe] == [bytes(x) for x in row[r.row].digests]
+        assert all(row[x.row].digests[x["at"]] == chunks[tuple(x)].digest for x in r.recipe)
 
 
 def test_chunks_depend_on_content_alone():
     data = "".join(map(str, range(30000))).encode()
-    own = exact_dedup.recipe_of(data)
-    shifted = exact_dedup.recipe_of(b"something before" + data)
-    assert b"".join([data]) and len(set(own) & set(shifted)) > 0.9 * len(own)
+    own = exact_dedup.digests_of(data)
+    shifted = exact_dedup.digests_of(b"something before" + data)
+    assert len(set(own) & set(shifted)) > 0.9 * len(own)
     assert exact_dedup.cuts(b"") == [] and exact_dedup.cuts(b"abc") == [3] and max(np.diff([0, *exact_dedup.cuts(b"a" * 100000)])) <= exact_dedup.MOST
 
 
