@@ -16,7 +16,7 @@ all documents share comes once from each task. Blocks, buckets and shards grow w
 number of partitions is. ``decided`` counts the windows that names and the method decide.
 
 Documents of one doc_id count as one document, a null doc_id as the largest, a null text as empty. Rows of one doc_id with
-different texts are told apart by 64 bits of their SHA-256.
+different texts are told apart by 32 bits of their SHA-256, which no text of another doc_id meets.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ FLUSH = 12 << 20  # bytes of text in a task's memory at a time
 HOT = 0x80  # in a request's number of windows: its minimizer is hot
 OWN = 0x80  # in an entry's number of windows: the segment may hold a window twice
 BLOCK_BYTES, BUCKET_BYTES = 128 << 20, 64 << 20  # text of a block of documents, and text whose names make a bucket or a shard
-ENTRY = ("<u8", "<u8", "<u8", "<i8", "<u8", "<u4", "u1")  # minimizer, name (two), id, check of the text, first window, windows
-VERDICT = ("<i8", "<u8", "<u4", "<u8")  # id, check, first window, mask of the windows
-REQUEST = ("<u8", "<i8", "<u8", "<u4", "u1")  # key, id, check, first window, windows
+ENTRY = ("<u8", "<u8", "<u8", "<i8", "<u4", "<u4", "u1")  # minimizer, name (two), id, check of the text, first window, windows
+VERDICT = ("<i8", "<u4", "<u4", "<u8")  # id, check, first window, mask of the windows
+REQUEST = ("<u8", "<i8", "<u4", "<u4", "u1")  # key, id, check, first window, windows
 
 
 @dataclass(frozen=True)
@@ -123,7 +123,7 @@ class Tokens:
 
 
 def check_of(text: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(text).digest()[:8], "little")
+    return int.from_bytes(hashlib.sha256(text).digest()[:4], "little")
 
 
 def _full(counts: np.ndarray) -> np.ndarray:
@@ -138,9 +138,9 @@ def _groups(*columns) -> np.ndarray:
     return new
 
 
-def _packed(group: np.ndarray, arrays):
-    """(number, packed arrays) of each number in ``group``."""
-    order = np.argsort(group, kind="stable")
+def _packed(group: np.ndarray, arrays, by=()):
+    """(number, packed arrays) of each number in ``group``, their rows in the order of ``by``."""
+    order = np.lexsort((*by, group)) if by else np.argsort(group, kind="stable")
     if len(order):
         for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             yield int(group[own[0]]), pack([a[own] for a in arrays])
@@ -156,14 +156,14 @@ def _repeated(kind: Kind, entries):
 
 
 def _sorted(entries):
-    key, hi, lo, ids, check, first, _ = entries
-    order = np.lexsort((check, first, ids, lo, hi, key))
+    key, _, lo, ids, _, first, _ = entries
+    order = np.lexsort((first, ids, lo, key))
     return [a[order] for a in entries]
 
 
 def _verdicts(entries, which, blocks):
     _, _, _, ids, check, first, count = (a[which] for a in entries)
-    return [(1, b, blob) for b, blob in _packed(ids % blocks, (ids, check, first, _full(count & ~np.uint8(OWN))))]
+    return [(1, b, blob) for b, blob in _packed(ids % blocks, (ids, check, first, _full(count & ~np.uint8(OWN))), (first, ids))]
 
 
 _ROWS = "what int, number int, blob binary"
@@ -180,7 +180,9 @@ def _cut(kind: Kind, buckets: int, blocks: int):
     def flush(held):
         entries = _sorted([np.concatenate(x) for x in zip(*held)])
         later, go_on = _repeated(kind, entries)
-        rows = [(0, b, blob) for b, blob in _packed((entries[0][go_on] % np.uint64(buckets)).astype(np.int64), [a[go_on] for a in entries])]
+        sent = [a[go_on] for a in entries]
+        # a document's entries lie together, so that its id and check take next to no room
+        rows = [(0, b, blob) for b, blob in _packed((sent[0] % np.uint64(buckets)).astype(np.int64), sent, (sent[3],))]
         # repeats already known pass through any bucket
         return _batch(rows + _verdicts(entries, later, blocks))
 
@@ -194,7 +196,7 @@ def _cut(kind: Kind, buckets: int, blocks: int):
                     key, hi, lo, first, count = Tokens(text, kind.words).segments(kind.window, kind.gram, kind.within)
                     if len(key):
                         n = len(key)
-                        held.append((key, hi, lo, np.full(n, ids[k].as_py(), "<i8"), np.full(n, check_of(text), "<u8"), first.astype("<u4"), count))
+                        held.append((key, hi, lo, np.full(n, ids[k].as_py(), "<i8"), np.full(n, check_of(text), "<u4"), first.astype("<u4"), count))
                         size += len(text)
                 if size >= FLUSH:
                     yield flush(held)
@@ -221,7 +223,7 @@ def _meet(kind: Kind, blocks: int):
         rows = known + _verdicts(entries, later, blocks)
         hot = (np.bincount(which, contested) > kind.hot)[which]
         count = ((count & ~np.uint8(OWN)) | np.where(hot, HOT, 0)).astype("u1")
-        rows += [(2, b, blob) for b, blob in _packed(ids[contested] % blocks, [a[contested] for a in (key, ids, check, first, count)])]
+        rows += [(2, b, blob) for b, blob in _packed(ids[contested] % blocks, [a[contested] for a in (key, ids, check, first, count)], (first[contested], ids[contested]))]
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -242,7 +244,7 @@ def _rows_with(docs: pa.Table, kinds, blobs):
     for k in range(docs.num_rows):
         text, mine = texts[k].as_py() or b"", [a[lo[k] : hi[k]] for a in arrays]
         if again[k] and len(mine[0]):  # rows of this id may be meant for another text
-            fits = mine[at + 1] == np.uint64(check_of(text))
+            fits = mine[at + 1] == np.uint32(check_of(text))
             mine = [a[fits] for a in mine]
         yield k, text, mine
 
