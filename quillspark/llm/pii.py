@@ -8,7 +8,8 @@ equal values get equal pseudonyms in all documents, whatever their separators:
 
 - digits: the halves of the digits (telephone: those after the country code; card: all but the Luhn digit, which is renewed)
 - IPv4: the upper and the lower 16 bits; SSN: the area, and group with serial; dates: the day of a 400-year cycle, 189 * 773
-- e-mail: every letter and digit before the domain's last label moves within its class by a keyed hash of the whole address
+- e-mail (a local part of at most 64 characters, at most 127 labels of at most 63; what is longer is none, and labels beyond
+  the 127th stay): every letter and digit before the domain's last label moves within its class by a keyed hash of the whole address
   (a pseudonym, not a bijection)
 
 The key is a parameter; the default is for tests only. A null text stays null and counts 0; nothing is read but doc_id and text.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import documents, table
 
 KEY, ROUNDS = "key for tests", 8
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+# Every part is bounded and possessive, and starts only where a run of its characters does, so that no text takes more than
+# linear time or a deep stack: a local part has 1 to 64 characters, a domain 2 to 127 labels of 1 to 63.
+EMAIL = r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+"
 ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 US = r"(?<![\d/])\d{2}/\d{2}/\d{4}(?![\d/])"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
