@@ -4,15 +4,17 @@ Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and s
 target exceeds ``EPOCHS`` times its source's words, and what is cut off goes to the others by weight. That is one water
 level for all sources, found from running sums over the sources sorted by the level at which each is full.
 
-Schedule: slot i holds the golden-ratio point ``frac((i + 1) * 0.618...)``, mapped through the sources' cumulative slot
-counts, so that every stretch of the schedule has each source in its share. A slot's rank within its source names a block
-of ``BLOCK`` words of the source's stream: its documents in the order of a keyed hash, laid end to end, an epoch after an
-epoch. The last block taken is cut where the target ends. Slots that a source still lacks when the points are used up
-(discrepancy: a few) are appended. Ranks and stream positions are running sums in two levels (hash range or run of slots,
-then within it), so a hot source is spread over all tasks.
+Schedule: slot i holds the golden-ratio point ``(i + 1) * STEP mod 2**62`` (whole numbers, so that a point is exact at any i),
+which falls into one source's interval of the cumulative slot counts; so every stretch of the schedule has each source in its
+share. A slot's rank within its source names a block of ``BLOCK`` words of the source's stream: its documents in the order of a
+keyed hash, laid end to end, an epoch after an epoch. The last block taken is cut where the target ends. A source whose points
+are more than its slots (discrepancy: a few) leaves the last ones empty, and slots that a source still lacks are appended.
+``blocks_taken`` is the schedule with its blocks; a document's ``first_slot`` and ``slots`` say where in it its words stand.
+Ranks and stream positions are running sums in two levels (hash range or run of slots, then within it), so a hot source is
+spread over all tasks; ranges and runs grow in number and length with the square root of the slots.
 
 Nulls: a null text has no words; a null source is a source of its own; a null doc_id is a row like any other. Rows that
-repeat are separate documents. A document without words takes nothing.
+repeat are separate documents. A document without words takes nothing, and has no slot.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD, materialize, table
 
 WEIGHTS, SHARE, EPOCHS, BLOCK, RUN, SEED = (5, 2, 1), 1.5, 2, 256, 1 << 12, "mix-1"
+#: The golden ratio's fraction of 2**62, odd.
+STEP, TURN = 2850178704830799621, 62
+HALF = 1 << 31
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -58,15 +63,27 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
     return t.select("sid", "source", "source_size", "target", "quota", "blocks", need.alias("need"))
 
 
-def schedule(mix: DataFrame, run: int = RUN) -> DataFrame:
+def point(n) -> F.Column:
+    """``n * STEP mod 2**62`` of a number under 2**61, in longs: by halves of 31 bits no product overflows."""
+    lo, hi = STEP % HALF, STEP // HALF
+    n_lo, n_hi = n.bitwiseAND(F.lit(HALF - 1)), F.shiftright(n, 31)
+    upper = (n_hi * F.lit(lo) % F.lit(HALF) + n_lo * F.lit(hi) % F.lit(HALF)) % F.lit(HALF) * F.lit(HALF)
+    low = n_lo * F.lit(lo)
+    # upper and low are under 2**62 each, so their sum is a long
+    return (upper + low) % F.lit(1 << TURN)
+
+
+def schedule(mix: DataFrame, run: int | None = None) -> DataFrame:
     """The slots: slot, sid, rank (of the slot within its source)."""
     n = mix.agg(F.sum("need")).first()[0] or 0
-    spark, bins = mix.sparkSession, 1024
-    width = max(1, -(-n // bins))
+    run = run or max(RUN, int(n**0.5))
+    spark, shift = mix.sparkSession, TURN - 10
+    # a source's interval of points: its cumulative share of the slots, in units of 2**-62
+    edge = lambda c: F.expr(f"cast(cast({c} as decimal(38,0)) * {1 << TURN} div {max(1, n)} as bigint)")
     ends = mix.where("need > 0").withColumn("hi", F.sum("need").over(W.orderBy("sid"))).withColumn("lo", F.expr("hi - need"))
-    cells = ends.select("sid", "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("bin"))
-    point = F.floor(((F.col("id") + 1) * F.lit(0.6180339887498949) % 1.0) * n)
-    slots = spark.range(n).withColumn("p", F.least(point, F.lit(n - 1))).withColumn("bin", F.expr(f"p div {width}"))
+    ends = ends.select("sid", edge("lo").alias("lo"), edge("hi").alias("hi"))
+    cells = ends.select("sid", "lo", "hi", F.explode(F.expr(f"sequence(shiftright(lo, {shift}), shiftright(hi - 1, {shift}))")).alias("bin"))
+    slots = spark.range(n).withColumn("p", point(F.col("id") + 1)).withColumn("bin", F.expr(f"shiftright(p, {shift})"))
     slots = slots.join(cells, "bin").where("p >= lo and p < hi").select("id", "sid", F.expr(f"id div {run}").alias("run"))
     counts = slots.groupBy("sid", "run").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("run")) - F.col("n")).drop("n")
@@ -74,15 +91,25 @@ def schedule(mix: DataFrame, run: int = RUN) -> DataFrame:
     ranked = slots.withColumn("k", within).join(before, ["sid", "run"]).select("id", "sid", (F.col("before") + F.col("k")).alias("rank"))
     ranked = ranked.join(mix.select("sid", "need"), "sid").where("rank < need").drop("need")
     have = counts.groupBy("sid").agg(F.sum("n").alias("have"))
-    late = mix.join(have, "sid", "left").where("need > coalesce(have, 0)").select(
-        F.lit(n).alias("id"), "sid", F.explode(F.expr("sequence(coalesce(have, 0L), need - 1)")).alias("rank")
+    short = mix.join(have, "sid", "left").select("sid", "need", F.expr("least(need, coalesce(have, 0L))").alias("have")).where("need > have")
+    short = short.withColumn("start", F.lit(n) + F.sum(F.expr("need - have")).over(W.orderBy("sid")) - F.expr("need - have"))
+    late = short.select("sid", "start", "have", F.explode(F.expr("sequence(have, need - 1)")).alias("rank"))
+    return ranked.select(F.col("id").alias("slot"), "sid", "rank").union(late.selectExpr("start + rank - have", "sid", "rank"))
+
+
+def blocks_taken(mix: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The schedule with what each slot takes: slot, sid, block (its number in the source's stream), words (from its start)."""
+    return schedule(mix).join(mix, "sid").select(
+        "slot", "sid", F.expr("rank % blocks").alias("block"),
+        F.expr(f"least({block}L, source_size - rank % blocks * {block}, quota - rank div blocks * source_size - rank % blocks * {block})").alias("words"),
     )
-    return ranked.select(F.col("id").alias("slot"), "sid", "rank").union(late.select("id", "sid", "rank"))
 
 
 def streams(sizes: DataFrame, mix: DataFrame) -> DataFrame:
     """The documents in their source's stream: words lo to hi of it, row (with part: unique in a source)."""
-    d = sizes.join(mix.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).withColumn("part", F.substring("key", 1, 3))
+    slots = mix.agg(F.sum("need")).first()[0] or 0
+    digits = 3 if slots < 1 << 32 else 4  # hash ranges: 4096, then 65,536
+    d = sizes.join(mix.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).withColumn("part", F.substring("key", 1, digits))
     parts = d.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("part")) - F.col("n")).drop("n")
     order = W.partitionBy("sid", "part").orderBy("key", "doc_id", "size")
@@ -91,27 +118,31 @@ def streams(sizes: DataFrame, mix: DataFrame) -> DataFrame:
 
 
 def mix_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """A row for each document: doc_id, size, source, source_size, target, taken."""
+    """A row for each document: doc_id, size, source, source_size, target, taken, first_slot (null: none), slots."""
     sizes = materialize(sized(docs))
     mix = materialize(targets(sizes, weights, share, epochs, block))
-    slots = schedule(mix).join(mix, "sid").select(
-        "sid", F.expr("rank % blocks").alias("block"),
-        F.expr(f"least({block}L, source_size - rank % blocks * {block}, quota - rank div blocks * source_size - rank % blocks * {block})").alias("words"),
-    )
     pieces = streams(sizes, mix).withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(lo div {block}, (hi - 1) div {block}), null)")))
     # least() and greatest() skip nulls, so a block that no slot takes has to be told apart
     overlap = F.expr(f"if(words is null, 0L, greatest(0L, least(hi, block * {block} + words) - greatest(lo, block * {block})))")
-    taken = pieces.join(slots, ["sid", "block"], "left").groupBy("sid", "part", "row", "doc_id", "size").agg(F.sum(overlap).alias("taken"))
-    return taken.join(mix, "sid").select("doc_id", "size", "source", "source_size", "target", "taken")
+    pieces = pieces.join(blocks_taken(mix, block), ["sid", "block"], "left").withColumn("overlap", overlap)
+    taken = pieces.groupBy("sid", "part", "row", "doc_id", "size").agg(
+        F.sum("overlap").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"), F.count_if(F.col("overlap") > 0).alias("slots")
+    )
+    return taken.join(mix, "sid").select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "slots")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents of which the mix takes words, with all their columns, size and taken (words, repeats counted).
-
-    Of rows that repeat a doc_id the largest taken counts."""
-    taken = mix_words(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    docs = docs.drop("size", "taken")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).drop("_id").withColumnsRenamed({"_size": "size", "_taken": "taken"})
+    """The documents of which the mix takes words, with all their columns, and size, taken (words, repeats counted) and
+    first_slot, by which the mix is read in its order.
+
+    Of rows that repeat a doc_id the largest taken counts for each. Columns of the input with one of these three names go on as
+    ``given_size``, ``given_taken`` and ``given_first_slot``."""
+    made = ("size", "taken", "first_slot")
+    taken = mix_words(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(
+        F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.min("first_slot").alias("_first_slot")
+    )
+    docs = docs.withColumnsRenamed({c: "given_" + c for c in docs.columns if c.lower() in made})
+    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["_id"])).drop("_id").withColumnsRenamed({"_" + c: c for c in made})
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,12 +160,27 @@ l as (select *, cap / weight as full_at, sum(source_size) over ()::double * 1.5:
              sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, sid rows between unbounded preceding and 1 preceding), 0) as left_weight
       from c),
 v as (select *, (select (total - filled) / left_weight from l where (total - filled) / left_weight <= full_at order by full_at, sid limit 1) as level from l),
-t as (select source, source_size, least(cap, coalesce(level * weight, cap)) as target, floor(least(cap, coalesce(level * weight, cap)))::bigint as quota from v),
-p as (select d.doc_id, d.size, t.source_size, t.target, t.quota,
+t as (select sid, source, source_size, least(cap, coalesce(level * weight, cap)) as target, floor(least(cap, coalesce(level * weight, cap)))::bigint as quota from v),
+b as (select *, (source_size + 255) // 256 as blocks,
+             case when source_size = 0 then 0 else quota // source_size * ((source_size + 255) // 256) + (quota % source_size + 255) // 256 end as need from t),
+e as (select *, sum(need) over () as n, sum(need) over (order by sid) as reach from b),
+i as (select *, (reach - need)::hugeint * 4611686018427387904 // n as lo, reach::hugeint * 4611686018427387904 // n as hi from e where need > 0),
+r as (select unnest(range(coalesce(max(n), 0)::bigint)) as id from e),
+g as (select id, (id + 1)::hugeint * 2850178704830799621 % 4611686018427387904 as p from r),
+h as (select g.id as slot, i.sid, row_number() over (partition by i.sid order by g.id) - 1 as rank from g join i on g.p >= i.lo and g.p < i.hi),
+f as (select e.sid, e.need, least(e.need, coalesce(x.have, 0)) as have, e.n from e left join (select sid, count(*) as have from h group by sid) x on x.sid = e.sid),
+z as (select *, n + sum(need - have) over (order by sid) - (need - have) as start from f where need > have),
+o as (select h.slot, h.sid, h.rank from h join b on h.sid = b.sid where h.rank < b.need
+      union all select start + r - have, sid, r from (select *, unnest(range(have::bigint, need::bigint)) as r from z)),
+k as (select o.slot, b.sid, o.rank % blocks * 256 as first,
+             o.rank % blocks * 256 + least(256, source_size - o.rank % blocks * 256, quota - o.rank // blocks * source_size - o.rank % blocks * 256) as last
+      from o join b on o.sid = b.sid),
+p as (select d.doc_id, d.size, b.sid, b.source_size, b.target,
              sum(d.size) over (partition by d.source order by d.k, d.doc_id, d.size rows unbounded preceding)::bigint as hi
-      from d join t on d.source is not distinct from t.source)
+      from d join b on d.source is not distinct from b.source)
 select doc_id, size, source_size, target,
-       (case when size = 0 then 0 else quota // source_size * size + greatest(0, least(hi, quota % source_size) - (hi - size)) end)::bigint as taken
-from p
+       coalesce(sum(case when k.slot is not null then least(p.hi, k.last) - greatest(p.hi - size, k.first) end), 0)::bigint as taken, min(k.slot)::bigint as first_slot, count(k.slot) as slots
+from p left join k on p.sid = k.sid and k.first < p.hi and k.last > p.hi - size
+group by doc_id, size, source_size, target
 """
 QUERIES, ORACLES = {"op8_mixing": op8_mixing}, {"op8_mixing": SQL}
