@@ -329,13 +329,51 @@ def test_pii_permutes(spark):
     assert short.distinct().count() == 10000
 
 
-def test_licences(spark):
+NOTICES = {
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 2 of the License, or\n(at your option) any later version.",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "agpl": "it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "cc0": "To the extent possible under law, Jo Doe has waived all copyright and\nrelated or neighboring rights to this work.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files, to deal in the Software without\nrestriction, including without limitation the rights to use, copy, modify, merge,\npublish, distribute, sublicense, and/or sell copies of the Software.",
+    "unlicense": "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute\nthis software, either in source code form or as a compiled binary.",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer.",
+    "apache": "Released under the Apache License, Version 2.0",
+    "mpl": "This file is covered by the terms of the Mozilla Public License, v. 2.0.",
+}
+
+
+@pytest.fixture(scope="module")
+def licence_model(spark):
+    return licenses.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_wrapped_notices(spark, licence_model):
+    """Notices over several lines, alone, in prose without blank lines, and between paragraphs."""
+    prose = "the river was low that summer\nand nobody came to the house\nby the road"
+    data, want = [], []
+    for family, notice in NOTICES.items():
+        for text in (notice, f"{prose}\n{notice}\n{prose}", f"{prose}\n\n{notice}\n\n{prose}"):
+            data.append((len(data), text))
+            want.append(family)
+    data += [(900, prose), (901, "The licence plate of the car was free of charge in the city."), (902, "All rights reserved."), (903, "word " * 200_000), (904, "\n" * 100_000)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, "doc_id long, text string"), licence_model).collect()}
+    assert [(got[k].family, got[k].confirmed, got[k].n_licensed) for k in range(len(want))] == [(f, True, 1) for f in want]
+    assert [got[k].n_paragraphs for k in (0, 1, 2)] == [1, 1, 3]
+    assert not any(got[k].confirmed for k in (900, 901, 902, 903, 904)) and got[902].family == "unknown" and got[900].family == "none"
+
+
+def test_licence_calibration(licence_model):
+    assert licence_model.error < 0.08
+
+
+def test_licences(spark, licence_model):
     sf = "/root/testdata/sf0.01"
     truth = {"under the GNU": "gpl", "under CC BY": "cc", "MIT License": "mit", "the Apache License": "apache"}
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    got = {r.doc_id: r for r in licenses.scan(d).collect()}
+    got = {r.doc_id: r for r in licenses.scan(d, licence_model).collect()}
     for x in d.collect():
         want = {f for p, f in truth.items() if p in x.text}
         assert got[x.doc_id].confirmed == bool(want) and (not want or got[x.doc_id].family in want)
     edge = licenses.scan(docs(spark)).collect()
-    assert len(edge) == len(rows()) and licenses.scan(docs(spark, [])).count() == 0
+    assert {(r.family, r.confirmed, r.n_licensed) for r in edge} == {("none", False, 0)} and len(edge) == len(rows()) and licenses.scan(docs(spark, [])).count() == 0
