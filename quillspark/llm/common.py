@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII characters; ``bytes.split()`` splits on exactly them.
@@ -75,6 +77,36 @@ def rows_of(batch: pa.RecordBatch):
         yield ids[k].as_py(), texts[k].as_py()
 
 
+def raw_name(text: bytes) -> bytes:
+    """128 bits that name a text as it is; ``keep_rows`` tells rows of one doc_id apart by them."""
+    return hashlib.sha256(text).digest()[:16]
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that ``keep`` lists by doc_id and raw name; of rows equal in both one is left."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    left = docs.withColumns({"__quill_raw": F.unhex(F.substring(F.sha2(text, 256), 1, 32)), "__quill_id": F.col("doc_id").cast("long")})
+    keep = keep.select(F.col("doc_id").alias("__quill_kept_id"), F.col("raw").alias("__quill_kept_raw"))
+    left = left.join(keep, left["__quill_id"].eqNullSafe(keep["__quill_kept_id"]) & (left["__quill_raw"] == keep["__quill_kept_raw"]), "left_semi")
+    nth = F.row_number().over(W.partitionBy("__quill_id", "__quill_raw").orderBy("__quill_raw"))
+    return left.withColumn("__quill_nth", nth).where("__quill_nth = 1").select(docs.columns)
+
+
+def keep_where(docs: DataFrame, judge) -> DataFrame:
+    """The documents, with all their columns, whose text ``judge()`` - called once a task for a function of bytes - accepts.
+
+    A map: no row leaves its task, and each is judged by its own text, whatever other rows have its doc_id."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        accepts = judge()
+        for batch in batches:
+            texts = batch.column(at).cast(pa.large_string()).cast(pa.large_binary())
+            yield batch.filter(pa.array([accepts(texts[k].as_py()) for k in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial hash modulo 2**64 of bytes: (sums, inverse powers), so that
     ``(sums[e] - sums[s]) * inverse[s]`` hashes ``data[s:e]`` wherever it stands."""

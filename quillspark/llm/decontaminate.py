@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, mixed, prefix_hash, rows_of, table
+from quillspark.llm.common import documents, keep_where, mixed, prefix_hash, rows_of, table
 
 SEED_WORDS, THRESHOLD, BLOCK_BYTES = 3, 0.5, 16 << 20
 MATCH, MISS, GAP = 2, -1, -1
@@ -143,23 +143,35 @@ def _block_leaks(docs: DataFrame, rows, threshold: float) -> DataFrame:
     return docs.mapInArrow(find, _ROWS)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document and item that it holds: doc_id, item_id, score, seeds, start_word, end_word (exclusive)."""
-    docs = documents(docs)
+def _blocks(benchmark: DataFrame, block_bytes: int):
+    """The items, collected in blocks of at most about ``block_bytes`` of text, one at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    out = None
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        found = _block_leaks(docs, sorted(map(tuple, block.collect()), key=str), threshold)
+        yield sorted(map(tuple, block.collect()), key=str)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document and item that it holds: doc_id, item_id, score, seeds, start_word, end_word (exclusive)."""
+    docs, out = documents(docs), None
+    for rows in _blocks(benchmark, block_bytes):
+        found = _block_leaks(docs, rows, threshold)
         out = found if out is None else out.union(found)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows whose own text holds no test item, with all their columns; a map without a shuffle, once for each block of items."""
+    for rows in _blocks(benchmark, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(Items(rows))
+
+        def judge(sent=sent):
+            items = sent.value
+            return lambda text: not text or next(items.leaks(*word_hashes(text.decode("utf-8", "replace")), threshold), None) is None
+
+        docs = keep_where(docs, judge)
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,10 +19,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, materialize, rows_of, table
+from quillspark.llm.common import documents, keep_rows, materialize, raw_name, rows_of, table
 
 AVERAGE_BITS, LEAST, MOST = 10, 256, 16384
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -64,7 +63,7 @@ def _recipes(batches):
             text = text or b""
             data = text.translate(None, _SPACE)
             chars = len(text.decode("utf-8", "replace"))
-            out.append((doc_id, chars, hashlib.sha256(data).hexdigest(), hashlib.sha256(text).digest()[:16], digests_of(data)))
+            out.append((doc_id, chars, hashlib.sha256(data).hexdigest(), raw_name(text), digests_of(data)))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.binary()))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in _RECIPES.split(", ")])
 
@@ -109,12 +108,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns: one row of each group of equal texts.
 
     A verdict is for a doc_id with the text it has; of rows equal in both one is left."""
-    keep = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("raw").alias("_kept_raw"))
-    raw = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256), 1, 32))
-    left = docs.withColumn("_raw", raw)
-    left = left.join(keep, left["doc_id"].cast("long").eqNullSafe(keep["_kept_id"]) & (left["_raw"] == keep["_kept_raw"]), "left_semi")
-    nth = F.row_number().over(W.partitionBy("doc_id", "_raw").orderBy("_raw"))
-    return left.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_raw")
+    return keep_rows(docs, exact_groups(docs).where("kept"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

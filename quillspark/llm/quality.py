@@ -5,13 +5,15 @@ compressed with each, in blocks of ``BLOCK`` bytes so that a long text can't ser
 the two sizes over the text's length says which kind it resembles, and a logistic curve of it and the text's shortness, fitted
 on labelled rows that built no dictionary, turns it into a probability. Scoring reads whole texts and nothing but the text.
 
-Fitting uses at most ``SAMPLE`` labelled rows (those with the smallest hash of doc_id) and at most ``EXCERPT`` characters
-of each: that bound makes the driver's work and the broadcast model (two dictionaries of ``DICTIONARY`` bytes) constant. All
+Fitting uses at most ``SAMPLE`` labelled rows (those with the smallest hash of doc_id) and at most ``PIECES`` pieces of
+``PIECE`` characters of each, drawn by hash from its whole length: that bound makes the driver's work (some 100 MB at most) and the
+broadcast model (two dictionaries of ``DICTIONARY`` bytes) constant. All
 counts else are over all rows. Three quarters of the sample build the dictionaries, one quarter fits the curve; if a part
 lacks a class, all of the sample serves for both, and without any of one class the score is the other's share.
 
 Nulls: a null text is scored as an empty one; a null doc_id isn't held out and never trains; labels that are null are
-ignored. An empty text has the score of difference 0. Repeated rows get equal results.
+ignored. An empty text has the score of difference 0. Repeated rows get equal results; of several texts of a labelled doc_id the
+smallest trains.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, rows_of, table
+from quillspark.llm.common import documents, keep_where, rows_of, table
 
-SAMPLE, EXCERPT, DICTIONARY, PIECE, BLOCK, SHORT, LEVEL, THRESHOLD = 6000, 16384, 112 << 10, 1024, 1024, 64, 3, 0.7
+SAMPLE, PIECES, DICTIONARY, PIECE, BLOCK, SHORT, LEVEL, THRESHOLD = 6000, 16, 112 << 10, 1024, 1024, 64, 3, 0.7
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 4 = 2, false)"
 
 
@@ -104,14 +106,24 @@ def fit_rows(rows: list[tuple[int, str, int]]) -> Model:
     return Model(model.good, model.bad, _logistic(x, np.array([r[2] for r in check], float)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, excerpt: int = EXCERPT) -> Model:
+def drawn(doc_id: Column, text: Column, pieces: int = PIECES) -> Column:
+    """The text, or if it is longer ``pieces`` pieces of it in their order, those with the smallest hashes."""
+    last = F.floor((F.length(text) - 1) / PIECE).cast("int")
+    every = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.xxhash64(doc_id, k), k.alias("k")))
+    chosen = F.array_sort(F.transform(F.slice(F.array_sort(every), 1, pieces), lambda x: x["k"]))
+    parts = F.transform(chosen, lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+    return F.when(last < pieces, text).otherwise(F.array_join(parts, ""))
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pieces: int = PIECES) -> Model:
     chosen = (
         labels.where(f"quality is not null and doc_id is not null and not {HELD_OUT}")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    texts = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce(F.substring("text", 1, excerpt), F.lit("")), "quality")
-    return fit_rows([(r[0], r[1], int(r[2] == 1)) for r in texts.dropDuplicates(["doc_id"]).collect()])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = documents(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", drawn(F.col("doc_id"), text, pieces).alias("text"), "quality")
+    return fit_rows([(r[0], r[1], int(r[2] == 1)) for r in texts.groupBy("doc_id").agg(F.min("text"), F.min("quality")).collect()])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -134,9 +146,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns."""
-    good = score(docs, fit(docs, labels)).where("predicted = 1").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_kept_id"]), "left_semi")
+    """The rows whose own text the classifier doesn't reject, with all their columns; a map without a shuffle of texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def judge():
+        model = sent.value
+        tools = model.compressors()
+        return lambda text: model.score(text or b"", tools) >= THRESHOLD
+
+    return keep_where(docs, judge)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
