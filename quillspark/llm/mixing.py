@@ -138,11 +138,12 @@ def mixed(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id the largest taken counts for each. Columns of the input with one of these three names go on as
     ``given_size``, ``given_taken`` and ``given_first_slot``."""
     made = ("size", "taken", "first_slot")
-    taken = mix_words(docs).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("size").alias("_size"), F.max("taken").alias("_taken"), F.min("first_slot").alias("_first_slot")
+    taken = mix_words(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__quill_id")).agg(
+        F.max("size").alias("__quill_size"), F.max("taken").alias("__quill_taken"), F.min("first_slot").alias("__quill_first_slot")
     )
     docs = docs.withColumnsRenamed({c: "given_" + c for c in docs.columns if c.lower() in made})
-    return docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["_id"])).drop("_id").withColumnsRenamed({"_" + c: c for c in made})
+    both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__quill_id"]))
+    return both.drop("__quill_id").withColumnsRenamed({"__quill_" + c: c for c in made})
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ Components come from alternating large-star and small-star steps, each cut by a
 
 ``near_dedup``, the stage for corpora, joins texts whose distinct five-word shingles have a Jaccard similarity of ``ALIKE`` (4 / 5) or
 more. Fingerprints only propose pairs: those of ``WIDE_WORDS`` words of 64 bits that differ in ``WIDE_RADIUS`` bits at most (a pair
-of similarity 0.8 differs in some 38) and meet in one of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed.
+of similarity 0.8 differs in some 38) and meet in one of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed;
+``forest`` gives more bits to over 2**20 texts, so that leaves stay as small, and as many more trees as keep the chance to meet.
 Every proposed pair is told by the Jaccard similarity of its shingles themselves. A leaf with more than ``PAIRS`` pairs a text
 proposes each text's nearest first, and then all pairs that the links found so far don't join. So no link is wrong (but for equal
 64-bit hashes), and one is missed only if its pair meets in no tree. Texts with equal sets of shingles are one node.
@@ -22,6 +23,8 @@ the fingerprint zero; a null doc_id gets its fingerprint's component. Repeated r
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,13 +32,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import documents, materialize, mixed, rows_of, table
+from quillspark.llm.common import documents, keep_rows, materialize, mixed, raw_name, rows_of, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 BRANCH, LEAF, SHARD_BITS = 50_000, 64, 7
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS, PAIRS = 5, 4, 58, 64, 14, 32
 ALIKE = (4, 5)
-_DRAWN = np.stack([np.random.default_rng(k).permutation(64 * WIDE_WORDS)[:TREE_BITS] for k in range(TREES)])
+LEAF_ROWS = 50_000  # rows of a task's group of leaves
+
+
+@lru_cache
+def _drawn(trees: int, bits: int) -> np.ndarray:
+    return np.stack([np.random.default_rng(k).permutation(64 * WIDE_WORDS)[:bits] for k in range(trees)])
+
+
+def forest(texts: int) -> tuple[int, int, int]:
+    """(trees, bits of a leaf, groups of leaves of a tree) for so many texts."""
+    bits = max(TREE_BITS, min(30, (max(1, texts) - 1).bit_length() - 6))
+    meet = (1 - 38 / (64 * WIDE_WORDS)) ** bits
+    return max(TREES, int(np.ceil(np.log(0.001) / np.log(1 - meet)))), bits, max(16, texts // LEAF_ROWS)
+
 
 KEY, WIDE = ("key0", "key1"), tuple(f"fp{k}" for k in range(WIDE_WORDS))
 
@@ -72,13 +88,13 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.array([majority(mixed(h ^ np.uint64(0x9E3779B97F4A7C15 * k & (1 << 64) - 1))) for k in range(WIDE_WORDS)], np.uint64)
 
 
-def leaves_of(points: np.ndarray, trees: int = TREES) -> np.ndarray:
+def leaves_of(points: np.ndarray, trees: int = TREES, depth: int = TREE_BITS) -> np.ndarray:
     """The leaf of each wide fingerprint in each of the first trees."""
     out = np.zeros((len(points), trees), np.int32)
     for at in range(0, len(points), 1024):
         bits = np.unpackbits(np.ascontiguousarray(points[at : at + 1024]).view(np.uint8).reshape(-1, 8 * WIDE_WORDS), axis=1, bitorder="little")
-        for k in range(TREE_BITS):
-            out[at : at + 1024] |= bits[:, _DRAWN[:trees, k]].astype(np.int32) << k
+        for k, drawn in enumerate(_drawn(trees, depth).T):
+            out[at : at + 1024] |= bits[:, drawn].astype(np.int32) << k
     return out
 
 
@@ -89,28 +105,24 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 def _wide(batches):
     for batch in batches:
-        ids, keys, words = [], [], []
+        ids, raws, keys, words = [], [], [], []
         for doc_id, text in rows_of(batch):
             h = np.unique(shingles(text, WIDE_SHINGLE))
             ids.append(doc_id)
+            raws.append(raw_name(text or b""))
             keys.append(set_key(h))
             words.append(wide_fingerprint(h))
         k, w = np.array(keys, np.int64).reshape(-1, 2), np.array(words, np.uint64).reshape(-1, WIDE_WORDS).view(np.int64)
-        columns = [pa.array(ids, pa.int64()), *(pa.array(x) for x in k.T), *(pa.array(x) for x in w.T)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, *WIDE])
+        columns = [pa.array(ids, pa.int64()), pa.array(raws, pa.binary()), *(pa.array(x) for x in k.T), *(pa.array(x) for x in w.T)]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "raw", *KEY, *WIDE])
 
 
 def _sets(batches):
-    """The shingles of the texts that have the set their representative stands for."""
+    """The distinct shingles of representatives' texts."""
     for batch in batches:
-        key, out = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), ([], [], [], [])
-        for (doc_id, text), own in zip(rows_of(batch), key):
-            h = np.unique(shingles(text, WIDE_SHINGLE))
-            if set_key(h) == own:
-                for x, y in zip(out, (doc_id, *own, h.view(np.int64))):
-                    x.append(y)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["rep", *KEY, "shingles"])
+        rows = list(rows_of(batch))
+        sets = [np.unique(shingles(text, WIDE_SHINGLE)).view(np.int64) for _, text in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "shingles"])
 
 
 def _fingerprints(batches):
@@ -274,7 +286,7 @@ def _nearest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
     return some, best[some] & (1 << 40) - 1
 
 
-def _propose(bound: int | None):
+def _propose(bound: int | None, depth: int = TREE_BITS):
     """Pairs (u, v) of a shard to be told by their shingles. A leaf of more than ``bound`` pairs a point gives only each point's
     nearest, and a row (null, leaf) that says so; without a bound, all pairs of different components."""
 
@@ -311,7 +323,7 @@ def _propose(bound: int | None):
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (all_a, all_b))
         if len(a) and tree:  # a pair is proposed by the first tree in which it meets
             used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-            before = leaves_of(points[used], tree)
+            before = leaves_of(points[used], tree, depth)
             x, y = where[: len(a)], where[len(a) :]
             fresh = np.concatenate([~(before[x[k : k + 65536]] == before[y[k : k + 65536]]).any(axis=1) for k in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
@@ -327,48 +339,60 @@ def _propose(bound: int | None):
 
 def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) of representatives whose shingles have a Jaccard similarity of ``ALIKE`` or more."""
-    pairs = pairs.where("u <> v").select("u", "v").distinct()
-    pairs = materialize(pairs)
+    pairs = materialize(pairs.where("u <> v").select("u", "v").distinct())
     used = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
-    named = reps.select("rep", *KEY).join(used, "rep")
-    texts = documents(docs).join(named, F.col("doc_id") == named["rep"]).select("doc_id", "text", *KEY)
-    sets = materialize(texts.mapInArrow(_sets, "rep long, key0 long, key1 long, shingles array<long>").dropDuplicates(["rep", *KEY]).select("rep", "shingles"))
+    named = reps.join(used, "rep").select("rep", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"))
+    raw = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
+    texts = documents(docs).withColumn("raw", raw).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
+    sets = materialize(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]))
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("i"))
     return materialize(both.where(F.col("i") * ALIKE[1] >= (F.col("n") - F.col("i")) * ALIKE[0]).select("u", "v").distinct())
 
 
-def similar_groups(docs: DataFrame, bound: int = PAIRS) -> DataFrame:
-    """doc_id, component_id of each document: components of texts whose five-word shingles are alike."""
-    prints = materialize(documents(docs).mapInArrow(_wide, "doc_id long, " + ", ".join(f"{w} long" for w in (*KEY, *WIDE))))
-    reps = materialize(prints.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), *[F.any_value(w).alias(w) for w in WIDE]))
+def _similar(docs: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, raw, key0, key1), and the sets of shingles (key0, key1, doc_id, component)."""
+    prints = materialize(documents(docs).mapInArrow(_wide, "doc_id long, raw binary, " + ", ".join(f"{w} long" for w in (*KEY, *WIDE))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first")
+    reps = prints.groupBy(*KEY).agg(first, *[F.any_value(w).alias(w) for w in WIDE]).select(*KEY, "first.doc_id", "first.raw", *WIDE)
+    reps = materialize(reps.withColumn("rep", F.monotonically_increasing_id()))  # a set's number: written, so it stays
+    points = reps.select("rep", *WIDE)
+    trees, depth, groups = forest(points.count())
 
     def leaves(batches):
         for batch in batches:
             points = np.stack([batch.column(k + 1).to_numpy() for k in range(WIDE_WORDS)], 1).view(np.uint64)
-            found = pa.FixedSizeListArray.from_arrays(pa.array(leaves_of(points).ravel()), TREES).cast(pa.list_(pa.int32()))
+            found = pa.FixedSizeListArray.from_arrays(pa.array(leaves_of(points, trees, depth).ravel()), trees).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["rep", *WIDE, "leaves"])
 
-    points = reps.where("rep is not null").select("rep", *WIDE)
     rows = points.mapInArrow(leaves, "rep long, " + ", ".join(f"{w} long" for w in WIDE) + ", leaves array<int>").select("rep", *WIDE, F.posexplode("leaves").alias("tree", "leaf"))
-    shard = (F.col("leaf") % 16).alias("shard")
-    proposed = materialize(rows.groupBy("tree", shard).applyInPandas(_propose(bound), "u long, v long, tree int"))
+    proposed = materialize(rows.groupBy("tree", (F.col("leaf") % groups).alias("shard")).applyInPandas(_propose(bound, depth), "u long, v long, tree int"))
     links = alike(proposed.where("u is not null"), reps, docs)
     found = components(links)
     hot = materialize(proposed.where("u is null").select("tree", F.col("v").cast("int").alias("leaf")))
     if not hot.isEmpty():
         found = materialize(found)
-        again = rows.join(F.broadcast(hot), ["tree", "leaf"]).join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
-        more = again.groupBy("tree", "leaf").applyInPandas(_propose(None), "u long, v long, tree int")
+        again = rows.join(hot, ["tree", "leaf"]).join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
+        more = again.groupBy("tree", "leaf").applyInPandas(_propose(None, depth), "u long, v long, tree int")
         found = components(links.union(alike(more, reps, docs)))
-    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*KEY, F.coalesce("root", "rep").alias("component_id")))
-    return prints.join(named, list(KEY)).select("doc_id", "component_id")
+    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*KEY, "doc_id", F.coalesce("root", "rep").alias("component")))
+    return prints.select("doc_id", "raw", *KEY), named
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component of similar texts the one with the smallest doc_id, with all its columns."""
-    keep = similar_groups(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_kept_id"]), "left_semi")
+def similar_groups(docs: DataFrame, bound: int = PAIRS) -> DataFrame:
+    """doc_id, component_id of each row: components of texts whose five-word shingles are alike (null: no row of it has a doc_id)."""
+    prints, named = _similar(docs, bound)
+    ids = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    return prints.join(named.drop("doc_id").join(ids, "component"), list(KEY)).select("doc_id", "component_id")
+
+
+def near_dedup(docs: DataFrame, bound: int = PAIRS) -> DataFrame:
+    """The documents that stay, with all their columns: of each component of similar texts one row, that with the smallest
+    doc_id (null is the largest; of several texts of that doc_id the one with the smallest SHA-256)."""
+    prints, named = _similar(docs, bound)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("first")
+    keep = prints.join(named.drop("doc_id"), list(KEY)).groupBy("component").agg(first)
+    return keep_rows(docs, keep.select("first.doc_id", "first.raw"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -350,3 +350,33 @@ def test_similar_texts_are_told_by_their_shingles(spark, bound):
     assert 100 < len(pairs) and 50 < sum(k + 1 < 600 and (k, k + 1) not in pairs for k in range(0, 600, 2))
     assert all(root[got[k]] == root[k] for k in got)  # no link is wrong
     assert sum(got[k] == root[k] for k in got) >= 0.98 * len(got)
+
+
+def test_near_groups_of_a_whole_table_against_brute_force(spark):
+    """All pairs of sf0.01 that share a five-word shingle, told by their Jaccard similarity: precision and recall of the links."""
+    sets = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        w = tokens(re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    holders, shared = {}, {}
+    for d, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(d)
+    for own in holders.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    links = [p for p, n in shared.items() if 5 * n >= 4 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    missed = [p for p in links if got[p[0]] != got[p[1]]]
+    assert len(links) > 100 and len(missed) <= 0.01 * len(links)
+    assert all(find(d) == find(c) for d, c in got.items())  # no link is wrong
