@@ -83,12 +83,14 @@ def raw_name(text: bytes) -> bytes:
 
 
 def keep_rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that ``keep`` lists by doc_id and raw name; of rows equal in both one is left."""
+    """The documents, with all their columns, that ``keep`` lists by doc_id and raw name; of rows equal in both one is left.
+
+    The key is one string that is never null, so the join's exchange serves the window as well."""
+    key = lambda raw: F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), raw)
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    left = docs.withColumns({"__quill_raw": F.unhex(F.substring(F.sha2(text, 256), 1, 32)), "__quill_id": F.col("doc_id").cast("long")})
-    keep = keep.select(F.col("doc_id").alias("__quill_kept_id"), F.col("raw").alias("__quill_kept_raw"))
-    left = left.join(keep, left["__quill_id"].eqNullSafe(keep["__quill_kept_id"]) & (left["__quill_raw"] == keep["__quill_kept_raw"]), "left_semi")
-    nth = F.row_number().over(W.partitionBy("__quill_id", "__quill_raw").orderBy("__quill_raw"))
+    left = docs.withColumn("__quill_key", key(F.substring(F.sha2(text, 256), 1, 32)))
+    left = left.join(keep.select(key(F.lower(F.hex("raw"))).alias("__quill_key")), "__quill_key", "left_semi")
+    nth = F.row_number().over(W.partitionBy("__quill_key").orderBy("__quill_key"))
     return left.withColumn("__quill_nth", nth).where("__quill_nth = 1").select(docs.columns)
 
 

@@ -14,8 +14,10 @@ more. Fingerprints only propose pairs: those of ``WIDE_WORDS`` words of 64 bits
 of similarity 0.8 differs in some 38) and meet in one of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed;
 ``forest`` gives more bits to over 2**20 texts, so that leaves stay as small, and as many more trees as keep the chance to meet.
 Every proposed pair is told by the Jaccard similarity of its shingles themselves. A leaf with more than ``PAIRS`` pairs a text
-proposes each text's nearest first, and then all pairs that the links found so far don't join. So no link is wrong (but for equal
-64-bit hashes), and one is missed only if its pair meets in no tree. Texts with equal sets of shingles are one node.
+proposes none: its texts' sets of shingles are brought to the leaf and told there, all against all, as products of incidence
+matrices, and only links between components leave it; a leaf of over ``SLICE`` texts is dealt to tasks by pairs of slices. So no
+link is wrong (but for equal 64-bit hashes), and one is missed only if its pair meets in no tree. Texts with equal sets of
+shingles are one node.
 
 Equal fingerprints are one node from the start, so thousands of copies cost one row. Nulls: a null text has no words and
 the fingerprint zero; a null doc_id gets its fingerprint's component. Repeated rows get equal results.
@@ -38,7 +40,7 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 BRANCH, LEAF, SHARD_BITS = 50_000, 64, 7
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS, PAIRS = 5, 4, 58, 64, 14, 32
 ALIKE = (4, 5)
-LEAF_ROWS = 50_000  # rows of a task's group of leaves
+LEAF_ROWS, SLICE = 50_000, 16_384  # rows of a task's group of leaves, and of a slice of a hot leaf
 
 
 @lru_cache
@@ -276,50 +278,34 @@ def _near_pairs(points: np.ndarray, own: np.ndarray):
         yield block[x], rest[y], d[x, y]
 
 
-def _nearest(n: int, pairs) -> tuple[np.ndarray, np.ndarray]:
-    """Each point with its nearest companion in another component."""
-    best = np.full(n, np.iinfo(np.int64).max)
-    for a, b, d in pairs:
-        np.minimum.at(best, a, d << 40 | b)
-        np.minimum.at(best, b, d << 40 | a)
-    some = np.flatnonzero(best < np.iinfo(np.int64).max)
-    return some, best[some] & (1 << 40) - 1
-
-
-def _propose(bound: int | None, depth: int = TREE_BITS):
-    """Pairs (u, v) of a shard to be told by their shingles. A leaf of more than ``bound`` pairs a point gives only each point's
-    nearest, and a row (null, leaf) that says so; without a bound, all pairs of different components."""
+def _propose(bound: int, depth: int = TREE_BITS):
+    """Pairs (u, v) of a shard to be told by their shingles. A leaf of more than ``bound`` pairs a point gives a row
+    (its number of points, leaf, tree, hot) in place of pairs."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["leaf", "rep"], ignore_index=True)
         points = np.stack([frame[c].to_numpy() for c in WIDE], 1).view(np.uint64)
         leaf, rep, tree = frame["leaf"].to_numpy(), frame["rep"].to_numpy(), int(frame["tree"].iloc[0])
-        comp = frame["comp"].to_numpy() if bound is None else np.arange(len(rep))
         first = np.flatnonzero(np.concatenate(([True], np.diff(leaf) != 0)))
         size = np.diff(np.append(first, len(leaf)))
         small = np.repeat(size <= LEAF, size)
-        all_a, all_b, near_a, near_b, hot = [], [], [], [], []
+        all_a, all_b, hot = [], [], []
         for step in range(1, min(LEAF, int(size.max()))):
-            a = np.flatnonzero((leaf[step:] == leaf[:-step]) & small[step:] & (comp[step:] != comp[:-step]))
+            a = np.flatnonzero((leaf[step:] == leaf[:-step]) & small[step:])
             a = a[_far(points[a], points[a + step]) <= WIDE_RADIUS]
             all_a.append(a)
             all_b.append(a + step)
-        for at, n in zip(first[size > LEAF], size[size > LEAF]):
-            own, found, many = np.arange(at, at + n), [], 0
-            for a, b, _ in _near_pairs(points, own):
-                other = comp[a] != comp[b]
-                found.append((a[other], b[other]))
-                many += int(other.sum())
-                if bound is not None and many > bound * n:
+        for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
+            found, many = [], 0
+            for a, b, _ in _near_pairs(points, np.arange(at, at + n)):
+                found.append((a, b))
+                many += len(a)
+                if many > bound * n:
+                    hot.append((n, int(leaf[at])))
                     break
             else:
                 all_a += [a for a, _ in found]
                 all_b += [b for _, b in found]
-                continue
-            a, b = _nearest(len(rep), _near_pairs(points, own))
-            near_a.append(a)
-            near_b.append(b)
-            hot.append(int(leaf[at]))
         a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (all_a, all_b))
         if len(a) and tree:  # a pair is proposed by the first tree in which it meets
             used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -327,24 +313,64 @@ def _propose(bound: int | None, depth: int = TREE_BITS):
             x, y = where[: len(a)], where[len(a) :]
             fresh = np.concatenate([~(before[x[k : k + 65536]] == before[y[k : k + 65536]]).any(axis=1) for k in range(0, len(a), 65536)])
             a, b = a[fresh], b[fresh]
-        a, b = np.concatenate([a, *near_a]), np.concatenate([b, *near_b])
         u, v = np.maximum(rep[a], rep[b]), np.minimum(rep[a], rep[b])
         return pd.DataFrame({
-            "u": pd.array([*u.tolist(), *[None] * len(hot)], "Int64"), "v": pd.array([*v.tolist(), *hot], "Int64"),
-            "tree": pd.array([tree] * (len(u) + len(hot)), "Int32"),
+            "u": np.concatenate([u, np.array([n for n, _ in hot], np.int64)]), "v": np.concatenate([v, np.array([x for _, x in hot], np.int64)]),
+            "tree": np.full(len(u) + len(hot), tree, np.int32), "hot": np.arange(len(u) + len(hot)) >= len(u),
         })
 
     return run
 
 
-def alike(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (u, v) of representatives whose shingles have a Jaccard similarity of ``ALIKE`` or more."""
-    pairs = materialize(pairs.where("u <> v").select("u", "v").distinct())
-    used = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).distinct()
+def shared_counts(sets: list[np.ndarray], rows: slice, others: slice, width: int = 4096) -> np.ndarray:
+    """How many shingles each of some sets shares with each of others; only shingles that two sets have are looked at."""
+    some, more = sets[rows], sets[others]
+    values, place, uses = np.unique(np.concatenate([*some, *more, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    column = np.cumsum(uses > 1) - 1
+    out = np.zeros((len(some), len(more)), np.float32)
+    row = np.repeat(np.arange(len(some) + len(more)), [len(x) for x in [*some, *more]])
+    both = uses[place] > 1
+    row, col = row[both], column[place[both]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    edges = np.searchsorted(col, np.arange(0, (int(col[-1]) + 1 if len(col) else 0) + width, width))
+    for a, b in zip(edges, edges[1:]):
+        there = np.zeros((len(some) + len(more), width), np.float32)
+        there[row[a:b], col[a:b] % width] = 1
+        out += there[: len(some)] @ there[len(some) :].T
+    return out
+
+
+def _tell_hot(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the components of a hot leaf's texts (rep, comp, shingles), a spanning forest of them."""
+    frame = frame.sort_values("rep", ignore_index=True)
+    sets, comp = frame["shingles"].tolist(), frame["comp"].to_numpy()
+    size = np.array([len(x) for x in sets], np.float32)
+    forest = _Forest(len(sets))
+    _, start, back = np.unique(comp, return_index=True, return_inverse=True)
+    forest.union(np.arange(len(sets)), start[back])
+    for a in range(0, len(sets), 512):
+        for b in range(a, len(sets), 512):
+            if len(np.unique(forest.label[np.r_[a : min(a + 512, len(sets)), b : min(b + 512, len(sets))]])) == 1:
+                continue
+            n = shared_counts(sets, slice(a, a + 512), slice(b, b + 512))
+            x, y = np.nonzero((ALIKE[0] + ALIKE[1]) * n >= ALIKE[0] * (size[a : a + 512, None] + size[None, b : b + 512]))
+            forest.union(a + x, b + y)
+    to = comp[forest.label]
+    pairs = np.unique(np.stack([comp, to], 1)[comp != to], axis=0).reshape(-1, 2)
+    return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def shingle_sets(used: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep, shingles of the representatives ``used``; written."""
     named = reps.join(used, "rep").select("rep", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"))
     raw = F.unhex(F.substring(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256), 1, 32))
     texts = documents(docs).withColumn("raw", raw).join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw")))
-    sets = materialize(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]))
+    return materialize(texts.select("rep", "text").mapInArrow(_sets, "rep long, shingles array<long>").dropDuplicates(["rep"]))
+
+
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (u, v) of representatives whose shingles have a Jaccard similarity of ``ALIKE`` or more."""
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     both = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("i"))
     return materialize(both.where(F.col("i") * ALIKE[1] >= (F.col("n") - F.col("i")) * ALIKE[0]).select("u", "v").distinct())
@@ -366,15 +392,22 @@ def _similar(docs: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=["rep", *WIDE, "leaves"])
 
     rows = points.mapInArrow(leaves, "rep long, " + ", ".join(f"{w} long" for w in WIDE) + ", leaves array<int>").select("rep", *WIDE, F.posexplode("leaves").alias("tree", "leaf"))
-    proposed = materialize(rows.groupBy("tree", (F.col("leaf") % groups).alias("shard")).applyInPandas(_propose(bound, depth), "u long, v long, tree int"))
-    links = alike(proposed.where("u is not null"), reps, docs)
+    proposed = materialize(rows.groupBy("tree", (F.col("leaf") % groups).alias("shard")).applyInPandas(_propose(bound, depth), "u long, v long, tree int, hot boolean"))
+    pairs = materialize(proposed.where("not hot").select("u", "v").distinct())
+    slices = F.ceil(F.col("u") / SLICE).cast("int").alias("slices")
+    hot = materialize(proposed.where("hot").select("tree", F.col("v").cast("int").alias("leaf"), slices))
+    crowded = materialize(rows.select("rep", "tree", "leaf").join(hot, ["tree", "leaf"]))
+    used = pairs.select(F.col("u").alias("rep")).union(pairs.select("v")).union(crowded.select("rep")).distinct()
+    sets = shingle_sets(used, reps, docs)
+    links = alike(pairs, sets)
     found = components(links)
-    hot = materialize(proposed.where("u is null").select("tree", F.col("v").cast("int").alias("leaf")))
     if not hot.isEmpty():
         found = materialize(found)
-        again = rows.join(hot, ["tree", "leaf"]).join(found, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep"))
-        more = again.groupBy("tree", "leaf").applyInPandas(_propose(None, depth), "u long, v long, tree int")
-        found = components(links.union(alike(more, reps, docs)))
+        own = F.pmod(F.xxhash64("rep"), F.col("slices")).cast("int")
+        again = crowded.join(found, F.col("rep") == F.col("node"), "left").select("rep", "tree", "leaf", F.coalesce("root", "rep").alias("comp"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+        again = again.withColumn("part", F.least("own", "other") * 100_000 + F.greatest("own", "other")).select("rep", "tree", "leaf", "part", "comp")
+        more = again.join(sets, "rep").groupBy("tree", "leaf", "part").applyInPandas(_tell_hot, "u long, v long")
+        found = components(links.union(more.distinct()))
     named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select(*KEY, "doc_id", F.coalesce("root", "rep").alias("component")))
     return prints.select("doc_id", "raw", *KEY), named
 

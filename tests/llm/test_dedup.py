@@ -321,6 +321,31 @@ def test_similar_texts_are_found(spark):
     assert len(simhash.near_dedup(docs(spark)).collect()) < len(rows()) and simhash.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_shared_counts():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 30))) for _ in range(40)]
+    got = simhash.shared_counts(sets, slice(0, 15), slice(10, 40), width=16)
+    assert got.astype(int).tolist() == [[len(np.intersect1d(a, b)) for b in sets[10:40]] for a in sets[:15]]
+
+
+@pytest.mark.parametrize("slice_rows", [16_384, 40])
+def test_hot_leaves_in_slices(spark, monkeypatch, slice_rows):
+    """A crowd of edited copies, in one task and dealt by pairs of slices."""
+    monkeypatch.setattr(simhash, "SLICE", slice_rows)
+    r = random.Random(29)
+    centre = [f"c{r.randrange(900)}" for _ in range(120)]
+    data = [(k, " ".join(f"y{k}" if at in (k % 120, (k * 7) % 120) else w for at, w in enumerate(centre))) for k in range(200)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in data]
+    root = list(range(200))
+    for _ in range(8):
+        for b in range(200):
+            for a in range(b):
+                if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(spark.createDataFrame(data, "doc_id long, text string"), 0).collect()}
+    assert [got[k] for k in range(200)] == root and len(set(root)) < 200
+
+
 @pytest.mark.parametrize("bound", [simhash.PAIRS, 0])
 def test_similar_texts_are_told_by_their_shingles(spark, bound):
     """Pairs on both sides of 0.8, and a group in which copies are alike to its centre more than to each other."""
