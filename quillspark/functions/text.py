@@ -10,7 +10,27 @@ from pyspark.sql import functions as F
 #: Format characters that don't show.
 INVISIBLE = "[\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FEFF}]"
 SECRET = r"(?i)\b(api[_-]?key|token|secret|password)\b\s*[=:]\s*[\"']?([A-Za-z0-9_\-]{16,})"
-INJECTION = r"(?i)ignore (all |any )?(previous|prior|above) instructions|disregard (the|your) (system|previous)|you are now "
+#: What tries to take over a reader, by the name this library gives it.
+INJECTIONS = {
+    "ignore previous": r"ignore\s+(all\s+)?(previous|prior|above)\s+(instructions?|prompts?)",
+    "disregard previous": r"disregard\s+(all\s+)?(previous|prior|above)",
+    "forget rules": r"forget\s+(everything|all|your)\s+(instructions?|rules?|guidelines?)",
+    "new role": r"you\s+are\s+now\s+(a|an)\s+",
+    "new instructions": r"new\s+instructions?:",
+    "system prompt": r"system\s*:?\s*(prompt|override|command)",
+    "exec command": r"\bexec\b.*command\s*=",
+    "elevated": r"elevated\s*=\s*true",
+    "remove all": r"rm\s+-rf",
+    "delete all": r"delete\s+all\s+(emails?|files?|data)",
+    "system tag": r"</?system>",
+    "role line": r"\]\s*\n\s*\[?(system|assistant|user)\]?:",
+}
+
+
+def injection_rules(c: Column) -> Column:
+    """The names of the rules that a text breaks, in their order."""
+    hit = F.array(*[F.when(c.rlike("(?i)" + p), F.lit(n)) for n, p in INJECTIONS.items()])
+    return F.array_compact(hit)
 
 
 def tokens(c: Column) -> Column:
@@ -23,7 +43,7 @@ def visible(c: Column) -> Column:
 
 
 def has_injection(c: Column) -> Column:
-    return F.coalesce(c.rlike(INJECTION), F.lit(False))
+    return F.size(injection_rules(c)) > 0
 
 
 def has_secret(c: Column) -> Column:

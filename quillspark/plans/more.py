@@ -4,35 +4,21 @@ BOTH = {
     # Totals by channel, daily latency, active totals, bound accounts
     "channel_totals": "select user_id % 7 as channel, count(*) as calls, round(sum(value), 4) as cost, row_number() over (order by sum(value) desc, user_id % 7) as place from events group by 1",
     "daily_latency_tail": "select @DAY as day, event_type, count(*) as n, round(min(value), 6) as lo, round(max(value), 6) as hi, round(avg(value), 6) as mean from events group by 1, 2",
-    "active_waiting_totals": "with l as (select user_id, event_type, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) select sum(case when event_type = 'click' then 1 else 0 end) as active, sum(case when event_type = 'view' then 1 else 0 end) as waiting, count(*) as n from l where rn = 1",
     "bound_accounts": "select p_brand, count(distinct l_suppkey) as suppliers, min(l_suppkey) as first_supplier from lineitem join part on l_partkey = p_partkey group by 1",
     # Tool calls, errors, session counts
     "role_counts_per_conversation": "select conv_id, count(*) as messages, sum(case when role = 'user' then 1 else 0 end) as users, sum(case when role = 'assistant' then 1 else 0 end) as assistants, count(distinct role) as roles, min(turn) as first_turn, max(turn) as last_turn from conversations group by 1",
     "error_share_by_user": "select user_id, count(*) as calls, sum(case when event_type = 'error' then 1 else 0 end) as errors, round(sum(case when event_type = 'error' then 1.0D else 0.0D end) / count(*), 6) as share from events group by 1",
     # A16 fill-first, A17, A24, A25, A30
     "entity_merge_fill_first": "with r as (select lower(source) as entity, doc_id, lang, n_chars from documents), f as (select entity, min(doc_id) as first_id, max(n_chars) as longest, count(*) as rows_merged from r group by 1) select f.entity, f.first_id, r.lang as first_lang, f.longest, f.rows_merged from f join r on f.first_id = r.doc_id",
-    "absorb_added_touched": "select case when o.k is null then 'kept' when c.k is null then 'added' else 'touched' end as status, count(*) as n from (select c_custkey as k from customer where c_custkey % 3 <> 0) c full outer join (select distinct o_custkey as k from orders) o on c.k = o.k group by 1",
     "min_context_per_model": "select p_brand, min(p_size) as context, count(distinct p_size) as sizes from part group by 1",
     "max_quota_per_provider": "select n_name, c_acctbal from (select n_name, round(c_acctbal, 2) as c_acctbal, row_number() over (partition by n_name order by c_acctbal desc, c_custkey) as rn from customer join nation on c_nationkey = n_nationkey) r where rn = 1",
     # F10, F12, F14, F18 to F25, F28
     "last_days_by_day_key": "select event_id from events where cast(ts as date) >= (select max(cast(ts as date)) - interval '6' day from events)",
-    "log_filter": "select doc_id, lang from documents where lang in ('en', 'fr') and lower(text) like '%the%'",
-    "allowlist_match_source": "select c_custkey, case when c_mktsegment = 'BUILDING' then 'wildcard' when c_custkey in (1, 5, 9, 12) then 'id' when lower(c_name) like '%7' then 'name' else 'none' end as matched from customer",
-    "nested_allow_decision": "select p_partkey, case when p_size <= 10 then 'outer' when p_brand like '%1' and p_size > 30 then 'deny' when p_type like '%A%' then 'inner' else 'default' end as decision from part",
-    "session_visibility": "select e.event_id from events e where e.user_id % 5 = 2 or exists (select 1 from (select distinct user_id from events where event_type = 'purchase' and value > 100) s where s.user_id = e.user_id)",
-    "drop_tool_messages": "select conv_id, turn, role from conversations where role is null or role not in ('tool', 'toolResult', 'system')",
-    "requirement_evaluation": "select p_partkey, (p_size > 5 and p_retailprice > 1000 and (p_brand like '%1' or p_brand like '%2')) as eligible from part",
-    "mention_gating": "select conv_id, turn, (role = 'user' and (turn = 0 or text like '%?%')) as handled from conversations",
-    "timestamp_validity": "select o_orderkey, case when o_orderdate < timestamp '1995-01-01 00:00:00' then 'past' when o_orderdate > timestamp '1998-01-01 00:00:00' then 'far' else 'ok' end as verdict from orders",
     # J01, J06, J11 to J14, J17, J18
     "vector_chunk_join": "select e.vec_id, e.label, d.source, d.n_chars from embeddings e join documents d on e.vec_id = d.doc_id",
-    "job_name_lookup": "select o_orderkey, coalesce(c_name, 'unknown') as name from orders left join customer on o_custkey = c_custkey and c_acctbal > 0",
-    "identity_links": "with a as (select c_custkey as canonical, concat('mail:', cast(c_custkey as string)) as alias from customer where c_custkey <= 20 union all select c_custkey, cast(c_custkey + 100 as string) from customer where c_custkey <= 20), m as (select e.event_id, a.canonical, row_number() over (partition by e.event_id order by a.canonical) as rn from events e join a on a.alias = concat('mail:', cast(e.user_id as string)) or a.alias = cast(e.user_id as string)) select event_id, canonical from m where rn = 1",
-    "unique_match_resolution": "select c_nationkey, c_mktsegment, count(*) as candidates, case when count(*) = 1 then min(c_custkey) end as resolved, case when count(*) = 1 then 'ok' else 'ambiguous' end as status from customer group by 1, 2",
     "label_lookup": "select d.doc_id, l.quality from documents d left join labels l on d.doc_id = l.doc_id",
     "orphan_replies": "select c.conv_id, c.turn from conversations c where c.role = 'assistant' and not exists (select 1 from conversations p where p.conv_id = c.conv_id and p.turn = c.turn - 1 and p.role = 'user' and length(p.text) > 150)",
     # W02, W07, W09, W15, W16
-    "latest_bytes_cap": "select conv_id, turn from (select conv_id, turn, sum(length(text)) over (partition by conv_id order by turn desc) as used from conversations) r where used <= 2000",
     "split_by_token_share": "select conv_id, turn, least(2, cast(floor(coalesce(sum(n) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0) * 3.0D / sum(n) over (partition by conv_id)) as int)) as part from (select conv_id, turn, sum(length(text)) as n from conversations group by 1, 2) c",
     "protect_last_assistants": "select conv_id, turn, role, (later < 2) as protected from (select conv_id, turn, role, coalesce(sum(case when role = 'assistant' then 1 else 0 end) over (partition by conv_id order by turn desc rows between unbounded preceding and 1 preceding), 0) as later from (select distinct conv_id, turn, role from conversations) d) r",
     # T05 to T10

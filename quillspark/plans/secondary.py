@@ -12,40 +12,27 @@ BOTH = {
     # F07, F15, F21, F27, F29, C14
     "value_suggestions": "select lang, source, place from (select lang, source, row_number() over (partition by lang order by source) as place from (select distinct lang, source from documents where source is not null) d) r where place <= 6",
     "score_threshold": "select doc_id, score from (select doc_id, round(n_chars / 20000.0D, 6) as score from documents where source <> 'src3') s where score >= 0.35D order by score desc, doc_id limit 6",
-    "glob_list_match": "select p_partkey from part where lower(p_name) like 'red %' or lower(p_name) like '%bolt' or lower(p_type) like 'st_nd%'",
-    "event_noise": "select event_id, (event_type <> 'view' and not (event_type = 'click' and value < 5) and trim(event_type) <> '') as reminder from events",
-    "capture_rules": "select conv_id, turn, (length(text) between 10 and 500 and not (text like '<%>%') and not (lower(text) like '%ignore previous%') and (lower(text) like '%prefer%' or lower(text) like '%remember%' or lower(text) like '%always%' or text like '%@%')) as capture from conversations",
     "set_aside_reasons": "select doc_id, case when lang is null then 'no language' when n_chars < 200 then 'short' when copy > 1 then 'copy' when doc_id % 365 > 300 then 'old' else 'kept' end as reason from (select doc_id, lang, n_chars, row_number() over (partition by md5(text) order by doc_id) as copy from documents) d",
     # J12, J13, J14
-    "node_matches": "with q as (select 'customer-0000001' as q, 1 as ask union all select '17', 2 union all select 'Customer 9', 3), n as (select c_custkey, cast(c_custkey as string) as id, lower(replace(replace(c_name, '#', '-'), ' ', '-')) as name from customer) select ask, c_custkey from n join q on id = q or name = lower(replace(replace(q, '#', '-'), ' ', '-')) or (length(q) >= 6 and substr(id, 1, length(q)) = q)",
     "select_exactly_one": "with a as (select 1 as ask, 'web' as label union all select 2, 'en' union all select 3, 'none') select ask, count(doc_id) as found, case when count(doc_id) = 1 then 'ok' when count(doc_id) = 0 then 'missing' else 'ambiguous' end as status, case when count(doc_id) = 1 then min(doc_id) end as doc_id from a left join documents on lang = label group by 1",
     "drop_orphan_results": "select a.conv_id, a.turn from conversations a where a.role <> 'assistant' or exists (select 1 from conversations b where b.conv_id = a.conv_id and b.turn = a.turn - 1 and b.role = 'user')",
     # A03, A06, A22, A26
     "daily_cost_of_model": "select cast(cast(l_shipdate as date) as string) as day, l_returnflag as model, round(sum(l_extendedprice), 2) as cost, count(*) as runs from lineitem group by 1, 2",
     "eleven_measures": "select l_linestatus, cast(sum(l_quantity) as bigint) as tokens, round(sum(l_extendedprice), 2) as cost, round(sum(l_extendedprice * l_tax), 2) as tax, round(sum(l_extendedprice * l_discount), 2) as discount, min(l_quantity) as lo, max(l_quantity) as hi, round(avg(l_quantity), 6) as mean, count(*) as n, count(distinct l_suppkey) as suppliers, sum(case when l_discount = 0 then 1 else 0 end) as undiscounted from lineitem group by 1",
     # Histories of the most recent keys
-    "rolling_history": "with l as (select user_id, max(ts) as last from events group by 1), k as (select user_id, row_number() over (order by last desc, user_id) as recency from l), r as (select event_id, e.user_id, row_number() over (partition by e.user_id order by ts desc, event_id desc) as rn from events e join k on e.user_id = k.user_id where recency <= 100) select event_id, user_id from r where rn <= 10",
     # U02, U04, U06, U07, R01, R03, R04
     "bounded_union": "select k from (select k, row_number() over (order by first desc, k desc) as age from (select k, min(seq) as first from (select o_custkey as k, o_orderkey as seq from orders union all select c_custkey, c_custkey + 1000000 from customer) a group by 1) b) c where age <= 900",
     "suggestions_not_observed": "select distinct lower(p_type) as name, 'observed' as origin from part where p_size > 40 union all select distinct lower(p_type), 'standard' from part a where not exists (select 1 from part b where b.p_size > 40 and lower(b.p_type) = lower(a.p_type))",
-    "batches_of_items": "select item_id, cast(floor((rn - 1) / 7) as int) as batch, (rn - 1) % 7 as at from (select item_id, row_number() over (order by item_id) as rn from benchmark) r",
     "task_grid": "select a.r_regionkey as region, b.n_nationkey as nation, row_number() over (order by a.r_regionkey, b.n_nationkey) as seq, (a.r_regionkey = b.n_regionkey) as done from region a join nation b on b.n_nationkey % 5 <= a.r_regionkey",
     # Y01 to Y22
-    "additive_search": "select p_partkey, score from (select p_partkey, (case when lower(p_name) like '%red%' then 10 else 0 end) + (case when lower(p_type) like '%promo%' then 5 else 0 end) + (case when p_brand like '%3' then 3 else 0 end) as score from part) s where score > 0 order by score desc, p_partkey limit 10",
     "oldest_newest": "select event_type, count(*) as n, min(cast(ts as string)) as oldest, max(cast(ts as string)) as newest from events group by 1",
     "scored_resolution": "with m as (select c_nationkey, c_custkey, (case when c_acctbal > 0 then 3 else 0 end) + (case when c_mktsegment <> 'BUILDING' then 2 else 0 end) + (case when c_custkey % 5 = 0 then 5 else 0 end) as score from customer), r as (select *, row_number() over (partition by c_nationkey order by score desc, c_custkey) as rn, count(*) over (partition by c_nationkey) as n from m) select c_nationkey, c_custkey, score, n > 1 as ambiguous from r where rn = 1",
-    "ttl_then_cap": "select event_id from (select event_id, row_number() over (partition by event_type order by ts desc, event_id desc) as rn from events where ts >= timestamp '2024-01-20 00:00:00') r where rn <= 50",
-    "ttl_null_survives": "select d.doc_id from documents d left join labels l on d.doc_id = l.doc_id where l.doc_id is null or l.quality >= 1",
     "last_vote_wins": "select user_id, vote from (select user_id, cast(@K % 5 as int) as vote, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where @K % 5 < 4) r where rn = 1",
-    "worst_status": "with w as (select o_custkey as k, max(case o_orderstatus when 'F' then 3 when 'P' then 2 else 1 end) as worst, min(o_orderdate) as expires from orders group by 1) select c_custkey, coalesce(case worst when 3 then 'expired' when 2 then 'expiring' when 1 then 'ok' end, 'missing') as status, cast(cast(expires as date) as string) as expires from customer left join w on c_custkey = k",
-    "status_summary": "with r as (select user_id, event_id, user_id % 5 as agent, row_number() over (partition by user_id % 5 order by ts desc, event_id desc) as rn, count(*) over (partition by user_id % 5) as n from events) select agent, event_id, rn, n from r where rn <= 10",
     "scan_order": "select p_partkey, p_size from part order by case when p_size > 30 then 0 else 1 end, case when p_retailprice > 900 then p_retailprice end nulls last, p_size desc, p_partkey limit 100",
-    "top_with_omitted": "select source, n, total - 5 as omitted from (select source, n, row_number() over (order by n desc, source) as rn, count(*) over () as total from (select source, sum(n_chars) as n from documents group by 1) g) r where rn <= 5",
     "ordinals": "select conv_id, turn, role, case when n > 1 then concat(role, ' ', cast(i as string), '/', cast(n as string)) else role end as label from (select conv_id, turn, role, row_number() over (partition by conv_id, role order by turn) as i, count(*) over (partition by conv_id, role) as n from (select distinct conv_id, turn, role from conversations) d) r",
     "recent_recipients": "with r as (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events where event_type <> 'view') select user_id, event_id from r where rn = 1 and user_id in (select c_custkey from customer where c_acctbal > 0)",
     "history_oldest_first": "select conv_id, turn, role from conversations where trim(coalesce(text, '')) <> '' order by conv_id, turn, role, text limit 100",
     "every_nth_anomaly": "select event_id, n from (select event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as n from events where value < 20) r where n % 5 = 1",
-    "prunable_predicate": "select p_partkey, (not (p_type like '%MALL' or p_type like 'PROMO%') and (p_brand like 'Brand#1%' or p_brand like 'Brand#2%')) as prunable from part",
     "size_estimate": "select conv_id, cast(sum(case role when 'user' then length(coalesce(text, '')) when 'assistant' then length(coalesce(text, '')) + 16 else 256 end) as bigint) as chars from conversations group by 1",
     # G12, G14 as batch: runs of equal events
     "repeat_runs": "with l as (select event_id, user_id, event_type, ts, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as run from events), r as (select user_id, event_type, run, count(*) as n, min(event_id) as first_event from l group by 1, 2, 3) select user_id, event_type, n, first_event, case when n >= 4 then 'block' when n >= 3 then 'warn' else 'ok' end as verdict from r",
