@@ -118,7 +118,7 @@ def fuzzy_score(query: str):
                 return None
             run = run + 1 if at == last + 1 else 0
             gap = 2 * (at - last - 1) if last >= 0 else 0
-            start = at == 0 or re.match(r"[\s\-_./:#]", label[at - 1])
+            start = at == 0 or re.match(r"[\s\-_./:#@]", label[at - 1])
             score += gap - 5 * run + 0.1 * at - (10 if start else 0)
             last = at
         return score
