@@ -38,13 +38,13 @@ def _pruned(messages, window, keep, soft, hard, least, trim, cleared):
 def test_pruning_against_plain_steps(spark):
     r = random.Random(3)
     rows, want = [], {}
-    settings = dict(window=1500, keep=2, soft=0.3, hard=0.6, least=120, trim=(100, 30, 20), cleared="[gone]")
-    for c in range(60):
+    settings = dict(window=2600, keep=2, soft=0.3, hard=0.6, least=120, trim=(100, 30, 20), cleared="[gone]")
+    for c in range(400):
         messages = [(r.choice(["user", "assistant", "toolResult", "toolResult", "other"]), "x" * r.choice([5, 40, 150, 600])) for _ in range(r.randrange(1, 14))]
         rows += [(c, k, m[0], m[1]) for k, m in enumerate(messages)]
         want.update({(c, k): v for k, v in enumerate(_pruned(messages, **settings))})
     d = spark.createDataFrame(rows, "c int, k int, role string, text string")
-    got = relational.prune_context(d, "c", "k", "role", "text", F.lit(True), 1500, 2, 0.3, 0.6, 120, (100, 30, 20), "[gone]").collect()
+    got = relational.prune_context(d, "c", "k", "role", "text", F.lit(True), 2600, 2, 0.3, 0.6, 120, (100, 30, 20), "[gone]").collect()
     assert {(x.c, x.k): (x.action, x.text) for x in got} == want
     assert {a for a, _ in want.values()} == {"kept", "trimmed", "cleared"}
 
