@@ -357,3 +357,28 @@ def search_additive(df: DataFrame, text: str, tag: str, words: list[str], whole:
     hit = lambda c, w: F.when(F.contains(F.lower(F.col(c)), F.lit(w.lower())), 1).otherwise(0)
     score = hit(text, phrase) * whole + reduce(lambda a, b: a + b, [hit(text, w) * each + hit(tag, w) * tagged for w in words])
     return df.withColumn("score", score).where("score > 0").orderBy(F.col("score").desc(), *df.columns[:1]).limit(most)
+
+
+def learned(table: DataFrame, pairs: DataFrame, order: list[str]) -> DataFrame:
+    """facet, key, id, label, changed: a table of ids by facet and label after pairs (facet, label, id) are folded in by order.
+    A label's key is its lower case with single spaces; a pair that lacks a part, or repeats the id known, changes nothing, and
+    ``changed`` tells whether any pair did. One shuffle by facet and key."""
+    part = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    both = table.select("facet", "label", "id", F.lit(0).alias("_new"), F.struct(*[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in order]).alias("_at"))
+    news = pairs.select(part("facet").alias("facet"), part("label").alias("label"), part("id").alias("id"), F.lit(1).alias("_new"), F.struct(*order).alias("_at"))
+    rows = both.union(news.where("facet <> '' and label <> '' and id <> ''")).withColumn("key", F.regexp_replace(F.lower(F.trim("label")), r"\s+", " "))
+    before = F.lag("id").over(W.partitionBy("facet", "key").orderBy("_new", "_at"))
+    steps = rows.withColumn("_step", (F.col("_new") == 0) | before.isNull() | (before != F.col("id"))).where("_step")
+    last = lambda c: F.max_by(c, F.struct("_new", "_at"))
+    return steps.groupBy("facet", "key").agg(last("id").alias("id"), last("label").alias("label"), (F.max("_new") == 1).alias("changed"))
+
+
+def chunks_of(df: DataFrame, model: str, sources: list[str] = ()) -> DataFrame:
+    """Chunks of a model and, if any are named, of these sources; both filters reach the scan."""
+    df = df.where(F.col("model") == model)
+    return df.where(F.col("source").isin(list(sources))) if sources else df
+
+
+def collated_rank(df: DataFrame, keys: list[str], name: str, tie: str) -> DataFrame:
+    """Adds ``rank``: the place of a name among its key's in Unicode order without regard to case."""
+    return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.collate(F.col(name), "UNICODE_CI"), tie)))
