@@ -6,23 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BLOCK = 4096
+
+
 def contained(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
     """Pairs (doc_id, item_id) where the item's text, of ``least`` characters and more, stands in the document's.
 
-    A word between two spaces of the item must be a word of the document, so the longest such word is an equi-join key, and
-    only pairs that share it are compared. Items without an inner word, normally none, are compared with every document.
-    Null texts match nothing.
+    A word between two spaces of the item must be a word of the document, so the inner word that the fewest documents hold is an
+    equi-join key, and only pairs that share it are compared; an item with a word that no document holds is dropped before any
+    text moves. Items without an inner word, normally none, go against all documents in broadcast blocks of at most ``BLOCK``
+    items on average. Null texts match nothing.
     """
     items = items.select(item_id, F.col(text).alias("_item")).where(F.length("_item") >= least)
     words = F.split("_item", " ")
-    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
-    items = items.withColumn("_seed", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    inner = F.array_distinct(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
+    items = items.withColumn("_inner", inner)
     docs = docs.select(doc_id, F.col(text).alias("_doc"))
     bag = docs.select(doc_id, F.explode(F.array_distinct(F.split("_doc", " "))).alias("_seed"))
-    seeded = bag.join(items.where("_seed is not null").select("_seed", item_id), "_seed").select(doc_id, item_id)
-    seeded = seeded.join(docs, doc_id).join(items.select(item_id, "_item"), item_id)
-    rest = docs.join(items.where("_seed is null"), F.contains("_doc", "_item"))
-    return seeded.where(F.contains("_doc", "_item")).select(doc_id, item_id).union(rest.select(doc_id, item_id))
+    wanted = items.select(item_id, F.explode("_inner").alias("_seed"))
+    held = bag.join(wanted.select("_seed").distinct(), "_seed", "left_semi").groupBy("_seed").agg(F.count("*").alias("_df"))
+    rarest = F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_seed").alias("seed")))
+    seeds = wanted.join(held, "_seed", "left").groupBy(item_id).agg(rarest.alias("_s")).where("_s.df > 0").select(item_id, F.col("_s.seed").alias("_seed"))
+    pairs = bag.join(seeds, "_seed").select(doc_id, item_id).join(docs, doc_id).join(items.select(item_id, "_item"), item_id)
+    found = pairs.where(F.contains("_doc", "_item")).select(doc_id, item_id)
+    bare = items.where(F.size("_inner") == 0).select(item_id, "_item")
+    blocks = -(-bare.count() // BLOCK)
+    for k in range(blocks):
+        block = bare.where(F.pmod(F.xxhash64(item_id, "_item"), F.lit(blocks)) == k)
+        found = found.union(docs.join(F.broadcast(block), F.contains("_doc", "_item")).select(doc_id, item_id))
+    return found
 
 
 def merge_sightings(df: DataFrame, key: str, seq: str, detail: str, plain: list[str], longest: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import matching, ordered, query_filter
-from quillspark.plans import content, decisions, more, scalars, secondary, waiting
+from quillspark.plans import content, decisions, files, more, scalars, secondary, waiting
 from quillspark.sources import sinks
 from quillspark.sources.tables import TABLES, load
 from quillspark.streaming import events as live
@@ -143,7 +143,7 @@ def hybrid_fusion(spark, sf_dir):
     k = bm25(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("s") / (1 + F.col("s"))).alias("text_score"))
     v = cosine_topk(spark, sf_dir).where("query_id = 0").select(F.col("vec_id").alias("id"), F.col("score").alias("vector_score"))
     score = 0.7 * F.coalesce("vector_score", F.lit(0.0)) + 0.3 * F.coalesce("text_score", F.lit(0.0))
-    return v.join(k, "id", "full_outer").select("id", F.round(score, 6).alias("score")).where("score >= 0.05")
+    return v.join(k, "id", "full_outer").where(score >= 0.05).select("id", F.round(score, 6).alias("score"))
 
 
 def mmr_rerank(spark, sf_dir):
@@ -157,7 +157,8 @@ def containment_dedupe(spark, sf_dir):
 
 
 def tokens_ascii(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    d = load(spark, sf_dir, "documents").select(F.explode(T.counted(T.tokens(F.col("text")))).alias("c"))
+    return d.groupBy("c.token").agg(F.sum("c.n").alias("n"), F.count("*").alias("docs"))
 
 
 def content_flags(spark, sf_dir):
@@ -209,7 +210,7 @@ FRAMES = {
     "as_of_join": (as_of_join, "with r as (select user_id, ts, max(value) as v from events where event_type = 'purchase' group by 1, 2) select e.event_id, round(r.v, 6) as last_purchase from events e asof left join r on e.user_id = r.user_id and e.ts >= r.ts"),
     "cosine_topk": (cosine_topk, "with s as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_inner_product(e.embedding::double[], e.embedding::double[]) * list_inner_product(q.embedding::double[], q.embedding::double[])), 6) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s) select query_id, vec_id, score, place from r where place <= 6"),
     "bm25_topk": (bm25_topk, "with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from documents), n as (select doc_id, len(t) as n from d), h as (select doc_id, w as word, count(*) as tf from (select doc_id, unnest(t) as w from d) where w in ('the', 'tion', 'license', 'released') group by 1, 2), f as (select word, count(*) as df from h group by 1), g as (select count(*) as docs, avg(n) as mean from n), s as (select h.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as s from h join f using (word) join n using (doc_id), g group by 1) select doc_id, round(s, 6) as score from s order by 2 desc, 1 limit 20"),
-    "hybrid_fusion": (hybrid_fusion, None),
+    "hybrid_fusion": (hybrid_fusion, "with v as (with s as (select q.vec_id as query_id, e.vec_id, round(list_inner_product(e.embedding::double[], q.embedding::double[]) / sqrt(list_inner_product(e.embedding::double[], e.embedding::double[]) * list_inner_product(q.embedding::double[], q.embedding::double[])), 6) as score from embeddings e join embeddings q on q.vec_id % 20 = 0 and q.vec_id <> e.vec_id), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from s) select vec_id as id, score as vs from r where place <= 6 and query_id = 0), k as (with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from documents), n as (select doc_id, len(t) as n from d), h as (select doc_id, w as word, count(*) as tf from (select doc_id, unnest(t) as w from d) where w in ('the', 'tion', 'license', 'released') group by 1, 2), f as (select word, count(*) as df from h group by 1), g as (select count(*) as docs, avg(n) as mean from n), s as (select h.doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) as s from h join f using (word) join n using (doc_id), g group by 1) select doc_id as id, s / (1 + s) as ts from s) select id, round(0.7 * coalesce(vs, 0.0) + 0.3 * coalesce(ts, 0.0), 6) as score from v full join k using (id) where 0.7 * coalesce(vs, 0.0) + 0.3 * coalesce(ts, 0.0) >= 0.05"),
     "containment_dedupe": (containment_dedupe, "select d.doc_id, b.item_id from documents d join benchmark b on contains(d.text, b.text) where length(b.text) >= 10"),
     "mmr_rerank": (mmr_rerank, None),
     "tokens_ascii": (tokens_ascii, "select token, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as token from documents) t group by 1"),
@@ -233,6 +234,7 @@ FRAMES = {
     **content.FRAMES,
     **decisions.FRAMES,
     **waiting.FRAMES,
+    **files.FRAMES,
 }
 
 

@@ -116,6 +116,22 @@ def titles_lines_lists(spark, sf_dir):
     return d.where("lang is not null").select("doc_id", T.post_title(title).alias("t"), T.source_line((k % 5 + 1).cast("int"), F.array(F.lit(3), F.lit(7))).alias("line"), F.array_join(allow, ",").alias("allow")).select("doc_id", "t.*", "line", "allow")
 
 
+#: Walks of each key's rows, one row a step.
+WINDOW_SQL = """with recursive e as (select event_id, user_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+ w as (select event_id, user_id, rn, ms + 21600000 as until, true as allowed from e where rn = 1
+ union all select e.event_id, e.user_id, e.rn, case when e.ms >= w.until then e.ms + 21600000 else w.until end, e.ms >= w.until from w join e on e.user_id = w.user_id and e.rn = w.rn + 1)
+ select event_id, allowed from w"""
+LOCK_SQL = """with recursive e as (select event_id, user_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by ts, event_id) as rn from events),
+ w as (select event_id, user_id, rn, true as allowed, [ms] as seen, null::bigint as until from e where rn = 1
+ union all select event_id, user_id, rn, free, now_seen, case when not free then until when len(now_seen) >= 3 then ms + 86400000 end from (
+ select e.event_id, e.user_id, e.rn, e.ms, w.until, coalesce(e.ms >= w.until, true) as free,
+ case when coalesce(e.ms < w.until, false) then w.seen when w.until is not null then [e.ms] else list_append([x for x in w.seen if x > e.ms - 43200000], e.ms) end as now_seen
+ from w join e on e.user_id = w.user_id and e.rn = w.rn + 1) s)
+ select event_id, allowed from w"""
+BLOCK_SQL = """with recursive c as (select conv_id, turn, length(coalesce(text, '')) as n, row_number() over (partition by conv_id order by turn, length(coalesce(text, ''))) as rn from conversations),
+ w as (select conv_id, turn, rn, n as used, 0 as block from c where rn = 1
+ union all select c.conv_id, c.turn, c.rn, case when w.used + c.n > 600 then c.n else w.used + c.n end, w.block + (w.used + c.n > 600)::int from w join c on c.conv_id = w.conv_id and c.rn = w.rn + 1)
+ select conv_id, turn, block from w"""
 FRAMES = {
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
@@ -137,5 +153,5 @@ select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) fi
     "titles_lines_lists": (titles_lines_lists, """select doc_id, case doc_id % 4 when 0 then 'Ann Lee' when 3 then '' else source end as author, case doc_id % 4 when 0 then 'about ' || source when 1 then '' when 2 then 'a | b' else source end as text,
  cast(case doc_id % 5 when 0 then 3 when 1 then 7 else doc_id % 5 + 1 end as int) as line, 'a,' || lang || case when doc_id % 2 = 1 then ',' || source else '' end as allow from documents where source is not null and lang is not null"""),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
-    "fixed_window_limit": (fixed_window_limit, None), "sliding_lockout": (sliding_lockout, None), "coalesced_blocks": (coalesced_blocks, None),
+    "fixed_window_limit": (fixed_window_limit, WINDOW_SQL), "sliding_lockout": (sliding_lockout, LOCK_SQL), "coalesced_blocks": (coalesced_blocks, BLOCK_SQL),
 }

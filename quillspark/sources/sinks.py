@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; in local mode, where all share the disk, one is made if none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def guard(c: Column) -> Column:
     """A cell that a spreadsheet would run as a formula gets a leading apostrophe."""
     text = F.coalesce(c.cast("string"), F.lit(""))
