@@ -115,3 +115,22 @@ def shaped_blocks(content: Column, most: int = 4000) -> Column:
     blocks = F.transform(content, block)
     any_of = lambda f: F.coalesce(F.exists(blocks, lambda b: b[f]), F.lit(False))
     return F.struct(F.transform(blocks, lambda b: b.dropFields("cut", "redacted")).alias("blocks"), any_of("cut").alias("cut"), any_of("redacted").alias("redacted"))
+
+
+#: Words that run into an address when a space is lost, and the endings they run into.
+GLUED = r"\.(com|org|net|in|co|edu)(?:to|or|and|for|at|call|us|on|by|with|please)$"
+
+
+def emails_in(text: Column) -> Column:
+    """E-mail addresses of a text in lower case, each once; a word glued to the ending is cut off (``x@y.comto``)."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+@(?:[a-z0-9-]{1,63}+\.){1,10}+[a-z]{2,24}"), F.lit(0))
+    return F.array_distinct(F.transform(found, lambda e: F.regexp_replace(e, GLUED, ".$1")))
+
+
+def phones_in(text: Column) -> Column:
+    """Telephone numbers as written, each once: ten digits from 6 to 9 on, or ten to thirteen behind a plus. Longer runs (ids), dates
+    and amounts behind a currency sign aren't numbers."""
+    lead = r"(?<![\w₹$€£@./,+-])(?<![₹$€£] )"
+    found = F.regexp_extract_all(text, F.lit(lead + r"(?:\+[1-9][0-9]{0,2}(?:[ -]?[0-9]{2,5}){2,4}|[6-9][0-9]{4}[ -]?[0-9]{5})(?![0-9])"), F.lit(0))
+    digits = lambda p: F.length(F.regexp_replace(p, "[^0-9]", ""))
+    return F.array_distinct(F.filter(found, lambda p: digits(p).between(10, 13)))

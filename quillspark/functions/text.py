@@ -38,16 +38,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
-def counted(c: Column) -> Column:
-    """Array of (token, n): how often each element stands in an array, by one sort of the array."""
-    s = F.array_sort(c)
-    opens = lambda s: F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
-    # transforms of one-element arrays name the sorted array and its runs, so that neither is computed for each element
-    runs = lambda s, o: F.transform(o, lambda i, k: F.struct(F.get(s, i - 1).alias("token"), (F.coalesce(F.get(o, k + 1), F.size(s) + 1) - i).alias("n")))
-    named = F.flatten(F.transform(F.array(s), lambda s: F.flatten(F.transform(F.array(opens(s)), lambda o: runs(s, o)))))
-    return F.when(F.size(c) > 0, named)
-
-
 def visible(c: Column) -> Column:
     return F.regexp_replace(c, INVISIBLE, "")
 

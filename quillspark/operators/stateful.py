@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 
@@ -34,16 +35,44 @@ def scan(df: DataFrame, key: str, order: list[str], name: str, kind: DataType |
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def fixed_window(df: DataFrame, key: str, ms: str, tie: str, width: int, most: int) -> DataFrame:
-    """Adds ``allowed``: at most ``most`` rows in a window that a key's first row after the last window opens."""
+def window_counts(df: DataFrame, key: str, ms: str, tie: str, width: int) -> DataFrame:
+    """Adds ``n``: a row's number in a window that a key's first row after the last window opens. Rows over a limit count too."""
 
     def step(state, now):
         if state.get("until") is None or now >= state["until"]:
             state.update(until=now + width, n=0)
         state["n"] += 1
-        return state["n"] <= most
+        return state["n"]
 
-    return scan(df, key, [ms, tie], "allowed", "boolean", dict, step, [ms])
+    return scan(df, key, [ms, tie], "n", "integer", dict, step, [ms])
+
+
+def fixed_window(df: DataFrame, key: str, ms: str, tie: str, width: int, most: int) -> DataFrame:
+    """Adds ``allowed``: at most ``most`` rows in a window of ``window_counts``."""
+    return window_counts(df, key, ms, tie, width).withColumn("allowed", F.col("n") <= most).drop("n")
+
+
+def remembered(df: DataFrame, namespace: str, key: str, ms: str, tie: str, ttl: int, most: int) -> DataFrame:
+    """Adds ``duplicate``: the key was recorded in its namespace less than ``ttl`` ms ago (at any time if ``ttl`` is 0).
+
+    A hit doesn't record again. A namespace holds its ``most`` last recorded keys, so its rows are walked by one task with that many
+    in memory; without a need of the limit, ``fixed_window`` by namespace and key spreads further. Keys are trimmed; null and
+    blank ones are never duplicates, and a blank namespace is ``global``."""
+
+    def step(held, name, now):
+        name = (name or "").strip()
+        if not name:
+            return False
+        if name in held and (ttl <= 0 or now - held[name] < ttl):
+            return True
+        held.pop(name, None)
+        held[name] = now  # rows come in the order of time, so the first entry is the oldest
+        while len(held) > most or (ttl > 0 and now - next(iter(held.values())) >= ttl):
+            del held[next(iter(held))]
+        return False
+
+    space = F.coalesce(F.nullif(F.trim(namespace), F.lit("")), F.lit("global"))
+    return scan(df.withColumn("_space", space), "_space", [ms, tie], "duplicate", "boolean", dict, step, [key, ms]).drop("_space")
 
 
 def lockout(df: DataFrame, key: str, ms: str, tie: str, most: int, width: int, locked: int) -> DataFrame:

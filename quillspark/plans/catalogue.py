@@ -157,8 +157,11 @@ def containment_dedupe(spark, sf_dir):
 
 
 def tokens_ascii(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.explode(T.counted(T.tokens(F.col("text")))).alias("c"))
-    return d.groupBy("c.token").agg(F.sum("c.n").alias("n"), F.count("*").alias("docs"))
+    found = load(spark, sf_dir, "documents").select(T.tokens(F.col("text")).alias("t"))
+    # two narrow branches under one aggregation: a distinct count would shuffle every pair of token and document
+    every = found.select(F.explode("t").alias("token"), F.lit(1).alias("n"), F.lit(0).alias("docs"))
+    once = found.select(F.explode(F.array_distinct("t")), F.lit(0), F.lit(1))
+    return every.union(once).groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def content_flags(spark, sf_dir):

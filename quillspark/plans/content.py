@@ -70,6 +70,16 @@ def fixed_window_limit(spark, sf_dir):
     return stateful.fixed_window(load(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis(C("ts").cast("timestamp")).alias("ms")), "user_id", "ms", "event_id", 6 * 3_600_000, 1).select("event_id", "allowed")
 
 
+def counted_window(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", F.unix_millis(C("ts").cast("timestamp")).alias("ms"))
+    return stateful.window_counts(e, "event_type", "ms", "event_id", 3_600_000).select("event_id", "n", (C("n") > 3).alias("limited"))
+
+
+def remembered_keys(spark, sf_dir):
+    e = load(spark, sf_dir, "events").select("event_id", F.when(C("event_type") != "view", C("event_type")).alias("space"), F.concat(F.lit(" u"), C("user_id")).alias("key"), F.unix_millis(C("ts").cast("timestamp")).alias("ms"))
+    return stateful.remembered(e, "space", "key", "ms", "event_id", 12 * 3_600_000, 1_000_000).select("event_id", "duplicate")
+
+
 def sliding_lockout(spark, sf_dir):
     return stateful.lockout(load(spark, sf_dir, "events").select("event_id", "user_id", F.unix_millis(C("ts").cast("timestamp")).alias("ms")), "user_id", "ms", "event_id", 3, 12 * 3_600_000, 24 * 3_600_000).select("event_id", "allowed")
 
@@ -121,6 +131,14 @@ WINDOW_SQL = """with recursive e as (select event_id, user_id, epoch_ms(ts) as m
  w as (select event_id, user_id, rn, ms + 21600000 as until, true as allowed from e where rn = 1
  union all select e.event_id, e.user_id, e.rn, case when e.ms >= w.until then e.ms + 21600000 else w.until end, e.ms >= w.until from w join e on e.user_id = w.user_id and e.rn = w.rn + 1)
  select event_id, allowed from w"""
+COUNT_SQL = """with recursive e as (select event_id, event_type, epoch_ms(ts) as ms, row_number() over (partition by event_type order by ts, event_id) as rn from events),
+ w as (select event_id, event_type, rn, ms + 3600000 as until, 1 as n from e where rn = 1
+ union all select e.event_id, e.event_type, e.rn, case when e.ms >= w.until then e.ms + 3600000 else w.until end, case when e.ms >= w.until then 1 else w.n + 1 end from w join e on e.event_type = w.event_type and e.rn = w.rn + 1)
+ select event_id, n, n > 3 as limited from w"""
+KNOWN_SQL = """with recursive e as (select event_id, event_type, user_id, epoch_ms(ts) as ms, row_number() over (partition by event_type, user_id order by ts, event_id) as rn from events),
+ w as (select event_id, event_type, user_id, rn, ms as at, false as duplicate from e where rn = 1
+ union all select e.event_id, e.event_type, e.user_id, e.rn, case when e.ms - w.at < 43200000 then w.at else e.ms end, e.ms - w.at < 43200000 from w join e on e.event_type = w.event_type and e.user_id = w.user_id and e.rn = w.rn + 1)
+ select event_id, duplicate from w"""
 LOCK_SQL = """with recursive e as (select event_id, user_id, epoch_ms(ts) as ms, row_number() over (partition by user_id order by ts, event_id) as rn from events),
  w as (select event_id, user_id, rn, true as allowed, [ms] as seen, null::bigint as until from e where rn = 1
  union all select event_id, user_id, rn, free, now_seen, case when not free then until when len(now_seen) >= 3 then ms + 86400000 end from (
@@ -154,4 +172,5 @@ select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) fi
  cast(case doc_id % 5 when 0 then 3 when 1 then 7 else doc_id % 5 + 1 end as int) as line, 'a,' || lang || case when doc_id % 2 = 1 then ',' || source else '' end as allow from documents where source is not null and lang is not null"""),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
     "fixed_window_limit": (fixed_window_limit, WINDOW_SQL), "sliding_lockout": (sliding_lockout, LOCK_SQL), "coalesced_blocks": (coalesced_blocks, BLOCK_SQL),
+    "counted_window_limit": (counted_window, COUNT_SQL), "persistent_dedupe": (remembered_keys, KNOWN_SQL),
 }

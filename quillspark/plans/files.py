@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quillspark.functions import content, strings
+from quillspark.functions import content, places, strings
 from quillspark.functions import text as T
 from quillspark.sources import sinks, tables
 from quillspark.sources.tables import load
@@ -12,6 +13,7 @@ from quillspark.sources.tables import load
 C = F.col
 ARRAYS = [(1, 'Sure: [{"a": 1}, {"a": 2}] done'), (2, "no records"), (3, "[]"), (4, 'x [ {"b": "y"} ] [ {"c": 3} ]'), (5, None), (6, "")]
 VECTORS = [(1, "[1.5, 2]"), (2, "oops"), (3, None), (4, "[]"), (5, "[0.25]")]
+POSTS = [(-1, "hr@acme.company and A@b.network, a@b.network"), (-2, "+971 50 123 4567 or 8146785224."), (-3, None), (-4, ""), (-5, "+91-98765 43210, Rs 50000, 7502588916743708672")]
 PATTERNS = [(r"id-\d+", True), ("(ab)?c*", True), ("a{2,3}b+", True), ("(a|b)+", True), ("(a+)+", False), ("(a*)*b", False), ("((x|y+)z)*", False), ("(", False), ("(a{2,}){3}", False)]
 
 
@@ -115,6 +117,31 @@ def stored_vectors(spark, sf_dir):
     return v.select("vec_id", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+def reindexed(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "source")
+    folder = sinks.shared_path(spark, "index")
+    sinks.publish(d, folder)
+    try:  # a run that fails keeps the table as it was
+        sinks.publish(d.withColumn("source", F.when(C("doc_id") >= 0, F.raise_error(F.lit("no vector")).cast("string"))), folder)
+    except PySparkException:
+        pass
+    kept = sinks.published(spark, folder).groupBy("source").agg(F.count("*").alias("first"))
+    sinks.publish(d.where("source is not null").withColumn("source", F.upper("source")), folder)
+    return kept.withColumn("source", F.upper("source")).join(sinks.published(spark, folder).groupBy("source").agg(F.count("*").alias("second")), "source")
+
+
+def posts_sheet(spark, sf_dir):
+    sets = {"posts": [("text", "Post"), ("tags", "Why"), ("gone", "Set Aside")], "maps": [("doc_id", "Id")]}
+    d = load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text"), F.array("lang", "source").alias("tags"), F.when(C("doc_id") > 0, F.lit("posts")).alias("kind"))
+    return sinks.sheet(d, "kind", "doc_id", sets, "maps")
+
+
+def contacts(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").selectExpr("c_custkey as id", "concat('mail ', c_name, '@acme.comto or ', 98765 + c_custkey % 9, ' 43210, id 12345678901', c_custkey, ', on 2024-01-', 10 + c_custkey % 10, ' fee ₹9876543210') as text")
+    rows = rows.union(spark.createDataFrame(POSTS, "id long, text string"))
+    return rows.select("id", F.array_join(places.emails_in(C("text")), " ").alias("emails"), F.array_join(places.phones_in(C("text")), "|").alias("phones"))
+
+
 def _values(rows):
     cell = lambda x: "null" if x is None else str(x).lower() if isinstance(x, (bool, int, float)) else "'" + x.replace("'", "''") + "'"
     return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
@@ -133,6 +160,9 @@ FRAMES = {
     "last_runs": (last_runs, "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 7"),
     "user_redaction": (user_redaction, "select doc_id, md5(regexp_replace(text, '[0-9]{3}|[Ll]icense', '***', 'g')) as md5, md5(case when length(text) <= 160 then text else rtrim(text[1:160], ' ') || '...' end) as line from documents"),
     "pattern_safety": (pattern_safety, f"select * from {_values(PATTERNS)} t(pattern, safe)"),
+    "atomic_reindex": (reindexed, "select upper(source) as source, count(*) as first, count(*) as second from documents where source is not null group by source"),
+    "posts_sheet": (posts_sheet, "select coalesce(md5(text), '') as \"Post\", concat_ws('; ', lang, source) as \"Why\", '' as \"Set Aside\" from documents"),
+    "contacts_in_posts": (contacts, "select c_custkey as id, regexp_extract(lower(c_name), '[a-z0-9._%+-]+$') || '@acme.com' as emails, (98765 + c_custkey % 9) || ' 43210' as phones from customer union all select * from (values (-1, 'hr@acme.company a@b.network', ''), (-2, '', '+971 50 123 4567|8146785224'), (-3, null, null), (-4, '', ''), (-5, '', '+91-98765 43210')) t(a, b, c)"),
     "noisy_arrays": (noisy_arrays, "select * from (values (1, '[{\"a\": 1}, {\"a\": 2}]'), (2, null), (3, '[]'), (4, '[ {\"b\": \"y\"} ]'), (5, null), (6, null)) t(id, records)"),
     "stored_vectors": (stored_vectors, "select vec_id, len(embedding)::int as n, round(list_sum(embedding::double[]), 4) as total from embeddings union all select * from (values (-1, 2, 3.5), (-2, 0, 0.0), (-3, 0, 0.0), (-4, 0, 0.0), (-5, 1, 0.25)) t(a, b, c)"),
 }

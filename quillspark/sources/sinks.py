@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,3 +58,41 @@ def merge_patch(base: Column, patch: Column) -> Column:
 def dead_letters(df: DataFrame, attempts: str, most: int, permanent: Column) -> DataFrame:
     """Adds ``failed``: over the retries or a permanent error."""
     return df.withColumn("failed", (F.col(attempts) >= most) | F.coalesce(permanent, F.lit(False)))
+
+
+def publish(df: DataFrame, folder: str) -> int:
+    """Replace the table of a folder: the rows go to a folder of their own, then one appended row makes them current. A write that
+    fails leaves the table as it was. One writer at a time; gives the version."""
+    spark = df.sparkSession
+    name = f"rows-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    version = 1 + (_current(spark, folder) or (0, ""))[0]
+    spark.createDataFrame([(version, name)], "version int, name string").coalesce(1).write.mode("append").parquet(f"{folder}/published")
+    return version
+
+
+def _current(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    try:
+        row = spark.read.schema("version int, name string").parquet(f"{folder}/published").agg(F.max(F.struct("version", "name")).alias("r")).first()
+    except AnalysisException:
+        return None
+    return tuple(row.r) if row.r else None
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows last published to a folder."""
+    return spark.read.parquet(f"{folder}/{_current(spark, folder)[1]}")
+
+
+def sheet(df: DataFrame, source: str, order: str, sets: dict[str, list[tuple[str, str]]], default: str) -> DataFrame:
+    """The columns (key, label) that the first row with a source calls for, as text: arrays joined by ``; ``, null or missing empty."""
+    first = df.where(F.coalesce(F.col(source), F.lit("")) != "").agg(F.min_by(source, order)).first()[0]
+    kinds = dict(df.dtypes)
+
+    def cell(key):
+        if key not in kinds:
+            return F.lit("")
+        c = F.array_join(key, "; ") if kinds[key].startswith("array") else F.col(key).cast("string")
+        return F.coalesce(c, F.lit(""))
+
+    return df.select(*[cell(key).alias(label) for key, label in sets.get(first, sets[default])])

@@ -9,8 +9,8 @@ import pytest
 
 from quillspark.functions import schedules
 from quillspark.functions import text as text_functions
-from quillspark.operators import matching
-from quillspark.sources import tables
+from quillspark.operators import matching, stateful
+from quillspark.sources import sinks, tables
 
 
 def _ms(*at):
@@ -118,3 +118,45 @@ def test_user_patterns(spark):
     assert df.select(text_functions.redact_with(df.t, [r"id-\d+"])).first()[0] == "*** ok"
     with pytest.raises(ValueError):
         text_functions.redact_with(df.t, ["(a+)+"])
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    for name, n in (("a.txt", 4000), ("b.txt", 1), ("empty.txt", 0)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" if i % 5 else "\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = tables.numbered_lines(spark, str(tmp_path), "*.txt")
+        assert rows.rdd.getNumPartitions() > 1
+        got = {(r.file.rsplit("/", 1)[-1], r.line): r.value for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {("a.txt", i): f"a.txt {i}" if i % 5 else "" for i in range(1, 4001)} | {("b.txt", 1): "b.txt 1"}
+
+
+def test_publish_keeps_the_old_table(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    assert sinks.publish(spark.range(3), folder) == 1
+    with pytest.raises(Exception, match="boom"):
+        sinks.publish(spark.range(5).selectExpr("if(id = 4, raise_error('boom'), id) as id"), folder)
+    assert sinks.published(spark, folder).count() == 3
+    assert sinks.publish(spark.range(0), folder) == 2 and sinks.published(spark, folder).count() == 0
+
+
+def test_remembered_equals_the_store(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["n", " ", None]), rng.choice([" a", "b", "c", "d", "", None]), i * rng.choice([1, 1, 2]) // 2 * 10) for i in range(200)]
+    rows = sorted(rows, key=lambda r: (r[3], r[0]))
+    for ttl, most in ((60, 2), (0, 3), (100, 100)):
+        stores, want = {}, {}
+        for i, space, key, at in rows:
+            held, key = stores.setdefault((space or "").strip() or "global", {}), (key or "").strip()
+            want[i] = bool(key) and key in held and (ttl == 0 or at - held[key][0] < ttl)
+            if key and not want[i]:
+                held[key] = (at, i)
+                for k in [k for k, (seen, _) in held.items() if ttl and at - seen >= ttl]:
+                    del held[k]
+                for k in sorted(held, key=held.get)[: max(0, len(held) - most)]:
+                    del held[k]
+        df = spark.createDataFrame(rows, "id long, space string, key string, ms long").repartition(3)
+        assert {r.id: r.duplicate for r in stateful.remembered(df, "space", "key", "ms", "id", ttl, most).collect()} == want
