@@ -146,10 +146,10 @@ def hybrid_fusion(spark, sf_dir):
     return v.join(k, "id", "full_outer").where(score >= 0.05).select("id", F.round(score, 6).alias("score"))
 
 
-def mmr_rerank(spark, sf_dir):
+def mmr_rerank(spark, sf_dir, candidates=24):
     d = load(spark, sf_dir, "documents")
     top = W.partitionBy("lang").orderBy(F.col("n_chars").desc(), "doc_id")
-    return ordered.mmr(d.withColumn("p", F.row_number().over(top)).where("p <= 24").withColumn("score", F.col("n_chars").cast("double")), "lang", "doc_id", "score", "text")
+    return ordered.mmr(d.withColumn("p", F.row_number().over(top)).where(F.col("p") <= candidates).withColumn("score", F.col("n_chars").cast("double")), "lang", "doc_id", "score", "text")
 
 
 def containment_dedupe(spark, sf_dir):

@@ -90,8 +90,8 @@ def coalesced_blocks(spark, sf_dir):
 
 
 def entity_merge_full(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.when(C("doc_id") % 50 > 0, F.md5(F.substring("text", 1, 12))).alias("entity"), "doc_id", F.when(C("doc_id") % 3 > 0, C("lang")).alias("lang"),
-                                                F.when(C("doc_id") % 2 == 0, C("source")).alias("source"), F.substring("text", 1, (C("doc_id") % 40).cast("int")).alias("note"), (C("doc_id") % 7 == 0).alias("detail"))
+    d = load(spark, sf_dir, "documents").select(F.when(C("doc_id") % 50 > 0, F.concat("lang", (C("n_chars") % 97).cast("string"))).alias("entity"), "doc_id", F.when(C("doc_id") % 3 > 0, C("lang")).alias("lang"),
+                                                F.when(C("doc_id") % 2 == 0, C("source")).alias("source"), F.left(F.md5("text"), (C("doc_id") % 32).cast("int")).alias("note"), (C("doc_id") % 7 == 0).alias("detail"))
     return matching.merge_sightings(d, "entity", "doc_id", "detail", ["lang", "source"], ["note"])
 
 
@@ -160,7 +160,7 @@ FRAMES = {
  when regexp_matches(lower(text), '\+\d{10,}|[\w.-]+@[\w.-]+\.\w+|is called|named') then 'entity' when regexp_matches(lower(text), '\b(is|are|has|have)\b') then 'fact' else 'other' end as category from conversations"""),
     "keyword_counts": (keyword_counts, "with w as (select conv_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3 and not regexp_full_match(w, '[0-9]+') and not list_contains([" + ", ".join(f"'{w}'" for w in T.STOP) + "], w)))) as word from conversations) select word, count(*) as n, count(distinct conv_id) as conversations from w group by 1"),
     "model_sizes": (model_sizes, """select p_partkey, p_size % 9 + 0.5::double as billions, p_size % 2 = 1 as truthy, '{"a":' || (p_size + 1) || ',"z":' || p_size || '}' as json from part"""),
-    "entity_merge_full": (entity_merge_full, """with d as (select case when doc_id % 50 > 0 then md5(substr(text, 1, 12)) end as entity, doc_id, case when doc_id % 3 > 0 then lang end as lang, case when doc_id % 2 = 0 then source end as source, nullif(substr(text, 1, cast(doc_id % 40 as int)), '') as note, doc_id % 7 = 0 as detail from documents),
+    "entity_merge_full": (entity_merge_full, """with d as (select case when doc_id % 50 > 0 then lang || (n_chars % 97) end as entity, doc_id, case when doc_id % 3 > 0 then lang end as lang, case when doc_id % 2 = 0 then source end as source, nullif(left(md5(text), cast(doc_id % 32 as int)), '') as note, doc_id % 7 = 0 as detail from documents),
 o as (select *, min(doc_id) filter (detail) over (partition by entity) as op from d where entity is not null)
 select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) filter (lang is not null)) as lang, coalesce(min(source) filter (doc_id = op), arg_min(source, doc_id) filter (source is not null)) as source,
  case when min(note) filter (doc_id = op) is not null then arg_max(note, {'n': length(note), 's': -doc_id}) filter (doc_id >= op and note is not null) else arg_max(note, {'n': length(note), 's': -doc_id}) filter (note is not null) end as note,
