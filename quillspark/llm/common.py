@@ -77,6 +77,17 @@ def rows_of(batch: pa.RecordBatch):
         yield ids[k].as_py(), texts[k].as_py()
 
 
+def word_lists(text: bytes, size: int = 1 << 20):
+    """The words of a text in lists, each of the words of some ``size`` bytes."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        yield text[at:end].split()
+        at = end
+
+
 def raw_name(text: bytes) -> bytes:
     """128 bits that name a text as it is; ``keep_rows`` tells rows of one doc_id apart by them."""
     return hashlib.sha256(text).digest()[:16]

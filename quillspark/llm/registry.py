@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("substring", "url_rules", "pii", "suffix_array", "exact_dedup", "decontaminate", "quality", "mixing", "simhash", "licenses")
+MODULES = ("substring", "url_rules", "pii", "suffix_array", "exact_dedup", "decontaminate", "quality", "mixing", "simhash", "licenses", "alignment", "quality_rules", "search")
 
 
 def _all(what: str) -> dict:
