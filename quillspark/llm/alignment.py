@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import documents, materialize, rows_of, table
 
 TOKENIZERS = "/opt/tokenizers"
-BLOCK_BYTES, BLOCK_ROWS, UNITS, UNIT_BYTES = 4 << 20, 4096, 1 << 18, 16 << 20
+BLOCK_BYTES, BLOCK_ROWS, UNITS, UNIT_BYTES, TOGETHER = 4 << 20, 4096, 1 << 20, 48 << 20, 256
 CUT = re.compile(r"(?<=\S)(?=[ \n])")
 KINDS = "block long, kind string, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, place int, a array<int>, b array<int>, n long"
 
@@ -59,9 +59,13 @@ class Tools:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # a byte stands for itself, the others for characters from 256 on
         hidden = [x for x in range(256) if x not in visible]
         byte = {chr(x): x for x in visible} | {chr(256 + k): x for k, x in enumerate(hidden)}
-        self.a_bytes = {k: bytes(byte[c] for c in entry) for entry, k in json.loads(sent[0])["model"]["vocab"].items() if all(c in byte for c in entry)}
+        vocabulary = json.loads(sent[0])["model"]["vocab"]
+        self.a_bytes = [b""] * (1 + max(vocabulary.values()))
+        for entry, k in vocabulary.items():
+            self.a_bytes[k] = bytes(byte.get(c, 0) for c in entry)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         self.cuts = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces)  # else a text is one unit
 
@@ -72,23 +76,16 @@ class Tools:
         """The ids of both; a unit begins with a space, which B adds by itself (but not to an empty text), or with a line feed, where what B adds is dropped."""
         b = self.b.encode([u.removeprefix(" ") for u in units], num_threads=1)
         b = [ids or [self.space] if u[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for u, ids in zip(units, b)]
-        return [(e.ids, ids) for e, ids in zip(self.a.encode_batch(units, add_special_tokens=False), b)]
+        return [(e.ids, ids) for e, ids in zip(self.a.encode_batch_fast(units, add_special_tokens=False), b)]
 
-    def groups(self, unit: bytes, a: list[int], b: list[int]) -> list[tuple[tuple[int, ...], tuple[int, ...]]] | None:
-        """The groups of a unit; None if its tokens don't give back its bytes."""
-        x, y = [self.a_bytes.get(k, b"") for k in a], [self.b_bytes[k] for k in b]
-        if b"".join(x) != unit or b"".join(y) != unit:
+    def groups(self, unit: bytes, a: list[int], b: list[int]) -> tuple[list[tuple], np.ndarray] | None:
+        """The groups and the bytes where they end; None if the tokens don't give back the bytes."""
+        if b"".join(map(self.a_bytes.__getitem__, a)) != unit or b"".join(map(self.b_bytes.__getitem__, b)) != unit:
             return None
-        ends, theirs = list(itertools.accumulate(map(len, x))), list(itertools.accumulate(map(len, y)))
-        out, i, j, both = [], 0, 0, set(theirs)
-        for k, end in enumerate(ends):
-            if end in both and (k + 1 == len(ends) or ends[k + 1] > end):
-                at = j
-                while at < len(theirs) and theirs[at] <= end:
-                    at += 1
-                out.append((tuple(a[i : k + 1]), tuple(b[j:at])))
-                i, j = k + 1, at
-        return out
+        ends, theirs = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        cuts = np.intersect1d(ends, theirs)
+        i, j = (np.searchsorted(ends, cuts, "right")).tolist(), (np.searchsorted(theirs, cuts, "right")).tolist()
+        return [(tuple(a[s:e]), tuple(b[t:f])) for s, e, t, f in zip([0, *i], i, [0, *j], j)], cuts
 
 
 @functools.lru_cache(maxsize=1)
@@ -105,52 +102,81 @@ class Interned:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}
-        self.held: list[tuple | None] = []  # of a unit: its groups' numbers, their text, tokens of A, of B, links
+        self.units: dict[str, tuple[int, ...]] = {}  # the numbers of a unit's groups; none if its tokens don't give it back
         self.numbers: dict[tuple, int] = {}
         self.groups: list[tuple] = []
+        self.written: list[str] = []
+        self.sizes = np.zeros((1024, 2), np.int64)  # tokens of A and of B
+        self.pairs: dict[int, list[tuple[int, int]]] = {}
         self.size = 0
 
     def full(self) -> bool:
-        return len(self.held) > UNITS or self.size > UNIT_BYTES
+        return len(self.units) > UNITS or self.size > UNIT_BYTES
+
+    def number(self, group: tuple) -> int:
+        if (k := self.numbers.get(group)) is None:
+            k = self.numbers[group] = len(self.groups)
+            self.groups.append(group)
+            self.written.append(",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1])))
+            if k == len(self.sizes):
+                self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+            self.sizes[k] = len(group[0]), len(group[1])
+            self.size += 64 * (len(group[0]) + len(group[1]))
+        return k
 
     def learn(self, units: list[str]) -> None:
-        for unit, (a, b) in zip(units, self.tools.encode(units)):
-            groups = self.tools.groups(unit.encode(), a, b)
-            if groups is not None:
-                for g in groups:
-                    if g not in self.numbers:
-                        self.numbers[g] = len(self.groups)
-                        self.groups.append(g)
-                written = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
-                groups = [self.numbers[g] for g in groups], written, len(a), len(b), sum(len(x) * len(y) for x, y in groups)
-            self.units[unit] = len(self.held)
-            self.held.append(groups)
-            self.size += len(unit)
+        """Units that end visibly are tokenized together, some ``TOGETHER`` at a time, since what stands between them is a cut."""
+        firm = [u for u in units if not u[-1].isspace()]
+        runs = [firm[k : k + TOGETHER] for k in range(0, len(firm), TOGETHER)] + [[u] for u in units if u[-1].isspace()]
+        for run, (a, b) in zip(runs, self.tools.encode(["".join(run) for run in runs])):
+            whole = "".join(run).encode()
+            found = self.tools.groups(whole, a, b)
+            if found:
+                numbers = list(map(self.numbers.get, found[0]))
+                if None in numbers:
+                    numbers = list(map(self.number, found[0]))
+                ends = np.cumsum([len(u.encode()) for u in run])
+                last = np.searchsorted(found[1], ends, "right").tolist()
+                self.units.update((u, tuple(numbers[s:e])) for u, s, e in zip(run, [0, *last], last))
+            elif len(run) == 1:
+                self.units[run[0]] = ()
+            else:
+                for unit, ids in zip(run, self.tools.encode(run)):
+                    one = self.tools.groups(unit.encode(), *ids)
+                    self.units[unit] = tuple(map(self.number, one[0])) if one else ()
+            self.size += len(whole)
 
     def text(self, text: str) -> tuple | None:
         """(n_a, n_b, n_groups, n_links, sha256, numbers of distinct groups, how often each occurs); None for a text without tokens."""
         units = self.tools.units(text)
-        if new := list({u: None for u in units if u not in self.units}):
-            self.learn(new)
-        held = [self.held[self.units[u]] for u in units]
+        held = list(map(self.units.get, units))
         if None in held:
+            self.learn(list({u: None for u, h in zip(units, held) if h is None}))
+            held = list(map(self.units.get, units))
+        if () in held:
             return None
-        digest = hashlib.sha256(";".join(h[1] for h in held).encode()).hexdigest()
-        places, times = np.unique(np.fromiter(itertools.chain.from_iterable(h[0] for h in held), np.int32), return_counts=True)
-        return sum(h[2] for h in held), sum(h[3] for h in held), int(times.sum()), sum(h[4] for h in held), digest, places, times
-
-
-def _again(groups: list[tuple], places: np.ndarray, memo: dict[int, list[tuple[int, int]]]):
-    """The pairs that several of a document's distinct groups link, each as often as that is too many."""
-    pairs: Counter = Counter()
-    wide = False
-    for k in places.tolist():
-        if (mine := memo.get(k)) is None:
-            mine = memo[k] = [(x, y) for x in set(groups[k][0]) for y in set(groups[k][1])]
-        wide |= len(groups[k][0]) + len(groups[k][1]) > 2
-        pairs.update(mine)
-    return ((p, n - 1) for p, n in pairs.items() if n > 1) if wide else ()
+        order = list(itertools.chain.from_iterable(held))
+        digest = hashlib.sha256(";".join(map(self.written.__getitem__, order)).encode()).hexdigest()
+        places, times = np.unique(np.array(order, np.int32), return_counts=True)
+        a, b = self.sizes[places].T
+        return int(times @ a), int(times @ b), len(order), int(times @ (a * b)), digest, places, times
+
+    def again(self, places: np.ndarray):
+        """The pairs that several of a document's distinct groups link, each as often as that is too many.
+
+        Of two such groups at least one has more than two tokens."""
+        wide = places[self.sizes[places].sum(axis=1) > 2].tolist()
+        pairs: Counter = Counter()
+        for k in wide:
+            if (mine := self.pairs.get(k)) is None:
+                mine = self.pairs[k] = [(x, y) for x in set(self.groups[k][0]) for y in set(self.groups[k][1])]
+            pairs.update(mine)
+        if pairs:
+            here = set(places.tolist())
+            for p, n in pairs.items():
+                n += self.numbers.get(((p[0],), (p[1],))) in here
+                if n > 1:
+                    yield p, n - 1
 
 
 def encoded(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -162,7 +188,7 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        block, memo = TaskContext.get().partitionId() << 32, {}
+        block = TaskContext.get().partitionId() << 32
         interned = Interned(tools(sent.value))
         rows, size, held, again = [], 0, Counter(), Counter()
 
@@ -172,7 +198,7 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             out += rows
             rows.clear(), held.clear(), again.clear()
             if interned.full():
-                interned.clear(), memo.clear()
+                interned.clear()
             for at in range(0, len(out), 10_000):
                 part = out[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in part], kind) for c, kind in zip(names, types)], names=names)
@@ -181,7 +207,7 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             for doc_id, text in rows_of(batch):
                 n_a, n_b, n_groups, n_links, digest, places, times = (interned.text(text.decode("utf-8", "replace")) if text else None) or zeros
                 held.update(places.tolist())
-                for pair, n in _again(interned.groups, places, memo):
+                for pair, n in interned.again(places):
                     again[pair] += n
                 rows.append({"block": block, "kind": "doc", "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links, "groups_sha256": digest, "places": places.astype(np.int32).tobytes(), "times": times.astype(np.int32).tobytes()})
                 size += len(text or b"")
