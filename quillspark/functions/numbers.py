@@ -126,6 +126,7 @@ def backoff_ms(attempt: Column, initial: float, factor: float, most: float) -> C
 
 # usage
 
+#: The names a usage record may give a count.
 ALIASES = {
     "input": ("input", "inputTokens", "input_tokens", "promptTokens", "prompt_tokens"),
     "output": ("output", "outputTokens", "output_tokens", "completionTokens", "completion_tokens"),

@@ -117,7 +117,7 @@ def shaped_blocks(content: Column, most: int = 4000) -> Column:
     return F.struct(F.transform(blocks, lambda b: b.dropFields("cut", "redacted")).alias("blocks"), any_of("cut").alias("cut"), any_of("redacted").alias("redacted"))
 
 
-#: Words that run into an address when a space is lost, and the endings they run into.
+#: Words that run into an address when a space is lost, and the endings they run into.
 GLUED = r"\.(com|org|net|in|co|edu)(?:to|or|and|for|at|call|us|on|by|with|please)$"
 
 

@@ -75,6 +75,7 @@ def next_cron_ms(zone: str = "UTC"):
 
 
 VOID = "area base br col embed hr img input link meta source track wbr".split()
+#: Elements that are dropped with their content.
 DROPPED = "meta template svg canvas iframe object embed script style noscript".split()
 #: Classes and property values that hide an element.
 HIDDEN_CLASSES = {"sr-only", "visually-hidden", "d-none", "hidden", "invisible", "screen-reader-only", "offscreen"}
@@ -124,6 +125,7 @@ def visible_text_of(html: str) -> str:
     return " ".join(" ".join(parser.text).split())
 
 
+#: Elements that begin a line of their own.
 BLOCKS = "p div section article header footer table tr ul ol".split()
 
 

@@ -65,40 +65,61 @@ def session_key(agent: Column, channel: Column, kind: Column, peer: Column) -> C
     return F.concat_ws(":", F.lit("agent"), F.lower(F.trim(agent)), F.lower(F.trim(channel)), kind, peer)
 
 
-#: What stands before a secret, the secret's characters, the fewest of them, and what ends it.
-ASSIGNED = [
-    (r"\b[A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)\b\s*[=:]\s*(?<q>[\"']?)", r"[^\s\"'\\]", 1, r"\k<q>"),
-    (r'"(?:apiKey|token|secret|password|passwd|accessToken|refreshToken)"\s*:\s*"', r'[^"]', 1, '"'),
-    (r"--(?:api[-_]?key|token|secret|password|passwd)\s+(?<q>[\"']?)", r"[^\s\"']", 1, r"\k<q>"),
-    (r"Authorization\s*[:=]\s*Bearer\s+", r"[A-Za-z0-9._\-+=]", 1, ""),
-    (r"\bBearer\s+", r"[A-Za-z0-9._\-+=]", 18, r"\b"),
+#: The formats of secrets; the group that isn't quotes is what is masked.
+SECRETS = [
+    r"""\b[A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)\b\s*[=:]\s*(["']?)([^\s"'\\]+)\1""",
+    r'"(?:apiKey|token|secret|password|passwd|accessToken|refreshToken)"\s*:\s*"([^"]+)"',
+    r"""--(?:api[-_]?key|token|secret|password|passwd)\s+(["']?)([^\s"']+)\1""",
+    r"Authorization\s*[:=]\s*Bearer\s+([A-Za-z0-9._\-+=]+)",
+    r"\bBearer\s+([A-Za-z0-9._\-+=]{18,})\b",
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----",
+    r"\b(sk-[A-Za-z0-9_-]{8,})\b",
+    r"\b(ghp_[A-Za-z0-9]{20,})\b",
+    r"\b(github_pat_[A-Za-z0-9_]{20,})\b",
+    r"\b(xox[baprs]-[A-Za-z0-9-]{10,})\b",
+    r"\b(xapp-[A-Za-z0-9-]{10,})\b",
+    r"\b(gsk_[A-Za-z0-9_-]{10,})\b",
+    r"\b(AIza[0-9A-Za-z\-_]{20,})\b",
+    r"\b(pplx-[A-Za-z0-9_-]{10,})\b",
+    r"\b(npm_[A-Za-z0-9]{10,})\b",
+    r"\bbot(\d{6,}:[A-Za-z0-9_-]{20,})\b",
+    r"\b(\d{6,}:[A-Za-z0-9_-]{20,})\b",
 ]
-#: What a key opens with (its pattern and length), its other characters and the fewest of them.
-OPENED = [
-    ("sk-", 3, "[A-Za-z0-9_-]", 8), ("ghp_", 4, "[A-Za-z0-9]", 20), ("xox[baprs]-", 5, "[A-Za-z0-9-]", 10), ("xapp-", 5, "[A-Za-z0-9-]", 10), ("gsk_", 4, "[A-Za-z0-9_-]", 10),
-    ("AIza", 4, r"[0-9A-Za-z\-_]", 20), ("pplx-", 5, "[A-Za-z0-9_-]", 10), ("npm_", 4, "[A-Za-z0-9]", 10),
-]
-PRIVATE = r"-----{} [A-Z ]*PRIVATE KEY-----"
+#: A format's masked group: what it opens with, the class of its other characters and the fewest of them.
+_MASKED = re.compile(r"""\((?!\?|\["')(.*)(\[(?:\\.|[^\]\\])+\])(?:\+|\{(\d+),\})\)""")
+
+
+def _mask_steps(pattern: str) -> list[tuple[str, str]]:
+    """Replacements that mask one format: under 18 characters as ``***``, others by their first six and last four.
+
+    Short ones go first, so that a mask isn't masked again by its own rule; of private keys the outer lines stay."""
+    m = _MASKED.search(pattern)
+    if not m:
+        begin, end = pattern.split(r"[\s\S]+?")
+        return [(rf"{begin}[^\r\n]+?{end}", "***"), (rf"({begin}[^\r\n]*)[\s\S]*?([^\r\n]*{end})", "$1\n…redacted…\n$2")]
+    before, after, head, kind, least = pattern[: m.start()], pattern[m.end() :], m[1], m[2], int(m[3] or 1)
+    if not head:
+        lead, end = "(?<lead>" + before.replace("([\"']?)", "(?<q>[\"']?)") + ")", after.replace(r"\1", r"\k<q>")
+        return [
+            (rf"{lead}(?!{kind}{{18}}){kind}{{{least},}}(?<end>{end})", "${lead}***${end}"),
+            (rf"{lead}(?<a>{kind}{{6}}){kind}{{8,}}(?<z>{kind}{{4}})(?<end>{end})", "${lead}${a}…${z}${end}"),
+        ]
+    if head.startswith(r"\d{6,}"):  # six digits and more, always long enough
+        return [(rf"({before}\d{{6}})\d*:{kind}{{{least - 4},}}({kind}{{4}}){after}", "$1…$2")]
+    n, steps = len(re.sub(r"\[[^\]]+\]", "x", head)), []
+    if n + least < 18:
+        steps.append((rf"{before}(?!{head}{kind}{{{18 - n},}}{after}){head}{kind}{{{least},}}{after}", "***"))
+    first, rest = (head, "") if n <= 6 else (head[:6], head[6:])
+    more = max(0, 6 - n)
+    steps.append((rf"{before}({first}{f'{kind}{{{more}}}' if more else ''}){rest}{kind}{{{max(18 - max(n, 6) - 4, least - more - 4)},}}({kind}{{4}}){after}", "$1…$2"))
+    return steps
 
 
 def redact_all(c: Column) -> Column:
-    """Secrets masked: under 18 characters as ``***``, others by their first six and last four; private keys keep their outer
-    lines. Short ones go first, so that a mask isn't masked again by its own rule."""
-    steps = []
-    for before, kind, least, after in ASSIGNED:
-        lead = f"(?<lead>{before})"
-        steps.append((rf"{lead}(?!{kind}{{18}}){kind}{{{least},}}(?<end>{after})", "${lead}***${end}"))
-        steps.append((rf"{lead}(?<a>{kind}{{6}}){kind}{{8,}}(?<z>{kind}{{4}})(?<end>{after})", "${lead}${a}…${z}${end}"))
-    begin, end = PRIVATE.format("BEGIN"), PRIVATE.format("END")
-    steps += [(rf"{begin}[^\r\n]+?{end}", "***"), (rf"({begin}[^\r\n]*)[\s\S]*?([^\r\n]*{end})", "$1\n…redacted…\n$2")]
-    for head, n, kind, least in OPENED:
-        if n + least < 18:
-            steps.append((rf"\b(?!{head}{kind}{{{18 - n},}}\b){head}{kind}{{{least},}}\b", "***"))
-        steps.append((rf"\b({head}{kind}{{{6 - n}}}){kind}{{{max(8, least - (6 - n) - 4)},}}({kind}{{4}})\b", "$1…$2"))
-    steps.append((r"\b(github)_pat_[A-Za-z0-9_]{16,}([A-Za-z0-9_]{4})\b", "$1…$2"))
-    steps += [(rf"\b({bot}\d{{6}})\d*:[A-Za-z0-9_-]{{16,}}([A-Za-z0-9_-]{{4}})\b", "$1…$2") for bot in ("bot", "")]
-    for pattern, by in steps:
-        c = F.regexp_replace(c, "(?i)" + pattern, by)
+    """Secrets of all formats masked, in the formats' order."""
+    for pattern in SECRETS:
+        for found, by in _mask_steps(pattern):
+            c = F.regexp_replace(c, "(?i)" + found, by)
     return c
 
 

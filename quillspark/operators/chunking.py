@@ -107,7 +107,7 @@ def at_breaks(df: DataFrame, id_: str, text: str, most: int) -> DataFrame:
 def fuzzy_score(query: str):
     """A pandas UDF that scores labels: every word of the query must be a subsequence; the lower the better, null without a match.
 
-    A character costs a tenth of its place and twice the gap before it; runs earn 5, 10, 15 and so on, starts of words 10."""
+    Fixed values: a character costs a tenth of its place and twice the gap before it; runs earn 5, 10, 15 and so on, starts of words 10."""
     wanted = query.lower().split()
 
     def one(word: str, label: str) -> float | None:

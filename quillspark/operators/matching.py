@@ -1,40 +1,106 @@
-"""Joins and merges on text identity: containment without a cross join, and the merge of sightings of one entity."""
+"""Joins and merges on text identity: containment by automata, and the merge of sightings of one entity."""
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quillspark.functions.places import compared
 
-BLOCK = 4096
+BLOCK_BYTES, PREFIX, CHUNK_CHARS = 4 << 20, 256, 1 << 20
 
 
-def contained(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
-    """Pairs (doc_id, item_id) where the item's text, of ``least`` characters and more, stands in the document's.
+class Finder:
+    """Which of some texts stand in a text, in one pass over it. A long text's first ``PREFIX`` characters find it, the rest is compared."""
 
-    A word between two spaces of the item must be a word of the document, so the inner word that the fewest documents hold is an
-    equi-join key, and only pairs that share it are compared; an item with a word that no document holds is dropped before any
-    text moves. Items without an inner word, normally none, go against all documents in broadcast blocks of at most ``BLOCK``
-    items on average. Null texts match nothing.
-    """
-    items = items.select(item_id, F.col(text).alias("_item")).where(F.length("_item") >= least)
-    words = F.split("_item", " ")
-    inner = F.array_distinct(F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != ""))
-    items = items.withColumn("_inner", inner)
-    docs = docs.select(doc_id, F.col(text).alias("_doc"))
-    bag = docs.select(doc_id, F.explode(F.array_distinct(F.split("_doc", " "))).alias("_seed"))
-    wanted = items.select(item_id, F.explode("_inner").alias("_seed"))
-    held = bag.join(wanted.select("_seed").distinct(), "_seed", "left_semi").groupBy("_seed").agg(F.count("*").alias("_df"))
-    rarest = F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_seed").alias("seed")))
-    seeds = wanted.join(held, "_seed", "left").groupBy(item_id).agg(rarest.alias("_s")).where("_s.df > 0").select(item_id, F.col("_s.seed").alias("_seed"))
-    pairs = bag.join(seeds, "_seed").select(doc_id, item_id).join(docs, doc_id).join(items.select(item_id, "_item"), item_id)
-    found = pairs.where(F.contains("_doc", "_item")).select(doc_id, item_id)
-    bare = items.where(F.size("_inner") == 0).select(item_id, "_item")
-    blocks = -(-bare.count() // BLOCK)
+    def __init__(self, texts: list[str]):
+        starts: dict[str, list[int]] = {}
+        for k, t in enumerate(texts):
+            starts.setdefault(t[:PREFIX], []).append(k)
+        self.texts, self.machine = texts, ahocorasick.Automaton()
+        for start, mine in starts.items():
+            self.machine.add_word(start, (len(start), mine))
+        self.machine.make_automaton() if starts else None
+        self.any = bool(starts)
+
+    def within(self, text: str) -> set[int]:
+        found: set[int] = set()
+        for end, (size, mine) in self.machine.iter(text) if self.any else ():
+            at = end - size + 1
+            found.update(k for k in mine if k not in found and text.startswith(self.texts[k], at))
+        return found
+
+
+def _pairs(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, both: bool) -> DataFrame:
+    """doc_id, item_id, way ("holds": the document holds the item; "held": the item holds the document) over column _text.
+
+    Items are sent in blocks of some ``BLOCK_BYTES`` by a hash of the item, each one more map over the documents; no row is shuffled. For
+    the second way a task gathers those of its documents that aren't longer than the longest item, builds their automaton,
+    some ``CHUNK_CHARS`` at a time, and reads the items."""
+    spark = docs.sparkSession
+    items = items.select(item_id, "_text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    blocks = 1 + size // BLOCK_BYTES
+    kinds = [to_arrow_type(docs.schema[doc_id].dataType), to_arrow_type(items.schema[item_id].dataType), pa.string()]
+    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}, way string"
+    out = spark.createDataFrame([], schema)
     for k in range(blocks):
-        block = bare.where(F.pmod(F.xxhash64(item_id, "_item"), F.lit(blocks)) == k)
-        found = found.union(docs.join(F.broadcast(block), F.contains("_doc", "_item")).select(doc_id, item_id))
-    return found
+        block = items.where(F.pmod(F.xxhash64(item_id, "_text"), F.lit(blocks)) == k).collect()
+        if not block:
+            continue
+        sent = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block]))
+
+        def run(batches, sent=sent):
+            ids, texts = sent.value
+            finder, longest = Finder(texts), max(map(len, texts))
+
+            def rows(pairs, way):
+                pairs = list(pairs)
+                arrays = [pa.array([p[0] for p in pairs], kinds[0]), pa.array([p[1] for p in pairs], kinds[1]), pa.array([way] * len(pairs), kinds[2])]
+                return pa.RecordBatch.from_arrays(arrays, names=[doc_id, item_id, "way"])
+
+            def held(short):
+                mine = Finder([t for _, t in short])
+                return rows(((short[d][0], ids[i]) for i, text in enumerate(texts) for d in mine.within(text)), "held")
+
+            short, chars = [], 0
+            for batch in batches:
+                names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                yield rows(((n, ids[i]) for n, body in zip(names, bodies) for i in finder.within(body)), "holds")
+                for n, body in zip(names, bodies) if both else ():
+                    if len(body) <= longest:
+                        short.append((n, body))
+                        chars += len(body)
+                        if chars >= CHUNK_CHARS:
+                            yield held(short)
+                            short, chars = [], 0
+            if short:
+                yield held(short)
+
+        out = out.unionByName(docs.select(doc_id, "_text").mapInArrow(run, schema))
+    return out
+
+
+def _long(df: DataFrame, id_: str, text, least: int) -> DataFrame:
+    return df.select(id_, text.alias("_text")).where(F.length("_text") >= least)
+
+
+def contained(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
+    """Pairs (doc_id, item_id) where the item's text, of ``least`` characters and more, stands in the document's. Null texts match nothing."""
+    return _pairs(_long(docs, doc_id, F.col(text), least), doc_id, _long(items, item_id, F.col(text), least), item_id, False).select(doc_id, item_id)
+
+
+def contained_either(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int = 10, folded: bool = True) -> DataFrame:
+    """Pairs where either text stands in the other: doc_id, item_id, holds, held (both for equal texts).
+
+    Texts are compared trimmed, lower-cased, without pictographs and with single spaces, unless not ``folded``, and have ``least``
+    characters then. Null texts match nothing; rows that repeat id and text give a pair once."""
+    shape = compared(F.col(text)) if folded else F.col(text)
+    found = _pairs(_long(docs, doc_id, shape, least), doc_id, _long(items, item_id, shape, least), item_id, True)
+    return found.groupBy(doc_id, item_id).agg(F.bool_or(F.col("way") == "holds").alias("holds"), F.bool_or(F.col("way") == "held").alias("held"))
 
 
 def merge_sightings(df: DataFrame, key: str, seq: str, detail: str, plain: list[str], longest: list[str]) -> DataFrame:

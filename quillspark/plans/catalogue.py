@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import matching, ordered, query_filter
-from quillspark.plans import content, decisions, files, more, scalars, secondary, waiting
+from quillspark.plans import content, decisions, files, indexed, more, scalars, secondary, waiting
 from quillspark.sources import sinks
 from quillspark.sources.tables import TABLES, load
 from quillspark.streaming import events as live
@@ -238,6 +238,7 @@ FRAMES = {
     **decisions.FRAMES,
     **waiting.FRAMES,
     **files.FRAMES,
+    **indexed.FRAMES,
 }
 
 
