@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,6 +142,16 @@ def safe_pattern(pattern: str) -> bool:
     return not nested(tree, False)
 
 
+def safe_patterns(c: Column) -> Column:
+    """``safe_pattern`` of a column of patterns; null for null."""
+
+    @F.pandas_udf("boolean")
+    def safe(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda p: None if p is None else safe_pattern(p)).astype("object")
+
+    return safe(c)
+
+
 def redact_with(c: Column, patterns: list[str]) -> Column:
     """What matches one of the user's patterns becomes ``***``; unsafe patterns are refused."""
     for pattern in patterns:

@@ -49,7 +49,7 @@ MESSAGES = [
     (1, "user", "plain  text\n here", None), (2, "assistant", None, [("text", " first\npart ", None, None), ("toolCall", None, "read", None), ("tool_use", None, "read", None), ("text", "   ", None, None), ("text", "second", None, None)]),
     (3, "toolResult", None, [("tool_result", "ok", None, False), ("tool_result_error", "bad", None, True), (" Tool_Result ", "ok", None, True)]), (4, "user", "  ", None), (5, "assistant", None, []), (6, "assistant", None, [("TOOL_CALL", None, " write ", None), ("tool_use", None, "", None)]),
 ]
-BLOCKS = "id int, role string, text string, content array<struct<type: string, text: string, name: string, is_error: boolean>>"
+BLOCKS = "id long, role string, text string, content array<struct<type: string, text: string, name: string, is_error: boolean>>"
 
 
 def injection_rules(spark, sf_dir):
@@ -77,17 +77,42 @@ def ranked_emails(spark, sf_dir):
     return rows.select("doc_id", F.posexplode(content.emails(F.col("text"), F.col("host"), junk)).alias("place", "email"))
 
 
+def _asks(spark, sf_dir):
+    """Queries for nodes: literal ones, and one a customer by id, folded name, address or the beginning of the id."""
+    q = "case c_custkey % 4 when 0 then left(md5(cast(c_custkey as string)), 12) when 1 then upper(replace(c_name, '#', ' ')) when 2 then concat('10.1.', c_custkey) else left(md5(cast(c_custkey as string)), 7) end"
+    return spark.createDataFrame(ASKS, "ask long, q string").union(load(spark, sf_dir, "customer").selectExpr("1000 + c_custkey", q))
+
+
+def _nodes(spark, sf_dir):
+    rows = load(spark, sf_dir, "customer").selectExpr("left(md5(cast(c_custkey as string)), 12)", "c_name", "concat('10.1.', c_custkey)", "c_custkey % 2 = 0")
+    return spark.createDataFrame(NODES, "node_id string, name string, ip string, connected boolean").union(rows)
+
+
+#: The customers' part of the matches, each query against each node.
+MATCHED = """m as (select 1000 + q.c_custkey as ask, n.node_id, n.connected from (select c_custkey, case c_custkey % 4 when 0 then left(md5(c_custkey::varchar), 12) when 1 then upper(replace(c_name, '#', ' ')) when 2 then '10.1.' || c_custkey else left(md5(c_custkey::varchar), 7) end as q from customer) q
+ join (select left(md5(c_custkey::varchar), 12) as node_id, lower(replace(c_name, '#', ' ')) as name, '10.1.' || c_custkey as ip, c_custkey % 2 = 0 as connected from customer) n on q = node_id or q = ip or lower(q) = name or (length(q) >= 6 and starts_with(node_id, q)))"""
+
+
+def votes(spark, sf_dir):
+    rows = spark.createDataFrame(VOTES, "id long, s array<string>, most int").select("id", "s")
+    rows = rows.union(load(spark, sf_dir, "orders").selectExpr("1000 + o_orderkey", "array(cast(o_orderkey % 7 as string), concat(' ', o_custkey % 5), 'x')"))
+    return rows.select("id", F.array_join(relational.vote_of(F.col("s"), 5, 2), ",").alias("vote"))
+
+
 def email_classes(spark, sf_dir):
     from quillspark.functions import content
 
-    rows = spark.createDataFrame([(1, "Jo@Shop.test", 2), (2, "info@shop.test", 1), (3, "x@mailinator.test", 1), (4, "bad", 1), (5, "jo@a.mailinator.test", None), (6, "jo@shop.test", None), (7, "jo@shop.test", 0), (8, None, 1), (9, "a@b@c.de", 1), (10, "a@b..de", 1)], "id int, email string, mx int")
+    given = load(spark, sf_dir, "customer").selectExpr("1000 + c_custkey", "case c_custkey % 4 when 0 then concat('info@m', c_nationkey, '.test') when 1 then concat('Jo', c_custkey, '@Shop.test') when 2 then concat('x', c_custkey, '@mailinator.test') else concat('bad', c_custkey) end", "1")
+    rows = spark.createDataFrame([(1, "Jo@Shop.test", 2), (2, "info@shop.test", 1), (3, "x@mailinator.test", 1), (4, "bad", 1), (5, "jo@a.mailinator.test", None), (6, "jo@shop.test", None), (7, "jo@shop.test", 0), (8, None, 1), (9, "a@b@c.de", 1), (10, "a@b..de", 1)], "id long, email string, mx int").union(given)
     return rows.select("id", content.email_class(F.col("email"), F.col("mx"), ["mailinator.test"]).alias("status"))
 
 
 def message_texts(spark, sf_dir):
     from quillspark.functions import content
 
-    m = spark.createDataFrame(MESSAGES, BLOCKS)
+    empty = "cast(null as string)"
+    given = load(spark, sf_dir, "conversations").selectExpr("1000 + conv_id * 1000 + turn", "role", empty, f"array(named_struct('type', 'text', 'text', text, 'name', {empty}, 'is_error', cast(null as boolean)), named_struct('type', 'tool_use', 'text', {empty}, 'name', role, 'is_error', cast(null as boolean)), named_struct('type', 'tool_result', 'text', 'ok', 'name', {empty}, 'is_error', turn % 2 = 0))")
+    m = spark.createDataFrame(MESSAGES, BLOCKS).union(given)
     text = content.chat_text(F.col("text"), F.col("content"))
     return m.select("id", text.alias("text"), F.array_join(content.tool_names(F.col("content")), ",").alias("tools"), content.tool_results(F.col("content")).alias("r")).select("id", "text", "tools", "r.total", "r.errors")
 
@@ -177,8 +202,8 @@ FRAMES = {
     "drop_tool_messages": (lambda s, d: load(s, d, "conversations").where(policy.drop_roles(F.when(F.col("turn") != 3, F.col("role")), ("tool", "system"))).select("conv_id", "turn", "role"), "select conv_id, turn, role from conversations where turn = 3 or role is null or role not in ('tool', 'system')"),
     "capture_rules": (lambda s, d: load(s, d, "conversations").select("conv_id", "turn", policy.capturable(F.col("text"), ["an", r"\?"], ["the "], 20, 300).alias("capture")), "select conv_id, turn, length(text) between 20 and 300 and (contains(lower(text), 'an') or contains(text, '?')) and not contains(lower(text), 'the ') as capture from conversations"),
     "session_visibility": (lambda s, d: load(s, d, "customer").select("c_custkey", *[policy.visible_to(F.col("c_custkey"), F.col("c_nationkey"), 5, 3, m, x, F.col("c_custkey") % 2 == 0).alias(n) for n, m, x in (("own", "self", True), ("tree", "tree", True), ("agent", "agent", True), ("everything", "all", True), ("no_cross", "all", False))]), "select c_custkey, c_nationkey = 3 and c_custkey = 5 as own, c_nationkey = 3 and (c_custkey = 5 or c_custkey % 2 = 0) as tree, c_nationkey = 3 as agent, true as everything, c_nationkey = 3 as no_cross from customer"),
-    "node_matches": (lambda s, d: relational.node_matches(s.createDataFrame(ASKS, "ask int, q string"), s.createDataFrame(NODES, "node_id string, name string, ip string, connected boolean")).select("ask", "node_id"), "select * from (values (1, 'node-aaaaaa1'), (2, 'node-aaaaaa1'), (2, 'node-aaaaaa2'), (3, 'node-bbbbbb1'), (4, 'node-bbbbbb1'), (4, 'node-bbbbbb2'), (6, 'node-bbbbbb1'), (8, 'short'), (9, 'node-aaaaaa1'), (9, 'node-aaaaaa2')) t(ask, node_id)"),
-    "unique_match_resolution": (lambda s, d: relational.resolve_one(s.createDataFrame(ASKS, "ask int, q string"), relational.node_matches(s.createDataFrame(ASKS, "ask int, q string"), s.createDataFrame(NODES, "node_id string, name string, ip string, connected boolean"))), "select * from (values (1, 'ok', 'node-aaaaaa1'), (2, 'ok', 'node-aaaaaa1'), (3, 'ok', 'node-bbbbbb1'), (4, 'ambiguous', null), (5, 'unknown', null), (6, 'ok', 'node-bbbbbb1'), (7, 'unknown', null), (8, 'ok', 'short'), (9, 'ok', 'node-aaaaaa1')) t(ask, status, node_id)"),
+    "node_matches": (lambda s, d: relational.node_matches(_asks(s, d), _nodes(s, d)).select("ask", "node_id"), f"with {MATCHED} select * from (values (1, 'node-aaaaaa1'), (2, 'node-aaaaaa1'), (2, 'node-aaaaaa2'), (3, 'node-bbbbbb1'), (4, 'node-bbbbbb1'), (4, 'node-bbbbbb2'), (6, 'node-bbbbbb1'), (8, 'short'), (9, 'node-aaaaaa1'), (9, 'node-aaaaaa2')) t(ask, node_id) union all select ask, node_id from m"),
+    "unique_match_resolution": (lambda s, d: relational.resolve_one(_asks(s, d), relational.node_matches(_asks(s, d), _nodes(s, d))), f"with {MATCHED} select * from (values (1, 'ok', 'node-aaaaaa1'), (2, 'ok', 'node-aaaaaa1'), (3, 'ok', 'node-bbbbbb1'), (4, 'ambiguous', null), (5, 'unknown', null), (6, 'ok', 'node-bbbbbb1'), (7, 'unknown', null), (8, 'ok', 'short'), (9, 'ok', 'node-aaaaaa1')) t(ask, status, node_id) union all select 1000 + c_custkey, case when n is null then 'unknown' when n = 1 or live = 1 then 'ok' else 'ambiguous' end, case when n = 1 then one when live = 1 then on_one end from customer left join (select ask, count(*) as n, count(*) filter (connected) as live, min(node_id) as one, min(node_id) filter (connected) as on_one from m group by 1) on ask = 1000 + c_custkey"),
     "priority_lookup_join": (priority_lookup, "select doc_id, case when source = 'src3' then 'src3' when lower(source) = 'src4' then 'SRC 4' when lang = 'en' then 'en' when lower(lang) = 'fr' then 'F R' else '*' end as key, case when source = 'src3' then 'own' when lower(source) = 'src4' then 'folded' when lang = 'en' then 'language' when lower(lang) = 'fr' then 'folded language' else 'any' end as value, case when lower(source) in ('src3', 'src4') then 'direct' when lower(lang) in ('en', 'fr') then 'parent' else 'wildcard' end as source from documents"),
     "identity_links": (identities, "select event_id, case when user_id = 7 or (user_id = 1 and event_type = 'mail') then 'ann' when user_id = 9 or (user_id = 3 and event_type = 'view') then 'bob' else 'cy' end as canonical from events where user_id in (7, 9) or (user_id = 1 and event_type = 'mail') or (user_id = 3 and event_type = 'view') or (user_id = 5 and event_type = 'click')"),
     "seen_anti_join": (lambda s, d: relational.unseen(load(s, d, "customer").select(F.when(F.col("c_custkey") % 10 > 0, F.col("c_custkey")).alias("k"), "c_mktsegment"), load(s, d, "orders").select(F.col("o_custkey").alias("k")), "k"), "select case when c_custkey % 10 <> 0 then c_custkey end as k, c_mktsegment from customer where c_custkey % 10 = 0 or c_custkey not in (select o_custkey from orders where o_custkey is not null)"),
@@ -205,7 +230,7 @@ FRAMES = {
     "round_robin_order": (lambda s, d: relational.round_robin(load(s, d, "events").groupBy("user_id").agg(F.min("event_type").alias("kind"), F.max("ts").alias("used"), F.max(F.when(F.col("user_id") % 4 == 0, F.col("ts") + F.expr("interval '1' day"))).alias("until")), "until", _now(), "kind", ["error", "click"], "used", "user_id").limit(40).select("user_id", "cooling", "kind_rank"), "with a as (select user_id, min(event_type) as kind, max(ts) as used, case when user_id % 4 = 0 then max(ts) + interval 1 day end as until from events group by 1), b as (select *, coalesce(until > timestamp '2024-01-30 22:00:00', false) as cooling, case kind when 'error' then 0 when 'click' then 1 else 2 end as kind_rank from a) select user_id, cooling, kind_rank from b order by cooling, case when cooling then epoch_us(until) else kind_rank end, case when cooling then 0 else epoch_us(used) end, user_id limit 40"),
     "ttl_then_cap": (lambda s, d: relational.ttl_then_cap(load(s, d, "events"), ["event_type"], F.when(F.col("event_id") % 10 > 0, F.col("ts")), "event_id", F.lit(datetime(2024, 1, 29)), 50).select("event_id"), "select event_id from events where event_id % 10 <> 0 and ts >= '2024-01-29' qualify row_number() over (partition by event_type order by ts desc, event_id desc) <= 50"),
     "ttl_null_survives": (lambda s, d: relational.ttl_then_cap(load(s, d, "events"), ["event_type"], F.when(F.col("event_id") % 10 > 0, F.col("ts")), "event_id", F.lit(datetime(2024, 1, 30)), 1_000_000, True).select("event_id"), "select event_id from events where event_id % 10 = 0 or ts >= '2024-01-30'"),
-    "votes": (lambda s, d: s.createDataFrame(VOTES, "id int, s array<string>, most int").select("id", F.array_join(relational.vote_of(F.col("s"), 5, 2), ",").alias("vote")), "select * from (values (1, '1'), (2, '2,0'), (3, ''), (4, '4,3')) t(id, vote)"),
+    "votes": (votes, "select * from (values (1, '1'), (2, '2,0'), (3, ''), (4, '4,3')) t(id, vote) union all select 1000 + o_orderkey, case when o_orderkey % 7 < 5 and o_orderkey % 7 <> o_custkey % 5 then (o_orderkey % 7) || ',' || (o_custkey % 5) else (o_custkey % 5)::varchar end from orders"),
     "worst_status": (lambda s, d: relational.worst_status(load(s, d, "customer"), load(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus", F.col("o_orderdate").cast("date").cast("string").alias("e")), "c_custkey", "o_orderstatus", ["F", "P"], "e"), "select c_custkey, case when n = 0 then 'missing' when f > 0 then 'F' when p > 0 then 'P' else 'other' end as status, e as expires from (select c_custkey, count(o_orderkey) as n, count(*) filter (o_orderstatus = 'F') as f, count(*) filter (o_orderstatus = 'P') as p, min(o_orderdate)::date::varchar as e from customer left join orders on o_custkey = c_custkey group by 1)"),
     "top_with_omitted": (lambda s, d: relational.top_with_omitted(load(s, d, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")), "n", "source", 5), "select source, sum(n_chars)::bigint as n, (select count(distinct source) from documents) - 5 as omitted from documents group by 1 order by 2 desc, 1 limit 5"),
     "status_summary": (lambda s, d: relational.per_key_summary(load(s, d, "events").withColumn("agent", F.col("user_id") % 5), "agent", ["ts", "event_id"], "event_id", 10), "select agent, event_id, rank, total from (select user_id % 5 as agent, event_id, row_number() over (partition by user_id % 5 order by ts desc, event_id desc) as rank, count(*) over (partition by user_id % 5) as total from events) where rank <= 10"),
@@ -215,6 +240,6 @@ FRAMES = {
     "injection_rules": (injection_rules, "select * from (values (-1, 'ignore previous'), (-2, 'elevated,remove all'), (-3, 'role line'), (-4, 'new role,new instructions,delete all')) t(doc_id, rules)"),
     "source_findings": (source_findings, "select * from (values (-1, 'dangerous-exec', 'critical', 2, 'exec(''ls'')'), (-3, 'dynamic-code-execution', 'critical', 2, 'eval (''1'')'), (-4, 'suspicious-network', 'warn', 1, 'new WebSocket(''wss://h.example:9999/x'')'), (-6, 'potential-exfiltration', 'warn', 1, 'const a = readFileSync(p)'), (-7, 'env-harvesting', 'critical', 1, 'process.env.KEY; post(x)'), (-8, 'obfuscated-code', 'warn', 1, 's = ''\\x41\\x42\\x43\\x44\\x45\\x46'''), (-9, 'crypto-mining', 'critical', 1, 'xmrig and coinhive'), (-10, 'dynamic-code-execution', 'critical', 3, 'eval(x)')) t(doc_id, rule, severity, line, evidence)"),
     "ranked_emails": (ranked_emails, None),
-    "email_classes": (email_classes, "select * from (values (1, 'valid'), (2, 'role'), (3, 'disposable'), (4, 'invalid'), (5, 'disposable'), (6, 'unknown'), (7, 'no-mx'), (8, 'invalid'), (9, 'invalid'), (10, 'invalid')) t(id, status)"),
-    "message_texts": (message_texts, "select * from (values (1, 'plain text here', '', 0, 0), (2, 'first part second', 'read', 0, 0), (3, null, '', 3, 2), (4, null, '', 0, 0), (5, null, '', 0, 0), (6, null, 'write', 0, 0)) t(id, text, tools, total, errors)"),
+    "email_classes": (email_classes, "select * from (values (1, 'valid'), (2, 'role'), (3, 'disposable'), (4, 'invalid'), (5, 'disposable'), (6, 'unknown'), (7, 'no-mx'), (8, 'invalid'), (9, 'invalid'), (10, 'invalid')) t(id, status) union all select 1000 + c_custkey, case c_custkey % 4 when 0 then 'role' when 1 then 'valid' when 2 then 'disposable' else 'invalid' end from customer"),
+    "message_texts": (message_texts, "select * from (values (1, 'plain text here', '', 0, 0), (2, 'first part second', 'read', 0, 0), (3, null, '', 3, 2), (4, null, '', 0, 0), (5, null, '', 0, 0), (6, null, 'write', 0, 0)) t(id, text, tools, total, errors) union all select 1000 + conv_id * 1000 + turn, nullif(trim(regexp_replace(text, '\\s+', ' ', 'g')), ''), coalesce(role, ''), 1, (turn % 2 = 0)::int from conversations"),
 }

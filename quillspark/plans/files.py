@@ -103,11 +103,14 @@ def user_redaction(spark, sf_dir):
 
 
 def pattern_safety(spark, sf_dir):
-    return spark.createDataFrame([(p, T.safe_pattern(p)) for p, _ in PATTERNS], "pattern string, safe boolean")
+    rows = spark.createDataFrame([(p,) for p, _ in PATTERNS], "pattern string")
+    rows = rows.union(load(spark, sf_dir, "part").selectExpr("concat(p_name, ' ', p_partkey, case p_partkey % 3 when 0 then '(a+)+' when 1 then '[a-z]+' else '(' end)"))
+    return rows.select("pattern", T.safe_patterns(C("pattern")).alias("safe"))
 
 
 def noisy_arrays(spark, sf_dir):
-    return spark.createDataFrame(ARRAYS, "id int, out string").select("id", content.json_array_in(C("out")).alias("records"))
+    rows = spark.createDataFrame(ARRAYS, "id long, out string").union(load(spark, sf_dir, "events").selectExpr("1000 + event_id", "concat('log ', event_type, ' [{\"a\": ', event_id, '}] tail ]')"))
+    return rows.select("id", content.json_array_in(C("out")).alias("records"))
 
 
 def stored_vectors(spark, sf_dir):
@@ -159,10 +162,10 @@ FRAMES = {
     "deleted_keys": (deleted_keys, "select o_orderkey, o_custkey from orders where o_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F')"),
     "last_runs": (last_runs, "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 7"),
     "user_redaction": (user_redaction, "select doc_id, md5(regexp_replace(text, '[0-9]{3}|[Ll]icense', '***', 'g')) as md5, md5(case when length(text) <= 160 then text else rtrim(text[1:160], ' ') || '...' end) as line from documents"),
-    "pattern_safety": (pattern_safety, f"select * from {_values(PATTERNS)} t(pattern, safe)"),
+    "pattern_safety": (pattern_safety, f"select * from {_values(PATTERNS)} t(pattern, safe) union all select p_name || ' ' || p_partkey || case p_partkey % 3 when 0 then '(a+)+' when 1 then '[a-z]+' else '(' end, p_partkey % 3 = 1 from part"),
     "atomic_reindex": (reindexed, "select upper(source) as source, count(*) as first, count(*) as second from documents where source is not null group by source"),
     "posts_sheet": (posts_sheet, "select coalesce(md5(text), '') as \"Post\", concat_ws('; ', lang, source) as \"Why\", '' as \"Set Aside\" from documents"),
     "contacts_in_posts": (contacts, "select c_custkey as id, regexp_extract(lower(c_name), '[a-z0-9._%+-]+$') || '@acme.com' as emails, (98765 + c_custkey % 9) || ' 43210' as phones from customer union all select * from (values (-1, 'hr@acme.company a@b.network', ''), (-2, '', '+971 50 123 4567|8146785224'), (-3, null, null), (-4, '', ''), (-5, '', '+91-98765 43210')) t(a, b, c)"),
-    "noisy_arrays": (noisy_arrays, "select * from (values (1, '[{\"a\": 1}, {\"a\": 2}]'), (2, null), (3, '[]'), (4, '[ {\"b\": \"y\"} ]'), (5, null), (6, null)) t(id, records)"),
+    "noisy_arrays": (noisy_arrays, "select * from (values (1, '[{\"a\": 1}, {\"a\": 2}]'), (2, null), (3, '[]'), (4, '[ {\"b\": \"y\"} ]'), (5, null), (6, null)) t(id, records) union all select 1000 + event_id, '[{\"a\": ' || event_id || '}]' from events"),
     "stored_vectors": (stored_vectors, "select vec_id, len(embedding)::int as n, round(list_sum(embedding::double[]), 4) as total from embeddings union all select * from (values (-1, 2, 3.5), (-2, 0, 0.0), (-3, 0, 0.0), (-4, 0, 0.0), (-5, 1, 0.25)) t(a, b, c)"),
 }

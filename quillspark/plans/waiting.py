@@ -51,8 +51,12 @@ def throttle(spark, sf_dir):
 
 
 def learn(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
     table = spark.createDataFrame([("geo", "Theni Town", "1"), ("geo", "Old", "4")], "facet string, label string, id string")
-    return relational.learned(table, spark.createDataFrame(PAIRS, "seq int, facet string, label string, id string"), ["seq"])
+    table = table.union(c.where("c_custkey % 2 = 0").selectExpr("'name'", "c_name", "cast(c_custkey as string)"))
+    pairs = spark.createDataFrame(PAIRS, "seq long, facet string, label string, id string")
+    pairs = pairs.union(c.selectExpr("100 + c_custkey", "'name'", "concat(' ', upper(c_name))", "cast(c_custkey + if(c_custkey % 3 = 0, 0, 1000000) as string)"))
+    return relational.learned(table, pairs, ["seq"])
 
 
 def areas(spark, sf_dir):
@@ -61,7 +65,7 @@ def areas(spark, sf_dir):
 
 
 def search_urls(spark, sf_dir):
-    u = spark.createDataFrame(URLS, "id int, url string, n int")
+    u = spark.createDataFrame(URLS, "id long, url string, n int").union(load(spark, sf_dir, "pages").selectExpr("1000 + page_id", "url", "cast(page_id % 4 as int)"))
     return u.select("id", places.page_url(F.col("url"), F.col("n")).alias("page"), F.array_join(places.facet_urls(F.col("url"), "geo", F.array(F.lit("7"), F.lit("8"))), " ").alias("split"))
 
 
@@ -70,7 +74,9 @@ def kept_words(spark, sf_dir):
 
 
 def history(spark, sf_dir):
-    h = spark.createDataFrame(HISTORY, "id int, content array<struct<type: string, text: string, signature: string, data: string>>")
+    empty = "cast(null as string)"
+    given = load(spark, sf_dir, "conversations").selectExpr("1000 + conv_id * 1000 + turn", f"array(named_struct('type', 'text', 'text', text, 'signature', {empty}, 'data', {empty}), named_struct('type', 'image', 'text', {empty}, 'signature', {empty}, 'data', text))")
+    h = spark.createDataFrame(HISTORY, "id long, content array<struct<type: string, text: string, signature: string, data: string>>").union(given)
     s = h.select("id", places.shaped_blocks(F.col("content"), 40).alias("s"))
     return s.select("id", F.array_size("s.blocks").alias("n"), F.array_join(F.transform("s.blocks", lambda b: F.coalesce(b["bytes"].cast("string"), F.lit("-"))), ",").alias("bytes"), "s.cut", "s.redacted")
 
@@ -82,12 +88,12 @@ FRAMES = {
     "queue_waiting_already": (again, f"with e as (select *, case when event_id % 3 > 0 then event_id % 4 end as m, event_id % 5 as p from ({LIVE})), i as (select *, not drain and m is not null and row_number() over (partition by user_id, round, drain, event_type, m order by ts, event_id) > 1 as by_id from e) select event_id, by_id, not drain and case when m is null then coalesce(sum((not by_id)::int) over (partition by user_id, round, drain, event_type, p order by ts, event_id rows between unbounded preceding and 1 preceding), 0) > 0 else by_id end as again from i"),
     "throttled_updates": (throttle, None),
     "mentioned_lately": (lambda s, d: queues.mentioned_lately(_events(s, d), ["user_id"], "ms", ["ts", "event_id"], F.col("event_type") == "view", 43_200_000).select("event_id", "lately"), "select event_id, coalesce(epoch_ms(ts) - max(case when event_type = 'view' then epoch_ms(ts) end) over (partition by user_id order by ts, event_id) <= 43200000, false) as lately from events"),
-    "learned_ids": (learn, "select * from (values ('geo', 'theni town', '1', 'Theni Town', false), ('geo', 'chennai', '2', 'CHENNAI', true), ('org', 'chennai', '9', 'Chennai', true), ('geo', 'old', '5', 'Old', true)) t(facet, key, id, label, changed)"),
+    "learned_ids": (learn, "select * from (values ('geo', 'theni town', '1', 'Theni Town', false), ('geo', 'chennai', '2', 'CHENNAI', true), ('org', 'chennai', '9', 'Chennai', true), ('geo', 'old', '5', 'Old', true)) t(facet, key, id, label, changed) union all select 'name', lower(c_name), (c_custkey + case when c_custkey % 3 = 0 then 0 else 1000000 end)::varchar, case when c_custkey % 6 = 0 then c_name else upper(c_name) end, c_custkey % 6 <> 0 from customer"),
     "collated_names": (lambda s, d: relational.collated_rank(load(s, d, "part").withColumn("name", F.expr("if(p_partkey % 2 = 0, upper(p_name), p_name)")), ["p_brand"], "name", "p_partkey").select("p_partkey", "rank"), "select p_partkey, row_number() over (partition by p_brand order by lower(p_name), p_partkey)::int as rank from part"),
     "chunk_scan": (lambda s, d: relational.chunks_of(load(s, d, "documents").withColumn("model", F.col("lang")), "en", ["src1", "src3"]).select("doc_id"), "select doc_id from documents where lang = 'en' and source in ('src1', 'src3')"),
     "address_areas": (areas, "select * from (values (1, 'Anna Nagar'), (2, 'Chennai 600040'), (3, 'Springfield'), (4, 'Marylebone'), (5, ''), (6, ''), (7, 'B')) t(id, area) union all select 1000 + c_custkey, c_mktsegment from customer"),
     "engine_windows": (lambda s, d: load(s, d, "part").select("p_partkey", places.engine_days(F.expr("nullif(p_size % 4, 3)")).alias("days")), "select p_partkey, case when p_size % 4 in (0, 3) then 12 else p_size % 4 + 2 end as days from part"),
     "search_urls": (search_urls, None),
     "keywords_without_words": (kept_words, "select p_partkey, trim(regexp_replace(regexp_replace(p_name || ', in ,x', '\\bwidget\\b', ' ', 'gi'), '[ ,]+', ' ', 'g'), ' ') as keywords from part"),
-    "shaped_history": (history, "select * from (values (1, 2, '-,4', true, false), (2, 1, '-', true, false), (3, 0, '', false, false), (4, null, null, false, false), (5, 2, '-,-', false, true)) t(id, n, bytes, cut, redacted)"),
+    "shaped_history": (history, "select * from (values (1, 2, '-,4', true, false), (2, 1, '-', true, false), (3, 0, '', false, false), (4, null, null, false, false), (5, 2, '-,-', false, true)) t(id, n, bytes, cut, redacted) union all select 1000 + conv_id * 1000 + turn, 2, '-,' || coalesce(length(text)::varchar, '-'), text is not null, false from conversations"),
 }
