@@ -78,14 +78,20 @@ class Tools:
         b = [ids or [self.space] if u[0] == " " else ids[1:] if ids[:1] == [self.space] else [] for u, ids in zip(units, b)]
         return [(e.ids, ids) for e, ids in zip(self.a.encode_batch_fast(units, add_special_tokens=False), b)]
 
-    def groups(self, unit: bytes, a: list[int], b: list[int]) -> tuple[list[tuple], np.ndarray] | None:
-        """The groups and the bytes where they end; None if the tokens don't give back the bytes."""
+    def ends_of(self, unit: bytes, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of each group the byte, the token of A and the token of B where it ends; None if the tokens don't give back the bytes."""
         if b"".join(map(self.a_bytes.__getitem__, a)) != unit or b"".join(map(self.b_bytes.__getitem__, b)) != unit:
             return None
         ends, theirs = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
         cuts = np.intersect1d(ends, theirs)
-        i, j = (np.searchsorted(ends, cuts, "right")).tolist(), (np.searchsorted(theirs, cuts, "right")).tolist()
-        return [(tuple(a[s:e]), tuple(b[t:f])) for s, e, t, f in zip([0, *i], i, [0, *j], j)], cuts
+        return cuts, np.searchsorted(ends, cuts, "right"), np.searchsorted(theirs, cuts, "right")
+
+    def groups(self, unit: bytes, a: list[int], b: list[int]) -> list[tuple] | None:
+        """The ids of each group."""
+        if (found := self.ends_of(unit, a, b)) is None:
+            return None
+        i, j = found[1].tolist(), found[2].tolist()
+        return [(tuple(a[s:e]), tuple(b[t:f])) for s, e, t, f in zip([0, *i], i, [0, *j], j)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -104,10 +110,11 @@ class Interned:
     def clear(self) -> None:
         self.units: dict[str, tuple[int, ...]] = {}  # the numbers of a unit's groups; none if its tokens don't give it back
         self.numbers: dict[tuple, int] = {}
+        self.singles: dict[int, int] = {}  # of groups of one token each, by the code of the pair
         self.groups: list[tuple] = []
         self.written: list[str] = []
         self.sizes = np.zeros((1024, 2), np.int64)  # tokens of A and of B
-        self.pairs: dict[int, list[tuple[int, int]]] = {}
+        self.pairs: dict[int, list[int]] = {}  # the codes of a group's distinct pairs
         self.size = 0
 
     def full(self) -> bool:
@@ -122,28 +129,36 @@ class Interned:
                 self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
             self.sizes[k] = len(group[0]), len(group[1])
             self.size += 64 * (len(group[0]) + len(group[1]))
+            if len(group[0]) == len(group[1]) == 1:
+                self.singles[(group[0][0] << 32) + group[1][0]] = k
         return k
 
+    def numbered(self, a: list[int], b: list[int], i: np.ndarray, j: np.ndarray) -> list[int]:
+        """The numbers of the groups that end at the tokens ``i`` and ``j``; most are of one token each, and looked up by their code."""
+        codes = (np.array(a, np.int64)[i - 1] << 32) + np.array(b, np.int64)[j - 1]
+        single = (np.diff(i, prepend=0) == 1) & (np.diff(j, prepend=0) == 1)
+        out = [self.singles.get(c) if one else None for c, one in zip(codes.tolist(), single.tolist())]
+        if None in out:
+            i, j = [0, *i.tolist()], [0, *j.tolist()]
+            out = [self.number((tuple(a[i[k] : i[k + 1]]), tuple(b[j[k] : j[k + 1]]))) if n is None else n for k, n in enumerate(out)]
+        return out
+
     def learn(self, units: list[str]) -> None:
         """Units that end visibly are tokenized together, some ``TOGETHER`` at a time, since what stands between them is a cut."""
         firm = [u for u in units if not u[-1].isspace()]
         runs = [firm[k : k + TOGETHER] for k in range(0, len(firm), TOGETHER)] + [[u] for u in units if u[-1].isspace()]
         for run, (a, b) in zip(runs, self.tools.encode(["".join(run) for run in runs])):
             whole = "".join(run).encode()
-            found = self.tools.groups(whole, a, b)
+            found = self.tools.ends_of(whole, a, b)
             if found:
-                numbers = list(map(self.numbers.get, found[0]))
-                if None in numbers:
-                    numbers = list(map(self.number, found[0]))
-                ends = np.cumsum([len(u.encode()) for u in run])
-                last = np.searchsorted(found[1], ends, "right").tolist()
+                numbers = self.numbered(a, b, *found[1:])
+                last = np.searchsorted(found[0], np.cumsum([len(u.encode()) for u in run]), "right").tolist()
                 self.units.update((u, tuple(numbers[s:e])) for u, s, e in zip(run, [0, *last], last))
             elif len(run) == 1:
                 self.units[run[0]] = ()
             else:
                 for unit, ids in zip(run, self.tools.encode(run)):
-                    one = self.tools.groups(unit.encode(), *ids)
-                    self.units[unit] = tuple(map(self.number, one[0])) if one else ()
+                    self.units[unit] = tuple(map(self.number, self.tools.groups(unit.encode(), *ids) or []))
             self.size += len(whole)
 
     def text(self, text: str) -> tuple | None:
@@ -152,7 +167,7 @@ class Interned:
         held = list(map(self.units.get, units))
         if None in held:
             self.learn(list({u: None for u, h in zip(units, held) if h is None}))
-            held = list(map(self.units.get, units))
+            held = [self.units[u] if h is None else h for u, h in zip(units, held)]
         if () in held:
             return None
         order = list(itertools.chain.from_iterable(held))
@@ -166,17 +181,16 @@ class Interned:
 
         Of two such groups at least one has more than two tokens."""
         wide = places[self.sizes[places].sum(axis=1) > 2].tolist()
-        pairs: Counter = Counter()
+        codes: list[int] = []
         for k in wide:
             if (mine := self.pairs.get(k)) is None:
-                mine = self.pairs[k] = [(x, y) for x in set(self.groups[k][0]) for y in set(self.groups[k][1])]
-            pairs.update(mine)
-        if pairs:
-            here = set(places.tolist())
-            for p, n in pairs.items():
-                n += self.numbers.get(((p[0],), (p[1],))) in here
-                if n > 1:
-                    yield p, n - 1
+                mine = self.pairs[k] = [(x << 32) + y for x in set(self.groups[k][0]) for y in set(self.groups[k][1])]
+            codes += mine
+        here = set(places.tolist()) if codes else ()
+        for p, n in Counter(codes).items():
+            n += self.singles.get(p) in here
+            if n > 1:
+                yield (p >> 32, p & 0xFFFFFFFF), n - 1
 
 
 def encoded(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
