@@ -21,8 +21,8 @@ def log_lines(spark, sf_dir):
 
 
 def front_matter(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("text is not null")
-    m = T.front_matter(F.concat(F.lit("---\r\ntitle: 'Doc "), C("doc_id"), F.lit("'\r\nlang: x\r\nempty:\r\nlang: "), C("lang"), F.lit("\r\n---\r\n"), C("text")))
+    d = load(spark, sf_dir, "documents")
+    m = T.front_matter(F.concat(F.lit("---\r\ntitle: 'Doc "), C("doc_id"), F.lit("'\r\nlang: x\r\nempty:\r\nlang: "), C("lang"), F.lit("\r\n---\r\n"), F.coalesce("text", F.lit(""))))
     return d.select("doc_id", m["title"].alias("title"), m["lang"].alias("language"), F.size(m).alias("n"))
 
 
@@ -118,12 +118,12 @@ def redacted_documents(spark, sf_dir):
 
 
 def titles_lines_lists(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").where("source is not null")
+    d = load(spark, sf_dir, "documents").withColumns({"source": F.coalesce("source", F.lit("unknown")), "lang": F.coalesce("lang", F.lit("und"))})
     k = C("doc_id")
     title = F.when(k % 4 == 0, F.concat(F.lit("Ann Lee on LinkedIn: about "), "source")).when(k % 4 == 1, F.concat(C("source"), F.lit("'s Post - LinkedIn"))).when(
         k % 4 == 2, F.concat(F.lit("a | b | "), C("source"), F.lit(" posted on the topic | LinkedIn"))).otherwise(C("source"))
     allow = T.merged_allow_list(F.array(F.lit(" a "), C("lang"), F.lit("")), F.array(C("source"), F.lit("a")), F.when(k % 2 == 0, F.lit("allowlist")).otherwise(F.lit("pairing")))
-    return d.where("lang is not null").select("doc_id", T.post_title(title).alias("t"), T.source_line((k % 5 + 1).cast("int"), F.array(F.lit(3), F.lit(7))).alias("line"), F.array_join(allow, ",").alias("allow")).select("doc_id", "t.*", "line", "allow")
+    return d.select("doc_id", T.post_title(title).alias("t"), T.source_line((k % 5 + 1).cast("int"), F.array(F.lit(3), F.lit(7))).alias("line"), F.array_join(allow, ",").alias("allow")).select("doc_id", "t.*", "line", "allow")
 
 
 #: Walks of each key's rows, one row a step.
@@ -153,7 +153,7 @@ BLOCK_SQL = """with recursive c as (select conv_id, turn, length(coalesce(text,
 FRAMES = {
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
-    "front_matter": (front_matter, "select doc_id, 'Doc ' || doc_id as title, lang as language, 2 as n from documents where text is not null and lang is not null union all select doc_id, null, null, null from documents where text is not null and lang is null"),
+    "front_matter": (front_matter, "select doc_id, 'Doc ' || doc_id as title, lang as language, 2 as n from documents where lang is not null union all select doc_id, null, null, null from documents where lang is null"),
     "batch_results": (batch_results, "select vec_id::varchar as custom_id, case when vec_id % 7 <> 0 then label + 2.5::double end as total, case when vec_id % 7 = 0 then 'unknown error' end as error from embeddings"),
     "markers_and_directives": (markers_and_directives, r"""select conv_id, turn, md5('<<<EXTERNAL_UNTRUSTED_CONTENT id="f">>>' || chr(10) || 'Source: Web' || chr(10) || '---' || chr(10) || '[[reply_to: m' || turn || ']] [[audio_as_voice]] ' || role || ' [[MARKER_SANITIZED]] end' || chr(10) || '<<<END_EXTERNAL_UNTRUSTED_CONTENT id="f">>>') as wrapped,
  'm' || turn as reply_to, true as audio, role || ' ＜<<external_untrusted_content>>> end' as text, case when regexp_matches(lower(text), 'prefer|like|love|hate|want|need') then 'preference' when regexp_matches(lower(text), 'decided|will use|going with|chose') then 'decision'
@@ -169,7 +169,7 @@ select entity, coalesce(min(lang) filter (doc_id = op), arg_min(lang, doc_id) fi
     "code_region_counts": (code_region_counts, "select conv_id, turn, cast(2 as int) as regions from conversations"), "visible_page_text": (visible_page_text, None),
     "page_markdown": (page_markdown, None), "redacted_documents": (redacted_documents, None),
     "titles_lines_lists": (titles_lines_lists, """select doc_id, case doc_id % 4 when 0 then 'Ann Lee' when 3 then '' else source end as author, case doc_id % 4 when 0 then 'about ' || source when 1 then '' when 2 then 'a | b' else source end as text,
- cast(case doc_id % 5 when 0 then 3 when 1 then 7 else doc_id % 5 + 1 end as int) as line, 'a,' || lang || case when doc_id % 2 = 1 then ',' || source else '' end as allow from documents where source is not null and lang is not null"""),
+ cast(case doc_id % 5 when 0 then 3 when 1 then 7 else doc_id % 5 + 1 end as int) as line, 'a,' || lang || case when doc_id % 2 = 1 then ',' || source else '' end as allow from (select doc_id, coalesce(source, 'unknown') as source, coalesce(lang, 'und') as lang from documents)"""),
     "markdown_chunks": (markdown_chunks, None), "byte_parts": (byte_parts, None), "break_chunks": (break_chunks, None), "fuzzy_rank": (fuzzy_rank, None),
     "fixed_window_limit": (fixed_window_limit, WINDOW_SQL), "sliding_lockout": (sliding_lockout, LOCK_SQL), "coalesced_blocks": (coalesced_blocks, BLOCK_SQL),
     "counted_window_limit": (counted_window, COUNT_SQL), "persistent_dedupe": (remembered_keys, KNOWN_SQL),

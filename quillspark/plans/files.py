@@ -121,7 +121,7 @@ def stored_vectors(spark, sf_dir):
 
 
 def reindexed(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select("doc_id", "source")
+    d = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"))
     folder = sinks.shared_path(spark, "index")
     sinks.publish(d, folder)
     try:  # a run that fails keeps the table as it was
@@ -129,7 +129,7 @@ def reindexed(spark, sf_dir):
     except PySparkException:
         pass
     kept = sinks.published(spark, folder).groupBy("source").agg(F.count("*").alias("first"))
-    sinks.publish(d.where("source is not null").withColumn("source", F.upper("source")), folder)
+    sinks.publish(d.withColumn("source", F.upper("source")), folder)
     return kept.withColumn("source", F.upper("source")).join(sinks.published(spark, folder).groupBy("source").agg(F.count("*").alias("second")), "source")
 
 
@@ -163,7 +163,7 @@ FRAMES = {
     "last_runs": (last_runs, "select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 7"),
     "user_redaction": (user_redaction, "select doc_id, md5(regexp_replace(text, '[0-9]{3}|[Ll]icense', '***', 'g')) as md5, md5(case when length(text) <= 160 then text else rtrim(text[1:160], ' ') || '...' end) as line from documents"),
     "pattern_safety": (pattern_safety, f"select * from {_values(PATTERNS)} t(pattern, safe) union all select p_name || ' ' || p_partkey || case p_partkey % 3 when 0 then '(a+)+' when 1 then '[a-z]+' else '(' end, p_partkey % 3 = 1 from part"),
-    "atomic_reindex": (reindexed, "select upper(source) as source, count(*) as first, count(*) as second from documents where source is not null group by source"),
+    "atomic_reindex": (reindexed, "select upper(coalesce(source, 'none')) as source, count(*) as first, count(*) as second from documents group by 1"),
     "posts_sheet": (posts_sheet, "select coalesce(md5(text), '') as \"Post\", concat_ws('; ', lang, source) as \"Why\", '' as \"Set Aside\" from documents"),
     "contacts_in_posts": (contacts, "select c_custkey as id, regexp_extract(lower(c_name), '[a-z0-9._%+-]+$') || '@acme.com' as emails, (98765 + c_custkey % 9) || ' 43210' as phones from customer union all select * from (values (-1, 'hr@acme.company a@b.network', ''), (-2, '', '+971 50 123 4567|8146785224'), (-3, null, null), (-4, '', ''), (-5, '', '+91-98765 43210')) t(a, b, c)"),
     "noisy_arrays": (noisy_arrays, "select * from (values (1, '[{\"a\": 1}, {\"a\": 2}]'), (2, null), (3, '[]'), (4, '[ {\"b\": \"y\"} ]'), (5, null), (6, null)) t(id, records) union all select 1000 + event_id, '[{\"a\": ' || event_id || '}]' from events"),

@@ -68,15 +68,15 @@ select p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
 
 
 def masks_and_cuts(spark, sf_dir):
-    t = C("text")
+    t = F.coalesce("text", F.lit(""))
     id_ = F.when(C("doc_id") % 5 == 0, F.lit("  ")).otherwise(C("source"))
     short = F.left(F.md5(t), (C("doc_id") % 30).cast("int"))
-    return load(spark, sf_dir, "documents").where("text is not null").select(
-        "doc_id", S.digest(C("text")).alias("hash"), S.redact_identifier(id_).alias("id"), S.mask_token(short).alias("token"), S.mask_api_key(F.md5(t)).alias("api_key"),
-        F.md5(S.csv_escape(t)).alias("cell"), F.md5(S.one_line(C("text"))).alias("line"), F.md5(S.unicode_query(C("text"))).alias("query"))
+    return load(spark, sf_dir, "documents").select(
+        "doc_id", S.digest(t).alias("hash"), S.redact_identifier(id_).alias("id"), S.mask_token(short).alias("token"), S.mask_api_key(F.md5(t)).alias("api_key"),
+        F.md5(S.csv_escape(t)).alias("cell"), F.md5(S.one_line(t)).alias("line"), F.md5(S.unicode_query(t)).alias("query"))
 
 
-MASK_SQL = rf"""with d as (select doc_id, text, text as t, substr(md5(text), 1, cast(doc_id % 30 as int)) as s, case when doc_id % 5 = 0 then '' else source end as i from documents where text is not null)
+MASK_SQL = rf"""with d as (select doc_id, text, text as t, substr(md5(text), 1, cast(doc_id % 30 as int)) as s, case when doc_id % 5 = 0 then '' else source end as i from (select doc_id, source, coalesce(text, '') as text from documents))
 select doc_id, sha256(text) as hash, case when i = '' then '-' else 'sha256:' || substr(sha256(i), 1, 12) end as id, case when length(s) < 18 then '***' else substr(s, 1, 6) || '…' || right(s, 4) end as token,
  substr(md5(t), 1, 8) || '...' || right(md5(t), 8) as api_key, md5(case when regexp_matches(t, '[",\n]') then '"' || replace(t, '"', '""') || '"' else t end) as cell,
  md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) as line,

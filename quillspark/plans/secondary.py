@@ -21,7 +21,7 @@ BOTH = {
     "eleven_measures": "select l_linestatus, cast(sum(l_quantity) as bigint) as tokens, round(sum(l_extendedprice), 2) as cost, round(sum(l_extendedprice * l_tax), 2) as tax, round(sum(l_extendedprice * l_discount), 2) as discount, min(l_quantity) as lo, max(l_quantity) as hi, round(avg(l_quantity), 6) as mean, count(*) as n, count(distinct l_suppkey) as suppliers, sum(case when l_discount = 0 then 1 else 0 end) as undiscounted from lineitem group by 1",
     # Histories of the most recent keys
     # U02, U04, U06, U07, R01, R03, R04
-    "bounded_union": "select k from (select k, row_number() over (order by first desc, k desc) as age from (select k, min(seq) as first from (select o_custkey as k, o_orderkey as seq from orders union all select c_custkey, c_custkey + 1000000 from customer) a group by 1) b) c where age <= 900",
+    "bounded_union": "select k from (select k, min(seq) as first from (select o_custkey as k, o_orderkey as seq from orders union all select c_custkey, c_custkey + 1000000 from customer) a group by 1) b order by first desc, k desc limit 900",
     "suggestions_not_observed": "select distinct lower(p_type) as name, 'observed' as origin from part where p_size > 40 union all select distinct lower(p_type), 'standard' from part a where not exists (select 1 from part b where b.p_size > 40 and lower(b.p_type) = lower(a.p_type))",
     "task_grid": "select a.r_regionkey as region, b.n_nationkey as nation, row_number() over (order by a.r_regionkey, b.n_nationkey) as seq, (a.r_regionkey = b.n_regionkey) as done from region a join nation b on b.n_nationkey % 5 <= a.r_regionkey",
     # Y01 to Y22
