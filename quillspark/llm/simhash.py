@@ -1,9 +1,10 @@
 """SimHash near-dedup with vantage-point trees.
 
-Fingerprints link at ``RADIUS`` or fewer differing bits. Their 64 bits are cut into ``RADIUS + 1`` blocks; two linked
-fingerprints agree wholly on one block at least. The Hamming distance on a block is a pseudo-metric, so a block is one
+Fingerprints link at ``RADIUS`` or fewer differing bits. Their 64 bits are cut into ``RADIUS + k`` blocks; two linked
+fingerprints agree wholly on k blocks at least. The Hamming distance on k blocks is a pseudo-metric, so each choice of k is one
 vantage-point tree whose remaining radius is 0: the triangle bound sends a fingerprint to exactly one branch of each, and
-these branches are the shards. A branch of more than ``BRANCH`` fingerprints is partitioned again by the distance to a
+these branches are the shards. k grows with the number of fingerprints (``cuts``), so that a branch has some ``CROWD`` of them at
+most if their bits are spread; every k finds all links. A branch of more than ``BRANCH`` fingerprints is partitioned again by the distance to a
 vantage fingerprint, in rings of ``2 * RADIUS`` distances; fingerprints within the radius of a ring's boundary also go to
 the ring beyond it. Inside a shard a vantage-point tree in memory finds the exact pairs: a query goes down every branch
 that the triangle bound can't exclude, in whole arrays of queries. Only a spanning forest of the pairs found leaves a shard.
@@ -20,12 +21,14 @@ link is wrong (but for equal 64-bit hashes), and one is missed only if its pair
 shingles are one node.
 
 Equal fingerprints are one node from the start, so thousands of copies cost one row. Nulls: a null text has no words and
-the fingerprint zero; a null doc_id gets its fingerprint's component. Repeated rows get equal results.
+the fingerprint zero. Nodes are fingerprints, so a row without a doc_id links others, and has its component's smallest doc_id (null
+if no row of the component has one). Repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import documents, keep_rows, materialize, mixed, raw_name, rows_of, table
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-BRANCH, LEAF, SHARD_BITS = 50_000, 64, 7
+BRANCH, LEAF, SHARDS, CROWD = 50_000, 64, 128, 1024
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS, PAIRS = 5, 4, 58, 64, 14, 32
 ALIKE = (4, 5)
 LEAF_ROWS, SLICE = 50_000, 16_384  # rows of a task's group of leaves, and of a slice of a hot leaf
@@ -220,14 +223,26 @@ def _shard(radius: int, columns: tuple[str, ...] = ("fp",)):
     return run
 
 
-def links(reps: DataFrame, radius: int = RADIUS, branch: int = BRANCH) -> DataFrame:
-    """(u, v), u > v: links between the ``rep`` of distinct fingerprints ``fp`` that have the components of all links."""
-    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
-    blocks = F.array(*[
-        F.struct(F.lit(k).alias("tree"), F.expr(f"cast(shiftrightunsigned(fp, {a}) & {(1 << b - a) - 1}L as int)").alias("leaf"))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:]))
-    ])
-    rows = reps.select("fp", "rep", F.explode(blocks).alias("b")).select("fp", "rep", "b.tree", "b.leaf")
+def cuts(size: int, radius: int = RADIUS) -> list[int]:
+    """The bits of each tree, as masks: each choice of k of ``radius + k`` blocks, with the smallest k (1 to 3) that spreads
+    ``size`` fingerprints enough. Two that differ in ``radius`` bits at most agree on one of the masks."""
+    for k in (1, 2, 3):
+        edges = [64 * x // (radius + k) for x in range(radius + k + 1)]
+        blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+        masks = [sum(own) for own in combinations(blocks, k)]
+        if size <= CROWD << min(m.bit_count() for m in masks):
+            break
+    return masks
+
+
+def links(reps: DataFrame, radius: int = RADIUS, branch: int = BRANCH, size: int | None = None) -> DataFrame:
+    """(u, v), u > v: links between the ``rep`` of distinct fingerprints ``fp`` that have the components of all links.
+
+    ``size`` decides how many trees there are (the number of rows, if not given)."""
+    size = reps.count() if size is None else size
+    signed = lambda mask: mask - (1 << 64 if mask >> 63 else 0)
+    leaves = F.array(*[F.struct(F.lit(k).alias("tree"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("leaf")) for k, m in enumerate(cuts(size, radius))])
+    rows = reps.select("fp", "rep", F.explode(leaves).alias("b")).select("fp", "rep", "b.tree", "b.leaf")
     large = rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.min("fp").alias("vantage")).where(F.col("n") > branch).drop("n")
     d = F.expr("bit_count(fp ^ vantage)")
     width = 2 * radius
@@ -236,8 +251,8 @@ def links(reps: DataFrame, radius: int = RADIUS, branch: int = BRANCH) -> DataFr
     )
     rows = rows.join(large, ["tree", "leaf"], "left").select("fp", "rep", "tree", "leaf", F.explode(ring).alias("ring"), F.col("vantage").isNotNull().alias("split"))
     # small leaves share a task's call; a split branch has one for each ring
-    shard = F.when(F.col("split"), F.col("leaf") + 1_000_000).otherwise(F.col("leaf") % (1 << SHARD_BITS))
-    return rows.groupBy("tree", shard.alias("shard"), "ring").applyInPandas(_shard(radius), "u long, v long")
+    shard = F.when(F.col("split"), F.col("leaf")).otherwise(F.pmod(F.xxhash64("leaf"), F.lit(max(SHARDS, size // LEAF_ROWS))))
+    return rows.groupBy("tree", "split", shard.alias("shard"), "ring").applyInPandas(_shard(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,10 +277,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A row for each document: doc_id, fingerprint (16 hex digits), component_id."""
     prints = materialize(fingerprints(docs))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(links(reps.where("rep is not null"), radius))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    found = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    named = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     # written, so that the join below can split the partition of a fingerprint that many documents share
-    named = materialize(reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")))
+    named = materialize(named.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

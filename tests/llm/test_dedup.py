@@ -283,8 +283,28 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("branch", [50_000, 20])
-def test_links_of_dense_clusters(spark, branch):
+def test_rows_without_doc_id_link_others(spark, monkeypatch):
+    """00 (doc 1), 0f (no doc_id) and ff (doc 2) are one component; one without any doc_id has none."""
+    data = [(1, 0), (None, 0x0F), (2, 0xFF), (5, -1), (None, 0x0F0F0F0F0F), (None, 0x0F0F0F0F0E), (None, -1)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda d: spark.createDataFrame(data, "doc_id long, fp long"))
+    got = sorted(((r.fingerprint, r.doc_id, r.component_id) for r in simhash.near_groups(docs(spark)).collect()), key=str)
+    name = lambda fp: f"{fp & (1 << 64) - 1:016x}"
+    want = {0: 1, 0x0F: 1, 0xFF: 1, -1: 5, 0x0F0F0F0F0F: None, 0x0F0F0F0F0E: None}
+    assert got == sorted(((name(fp), d, want[fp]) for d, fp in data), key=str)
+
+
+@pytest.mark.parametrize("size", [10, 1 << 23, 1 << 33])
+def test_linked_fingerprints_agree_on_a_mask(size):
+    r = random.Random(size)
+    masks = simhash.cuts(size)
+    assert len(masks) == {10: 5, 1 << 23: 15, 1 << 33: 35}[size]
+    for _ in range(500):
+        flips = sum(1 << b for b in r.sample(range(64), simhash.RADIUS))
+        assert any(not flips & m for m in masks)
+
+
+@pytest.mark.parametrize("branch, size", [(50_000, None), (20, None), (50_000, 1 << 23)])
+def test_links_of_dense_clusters(spark, branch, size):
     r = random.Random(3)
     centres = [r.getrandbits(64) for _ in range(20)]
     prints = {}
@@ -297,7 +317,7 @@ def test_links_of_dense_clusters(spark, branch):
     for k, x in prints.items():
         first.setdefault(x, k)
     reps = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, k) for x, k in first.items()], "fp long, rep long")
-    found = {r.node: r.root for r in simhash.components(simhash.links(reps, branch=branch)).collect()}
+    found = {r.node: r.root for r in simhash.components(simhash.links(reps, branch=branch, size=size)).collect()}
     want = _components({k: prints[k] for k in first.values()}, simhash.RADIUS)
     assert {k: found.get(k, k) for k in want} == want
 
