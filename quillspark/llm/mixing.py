@@ -31,12 +31,14 @@ STEP, TURN = 2850178704830799621, 62
 HALF = 1 << 31
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words) and the shuffle key of each row."""
+def sized(docs: DataFrame, named: bool = False) -> DataFrame:
+    """doc_id, source, size (words) and the shuffle key of each row; ``named``: also name, 128 bits that name its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("key"),
+        *([F.unhex(F.md5(text)).alias("name")] if named else []),
     )
 
 
@@ -112,38 +114,45 @@ def streams(sizes: DataFrame, mix: DataFrame) -> DataFrame:
     d = sizes.join(mix.select("sid", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s"))).withColumn("part", F.substring("key", 1, digits))
     parts = d.groupBy("sid", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("before", F.sum("n").over(W.partitionBy("sid").orderBy("part")) - F.col("n")).drop("n")
-    order = W.partitionBy("sid", "part").orderBy("key", "doc_id", "size")
+    name = [c for c in sizes.columns if c == "name"]
+    order = W.partitionBy("sid", "part").orderBy("key", "doc_id", "size", *name)
     d = d.withColumn("row", F.row_number().over(order)).withColumn("hi", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return d.join(parts, ["sid", "part"]).select("doc_id", "size", "sid", "part", "row", F.expr("before + hi - size").alias("lo"), F.expr("before + hi").alias("hi"))
+    return d.join(parts, ["sid", "part"]).select("doc_id", "size", *name, "sid", "part", "row", F.expr("before + hi - size").alias("lo"), F.expr("before + hi").alias("hi"))
 
 
-def mix_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block: int = BLOCK) -> DataFrame:
-    """A row for each document: doc_id, size, source, source_size, target, taken, first_slot (null: none), slots."""
-    sizes = materialize(sized(docs))
+def mix_words(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block: int = BLOCK, named: bool = False) -> DataFrame:
+    """A row for each document: doc_id, size, source, source_size, target, taken, first_slot (null: none), slots; ``named``: also name."""
+    sizes = materialize(sized(docs, named))
+    name = ["name"] if named else []
     mix = materialize(targets(sizes, weights, share, epochs, block))
     pieces = streams(sizes, mix).withColumn("block", F.explode_outer(F.expr(f"if(size > 0, sequence(lo div {block}, (hi - 1) div {block}), null)")))
     # least() and greatest() skip nulls, so a block that no slot takes has to be told apart
     overlap = F.expr(f"if(words is null, 0L, greatest(0L, least(hi, block * {block} + words) - greatest(lo, block * {block})))")
     pieces = pieces.join(blocks_taken(mix, block), ["sid", "block"], "left").withColumn("overlap", overlap)
-    taken = pieces.groupBy("sid", "part", "row", "doc_id", "size").agg(
+    taken = pieces.groupBy("sid", "part", "row", "doc_id", "size", *name).agg(
         F.sum("overlap").alias("taken"), F.min(F.when(F.col("overlap") > 0, F.col("slot"))).alias("first_slot"), F.count_if(F.col("overlap") > 0).alias("slots")
     )
-    return taken.join(mix, "sid").select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "slots")
+    return taken.join(mix, "sid").select("doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "slots", *name)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of which the mix takes words, with all their columns, and size, taken (words, repeats counted) and
     first_slot, by which the mix is read in its order.
 
-    Of rows that repeat a doc_id the largest taken counts for each. Columns of the input with one of these three names go on as
-    ``given_size``, ``given_taken`` and ``given_first_slot``."""
+    A row is told by its doc_id and its text. Rows equal in both share evenly what the mix takes of them (the first ones have a word more),
+    and have the same first_slot. Columns of the input with one of these three names go on as ``given_size``, ``given_taken`` and
+    ``given_first_slot``. The key is one string that is never null, so the join's exchange serves the window as well."""
     made = ("size", "taken", "first_slot")
-    taken = mix_words(docs).where("taken > 0").groupBy(F.col("doc_id").alias("__quill_id")).agg(
-        F.max("size").alias("__quill_size"), F.max("taken").alias("__quill_taken"), F.min("first_slot").alias("__quill_first_slot")
+    key = lambda name: F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), name)
+    taken = mix_words(docs, named=True).groupBy(key(F.lower(F.hex("name"))).alias("__quill_key")).agg(
+        F.max("size").alias("__quill_size"), F.sum("taken").alias("__quill_all"), F.count("*").alias("__quill_rows"), F.min("first_slot").alias("__quill_first_slot")
     )
     docs = docs.withColumnsRenamed({c: "given_" + c for c in docs.columns if c.lower() in made})
-    both = docs.join(taken, docs["doc_id"].cast("long").eqNullSafe(taken["__quill_id"]))
-    return both.drop("__quill_id").withColumnsRenamed({"__quill_" + c: c for c in made})
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    both = docs.withColumn("__quill_key", key(F.md5(text))).join(taken.where("__quill_all > 0"), "__quill_key")
+    both = both.withColumn("__quill_nth", F.row_number().over(W.partitionBy("__quill_key").orderBy("__quill_key")))
+    both = both.withColumn("__quill_taken", F.expr("__quill_all div __quill_rows + if(__quill_nth <= __quill_all % __quill_rows, 1L, 0L)")).where("__quill_taken > 0")
+    return both.select(*docs.columns, *[F.col("__quill_" + c).alias(c) for c in made])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from quillspark.llm import mixing
 from quillspark.llm.common import written
 
 SF = "/root/testdata/sf0.01"
@@ -47,6 +48,19 @@ def test_rows_of_one_id_are_judged_apart(spark):
     assert {"given_size", "size", "taken", "first_slot", "_id", "raw"} <= set(mixed.columns)
 
 
+def test_mix_tells_rows_of_one_id_apart(spark):
+    """The stage takes of each row what the operator takes of it; equal rows share it."""
+    word = lambda n, w: " ".join([w] * n)
+    data = [(7, word(1000, "a"), "s"), (7, word(10, "b"), "s"), (None, word(20, "c"), "s"), (None, word(20, "d"), "s"), (8, word(33, "e"), None), (8, word(33, "e"), None), (8, word(33, "e"), None), (9, "", "s"), (9, None, "t")]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string").withColumn("taken", F.lit("given"))
+    want, got = mixing.mix_words(d).where("taken > 0").collect(), mixing.mixed(d).collect()
+    assert sorted((r.doc_id or 0, r.size, r.taken) for r in got if r.doc_id != 8) == sorted((r.doc_id or 0, r.size, r.taken) for r in want if r.doc_id != 8)
+    assert sum(r.taken for r in got) == sum(r.taken for r in want)
+    assert all(r.size == len((r.text or "").split()) and r.taken <= 2 * r.size and r.given_taken == "given" for r in got)
+    eights = [r.taken for r in got if r.doc_id == 8]
+    assert len(eights) == 3 and max(eights) - min(eights) <= 1
+
+
 def test_tables_of_earlier_stages_go(spark):
     before = len(written)
     got = corpus_pipeline.run(spark, SF).select("doc_id", "taken", "first_slot").collect()
