@@ -124,13 +124,49 @@ def test_edited_leaks_against_brute_force(spark):
     texts = [f"{words(40, 200 + k, 5000)} {t} {words(40, 300 + k, 5000)}" for k, t in enumerate(edits)]
     texts += [f"only {' '.join(t.split()[:4])} of it {words(60, 400 + k, 5000)}" for k, (_, t) in enumerate(items)]
     texts += [texts[0]] * 60 + [texts[3]] * 60
-    hashed = [(i, decontaminate.word_hashes(t)[0]) for i, t in items]
-    want = {(d, i) for d, t in enumerate(texts) for i, w in hashed if decontaminate.align(w, decontaminate.word_hashes(t)[0])[0] >= decontaminate.THRESHOLD}
+    hashed = [(i, decontaminate.word_hashes(t)) for i, t in items]
+    want = {(d, i) for d, t in enumerate(texts) for i, w in hashed if decontaminate.align(w, decontaminate.word_hashes(t))[0] >= decontaminate.THRESHOLD}
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert len(want) == 32 + 120 and got == want
 
 
+def test_edits_that_break_every_three_words(monkeypatch):
+    """Whatever the edits, what exhaustive alignment scores over the threshold is found, and nothing else, at several thresholds."""
+    monkeypatch.setattr(decontaminate, "STRETCH", 64)
+    r = random.Random(31)
+    items = [(k, words(r.randrange(3, 45), 700 + k, r.choice([12, 60, 5000]))) for k in range(40)]
+    texts = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        texts += [
+            " ".join(x if at % 3 < 2 else "new" for at, x in enumerate(w)), " ".join(x + (" new" if at % 2 else "") for at, x in enumerate(w)),
+            " ".join(x + " new" for x in w), " ".join(x for at, x in enumerate(w) if at % 3), " ".join(x if at % 2 else "new" for at, x in enumerate(w)),
+            " ".join(r.choice([x, x, x, "new", "", x + " new"]) for x in w), " ".join(r.choice([x, x, "new", x + " new new"]) for x in w),
+        ]
+    texts = [f"{words(r.randrange(200), 900 + k, 60)} {t} {words(r.randrange(90), 950 + k, 60)}" for k, t in enumerate(texts)]
+    many = 0
+    for threshold in (0.4, 0.5, 0.8):
+        found = decontaminate.Items(items, threshold)
+        for t in texts:
+            own = decontaminate.word_hashes(t)
+            scores = {i: decontaminate.align(w, own)[0] for i, w in zip(found.ids, found.words)}
+            got = {x[0]: x[1] for x in found.leaks(own)}
+            assert got == {i: s for i, s in scores.items() if s >= threshold}
+            many += len(got)
+    assert many > 500
+
+
+def test_changed_thirds_and_added_words(spark):
+    """Every third word changed (0.52), and a word put in after every second (0.77)."""
+    item = words(30, 41, 5000)
+    texts = [" ".join("new" if k % 3 == 2 and k < 27 else w for k, w in enumerate(item.split())), " ".join(w + (" new" if k % 2 else "") for k, w in enumerate(item.split())), words(500, 42, 5000)]
+    d = spark.createDataFrame([(k, f"{words(50, 43)} {t} {words(50, 44)}") for k, t in enumerate(texts)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.leaks(d, b).collect()) == [0, 1]
+    assert [r.doc_id for r in decontaminate.decontaminate(d, b).collect()] == [2]
+
+
 def test_alignment_against_plain_dp():
     import numpy as np
 
