@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import content as T
-from quillspark.functions import schedules
+from quillspark.functions import schedules, tables
 from quillspark.functions import text as X
 from quillspark.operators import chunking, matching, stateful
 from quillspark.sources.tables import load
@@ -13,6 +13,16 @@ from quillspark.sources.tables import load
 C = F.col
 
 
+def markdown_tables(spark, sf_dir):
+    """A table of each document's facts above its whole text, as bullets and as a code block."""
+    d = load(spark, sf_dir, "documents")
+    facts = F.concat(
+        F.lit("# Doc\n| Field | Value | Note |\n|:--|--:|---|\n| lang | "), F.coalesce("lang", F.lit("und")), F.lit(" | |\n| a\\|b | "), F.coalesce(C("n_chars").cast("string"), F.lit("")),
+        F.lit(" | _x_ | extra |\n| short |\n\n```\n| no | table |\n|---|---|\n```\n"), F.coalesce("text", F.lit("")),
+    )
+    return d.select("doc_id", F.md5(tables.tables_converted(facts, "bullets")).alias("bullets"), F.md5(tables.tables_converted(facts, "code")).alias("code"))
+
+
 def log_lines(spark, sf_dir):
     e = load(spark, sf_dir, "events")
     json = F.to_json(F.struct(C("event_type").alias("1"), F.struct(F.concat(F.lit('{"subsystem":"s'), C("user_id") % 5, F.lit('"}')).alias("name"), F.upper(F.when(C("event_id") % 2 == 0, "warn").otherwise("odd")).alias("logLevelName")).alias("_meta"), F.lit("t0").alias("time")))
@@ -150,7 +160,13 @@ BLOCK_SQL = """with recursive c as (select conv_id, turn, length(coalesce(text,
  w as (select conv_id, turn, rn, n as used, 0 as block from c where rn = 1
  union all select c.conv_id, c.turn, c.rn, case when w.used + c.n > 600 then c.n else w.used + c.n end, w.block + (w.used + c.n > 600)::int from w join c on c.conv_id = w.conv_id and c.rn = w.rn + 1)
  select conv_id, turn, block from w"""
+TABLES_SQL = """with d as (select doc_id, coalesce(lang, 'und') as lang, coalesce(n_chars::varchar, '') as n, chr(10) as nl, coalesce(text, '') as text from documents),
+ w as (select *, greatest(5, length(lang), length(n)) as v, nl || nl || '```' || nl || '| no | table |' || nl || '|---|---|' || nl || '```' || nl || text as rest from d)
+ select doc_id, md5('# Doc' || nl || '**lang**' || nl || '• Value: ' || lang || nl || nl || '**a|b**' || nl || case when n = '' then '' else '• Value: ' || n || nl end || '• Note: _x_' || nl || nl || '**short**' || rest) as bullets,
+ md5('# Doc' || nl || '```' || nl || '| Field | ' || lpad('Value', v::int, ' ') || ' | Note |' || nl || '| ----- | ' || repeat('-', v) || ' | ---- |' || nl || '| lang  | ' || lpad(lang, v::int, ' ') || ' |      |' || nl
+ || '| a|b   | ' || lpad(n, v::int, ' ') || ' | x    |' || nl || '| short | ' || repeat(' ', v) || ' |      |' || nl || '```' || rest) as code from w"""
 FRAMES = {
+    "markdown_tables": (markdown_tables, TABLES_SQL),
     "log_lines": (log_lines, """select event_id, case when event_id % 3 <> 0 then 't0' end as time, case when event_id % 3 <> 0 and event_id % 2 = 0 then 'warn' end as level, case when event_id % 3 <> 0 then 's' || (user_id % 5) end as subsystem,
  case when event_id % 3 = 0 then 'plain ' || event_id else event_type end as message from events"""),
     "front_matter": (front_matter, "select doc_id, 'Doc ' || doc_id as title, lang as language, 2 as n from documents where lang is not null union all select doc_id, null, null, null from documents where lang is null"),
