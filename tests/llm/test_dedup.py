@@ -283,6 +283,15 @@ def test_simhash_against_brute_force(spark):
     assert simhash.near_groups(docs(spark, [])).count() == 0
 
 
+def test_simhash_of_a_whole_table_against_brute_force(spark):
+    """Every pair of sf0.01, with plain fingerprints."""
+    sf = "/root/testdata/sf0.01"
+    prints = {r.doc_id: _print(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = _components(prints, simhash.RADIUS)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op10_simhash(spark, sf).collect()}
+    assert got == {k: (f"{x:016x}", want[k]) for k, x in prints.items()} and len(set(want.values())) < len(want)
+
+
 def test_rows_without_doc_id_link_others(spark, monkeypatch):
     """00 (doc 1), 0f (no doc_id) and ff (doc 2) are one component; one without any doc_id has none."""
     data = [(1, 0), (None, 0x0F), (2, 0xFF), (5, -1), (None, 0x0F0F0F0F0F), (None, 0x0F0F0F0F0E), (None, -1)]
