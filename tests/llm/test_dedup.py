@@ -312,8 +312,9 @@ def test_linked_fingerprints_agree_on_a_mask(size):
         assert any(not flips & m for m in masks)
 
 
-@pytest.mark.parametrize("branch, size", [(50_000, None), (20, None), (50_000, 1 << 23)])
-def test_links_of_dense_clusters(spark, branch, size):
+@pytest.mark.parametrize("branch, size", [(50_000, None), (20, None), (50_000, 1 << 23), (50_000, 1 << 33)])
+def test_links_of_dense_clusters(spark, monkeypatch, branch, size):
+    monkeypatch.setattr(simhash, "LEAF_ROWS", 1 << 62)  # few shards, whatever the size
     r = random.Random(3)
     centres = [r.getrandbits(64) for _ in range(20)]
     prints = {}
