@@ -322,8 +322,9 @@ def worst_status(requested: DataFrame, rows: DataFrame, key: str, status: str, o
     """key, status (the worst of its rows', ``missing`` without any), expires (the earliest) of each requested key."""
     rank = F.coalesce(*[F.when(F.col(status) == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
     worst = rows.groupBy(key).agg(F.min(rank).alias("_r"), F.min(expires).alias("expires"))
-    named = F.element_at(F.array(*map(F.lit, [*order, "other"])), F.col("_r") + 1)
-    return requested.select(key).distinct().join(worst, key, "left").select(key, F.coalesce(named, F.lit("missing")).alias("status"), "expires")
+    # branches on the rank itself: Spark gives an element, not null, for a null place in an array of constants
+    named = reduce(lambda c, n: c.when(F.col("_r") == n, F.lit(order[n])), range(len(order)), F.when(F.col("_r").isNull(), F.lit("missing"))).otherwise(F.lit("other"))
+    return requested.select(key).distinct().join(worst, key, "left").select(key, named.alias("status"), "expires")
 
 
 def top_with_omitted(groups: DataFrame, value: str, name: str, n: int) -> DataFrame:
