@@ -14,6 +14,12 @@ EQUATOR_MPP, EARTH_M, MAX_LAT = 156543.03392804097, 6378137.0, 85.05112878
 WAITS_MS = (5_000, 25_000, 120_000, 600_000)
 
 
+def nearest_ms(ts: Column) -> Column:
+    """Epoch milliseconds of a time, halves away from the epoch."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
+
+
 # formats
 
 def token_count(c: Column) -> Column:

@@ -35,8 +35,14 @@ def scan(df: DataFrame, key: str, order: list[str], name: str, kind: DataType |
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def window_counts(df: DataFrame, key: str, ms: str, tie: str, width: int) -> DataFrame:
-    """Adds ``n``: a row's number in a window that a key's first row after the last window opens. Rows over a limit count too."""
+def _names(c: str | list[str]) -> list[str]:
+    return [c] if isinstance(c, str) else list(c)
+
+
+def window_counts(df: DataFrame, key: str, ms: str, tie: str | list[str], width: int) -> DataFrame:
+    """Adds ``n``: a row's number in a window that a key's first row after the last window opens. Rows over a limit count too.
+
+    Rows of one ``ms`` go by ``tie``, which may name several columns, the finer time first."""
 
     def step(state, now):
         if state.get("until") is None or now >= state["until"]:
@@ -44,15 +50,15 @@ def window_counts(df: DataFrame, key: str, ms: str, tie: str, width: int) -> Dat
         state["n"] += 1
         return state["n"]
 
-    return scan(df, key, [ms, tie], "n", "integer", dict, step, [ms])
+    return scan(df, key, [ms, *_names(tie)], "n", "integer", dict, step, [ms])
 
 
-def fixed_window(df: DataFrame, key: str, ms: str, tie: str, width: int, most: int) -> DataFrame:
+def fixed_window(df: DataFrame, key: str, ms: str, tie: str | list[str], width: int, most: int) -> DataFrame:
     """Adds ``allowed``: at most ``most`` rows in a window of ``window_counts``."""
     return window_counts(df, key, ms, tie, width).withColumn("allowed", F.col("n") <= most).drop("n")
 
 
-def remembered(df: DataFrame, namespace: str, key: str, ms: str, tie: str, ttl: int, most: int) -> DataFrame:
+def remembered(df: DataFrame, namespace: str, key: str, ms: str, tie: str | list[str], ttl: int, most: int) -> DataFrame:
     """Adds ``duplicate``: the key was recorded in its namespace less than ``ttl`` ms ago (at any time if ``ttl`` is 0).
 
     A hit doesn't record again. A namespace holds its ``most`` last recorded keys, so its rows are walked by one task with that many
@@ -72,10 +78,10 @@ def remembered(df: DataFrame, namespace: str, key: str, ms: str, tie: str, ttl:
         return False
 
     space = F.coalesce(F.nullif(F.trim(namespace), F.lit("")), F.lit("global"))
-    return scan(df.withColumn("_space", space), "_space", [ms, tie], "duplicate", "boolean", dict, step, [key, ms]).drop("_space")
+    return scan(df.withColumn("_space", space), "_space", [ms, *_names(tie)], "duplicate", "boolean", dict, step, [key, ms]).drop("_space")
 
 
-def lockout(df: DataFrame, key: str, ms: str, tie: str, most: int, width: int, locked: int) -> DataFrame:
+def lockout(df: DataFrame, key: str, ms: str, tie: str | list[str], most: int, width: int, locked: int) -> DataFrame:
     """Adds ``allowed``: the attempt that makes ``most`` within ``width`` locks its key for ``locked`` ms, after which it starts afresh."""
 
     def step(state, now):
@@ -92,7 +98,7 @@ def lockout(df: DataFrame, key: str, ms: str, tie: str, most: int, width: int, l
             state["until"] = now + locked
         return True
 
-    return scan(df, key, [ms, tie], "allowed", "boolean", dict, step, [ms])
+    return scan(df, key, [ms, *_names(tie)], "allowed", "boolean", dict, step, [ms])
 
 
 def coalesce_blocks(df: DataFrame, key: str, order: str, size: str, most: int) -> DataFrame:

@@ -42,7 +42,7 @@ def _logs(spark, sf_dir):
 def live(events):
     """The rows that wait: ms, a text, and a flag for each of the three rules."""
     id_ = F.col("event_id")
-    return events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.concat_ws(" ", "event_type", "props").alias("text"),
+    return events.select("user_id", "event_id", F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id").alias("tie"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), F.concat_ws(" ", "event_type", "props").alias("text"),
         F.when(F.col("event_type") == "error", F.lit("now")).alias("now"), F.when(id_ % 13 == 0, F.lit("media")).when(id_ % 5 == 0, F.concat(F.lit("m"), id_ % 2)).alias("answers"))
 
 
@@ -58,7 +58,7 @@ def _waiting(name):
     def query(spark, sf_dir):
         rule, flag = RULES[name]
         rows = live(load(spark, sf_dir, "events")).withColumn("none", F.lit(None).cast("string"))
-        sent = timers.waiting(rows, rule, "user_id", "ms", "event_id", "text", F.col(flag))
+        sent = timers.waiting(rows, rule, "user_id", "ms", "tie", "text", F.col(flag))
         return sent.select(F.col("key").cast("long").alias("user_id"), "at", "n", "first", "last", F.md5("text").alias("text"))
 
     return query

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import places
+from quillspark.functions.numbers import nearest_ms
 from quillspark.operators import queues, relational
 from quillspark.sources.tables import load
 
@@ -87,7 +88,7 @@ FRAMES = {
     "queue_summary_lines": (summaries, "with t as (select conv_id, turn, max(text) as x from conversations group by 1, 2), r as (select *, row_number() over (partition by conv_id order by turn desc) as k, trim(regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') as l from t) select conv_id, turn, case when k = 1 then 'queued' else 'dropped' end as fate, case when k = 2 then md5(case when length(l) <= 160 then l else rtrim(l[1:159], ' ') || '…' end) end as line from r"),
     "queue_waiting_already": (again, f"with e as (select *, case when event_id % 3 > 0 then event_id % 4 end as m, event_id % 5 as p from ({LIVE})), i as (select *, not drain and m is not null and row_number() over (partition by user_id, round, drain, event_type, m order by ts, event_id) > 1 as by_id from e) select event_id, by_id, not drain and case when m is null then coalesce(sum((not by_id)::int) over (partition by user_id, round, drain, event_type, p order by ts, event_id rows between unbounded preceding and 1 preceding), 0) > 0 else by_id end as again from i"),
     "throttled_updates": (throttle, None),
-    "mentioned_lately": (lambda s, d: queues.mentioned_lately(_events(s, d), ["user_id"], "ms", ["ts", "event_id"], F.col("event_type") == "view", 43_200_000).select("event_id", "lately"), "select event_id, coalesce(epoch_ms(ts) - max(case when event_type = 'view' then epoch_ms(ts) end) over (partition by user_id order by ts, event_id) <= 43200000, false) as lately from events"),
+    "mentioned_lately": (lambda s, d: queues.mentioned_lately(load(s, d, "events").withColumn("ms", nearest_ms(F.col("ts"))), ["user_id"], "ms", ["ts", "event_id"], F.col("event_type") == "view", 43_200_000).select("event_id", "lately"), "select event_id, coalesce(epoch_ms(ts) - max(case when event_type = 'view' then epoch_ms(ts) end) over (partition by user_id order by ts, event_id) <= 43200000, false) as lately from events"),
     "learned_ids": (learn, "select * from (values ('geo', 'theni town', '1', 'Theni Town', false), ('geo', 'chennai', '2', 'CHENNAI', true), ('org', 'chennai', '9', 'Chennai', true), ('geo', 'old', '5', 'Old', true)) t(facet, key, id, label, changed) union all select 'name', lower(c_name), (c_custkey + case when c_custkey % 3 = 0 then 0 else 1000000 end)::varchar, case when c_custkey % 6 = 0 then c_name else upper(c_name) end, c_custkey % 6 <> 0 from customer"),
     "collated_names": (lambda s, d: relational.collated_rank(load(s, d, "part").withColumn("name", F.expr("if(p_partkey % 2 = 0, upper(p_name), p_name)")), ["p_brand"], "name", "p_partkey").select("p_partkey", "rank"), "select p_partkey, row_number() over (partition by p_brand order by lower(p_name), p_partkey)::int as rank from part"),
     "chunk_scan": (lambda s, d: relational.chunks_of(load(s, d, "documents").withColumn("model", F.col("lang")), "en", ["src1", "src3"]).select("doc_id"), "select doc_id from documents where lang = 'en' and source in ('src1', 'src3')"),

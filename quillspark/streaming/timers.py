@@ -138,7 +138,7 @@ def _advance(rule, held: Held, now: int, open_end: bool = False) -> Iterator[tup
 
 def _taken(df: DataFrame, key: str, ms: str, tie: str, text: str, flag: Column | None) -> DataFrame:
     flag = F.lit(None) if flag is None else flag
-    return df.select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), F.col(tie).cast("long").alias("tie"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), flag.cast("string").alias("flag"))
+    return df.select(F.col(key).cast("string").alias("key"), F.col(ms).cast("long").alias("ms"), F.col(tie).alias("tie"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), flag.cast("string").alias("flag"))
 
 
 def waiting(df: DataFrame, rule, key: str, ms: str, tie: str, text: str, flag: Column | None = None) -> DataFrame:
@@ -171,7 +171,7 @@ def waiting(df: DataFrame, rule, key: str, ms: str, tie: str, text: str, flag: C
             yield pd.DataFrame([(at[0], *r) for r in ended(held)], columns=["key", "at", "n", "first", "last", "text"])
 
     rows = _taken(df, key, ms, tie, text, flag)
-    return rows.repartition("key").sortWithinPartitions("key", "ms", "tie").mapInPandas(run, SENT)
+    return rows.repartition("key").sortWithinPartitions("key", "ms", "tie").drop("tie").mapInPandas(run, SENT)
 
 
 class Waiting(StatefulProcessor):

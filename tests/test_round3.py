@@ -1,6 +1,25 @@
 """Queries on rows that the given tables don't hold or hold only when they are large: against SQL or plain versions."""
 
+from datetime import datetime
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.functions import numbers
 from quillspark.operators import relational
+from quillspark.plans import catalogue
+
+
+def compared(spark, name, folder, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    con.execute("set timezone='UTC'")
+    df = catalogue.queries()[name](spark, str(folder))
+    columns = ", ".join(f'"{c}"' for c in sorted(df.columns))
+    got, want = sorted(map(repr, map(tuple, df.select(*sorted(df.columns)).collect()))), con.execute(f"select {columns} from ({catalogue.oracles()[name]})").fetchall()
+    assert got == sorted(map(repr, want))
 
 
 def test_worst_status_without_rows(spark):
@@ -9,3 +28,29 @@ def test_worst_status_without_rows(spark):
     rows = spark.createDataFrame([(1, "P", "b"), (1, "F", "c"), (2, "O", "a"), (3, "P", "d")], "k long, s string, e string")
     got = relational.worst_status(asked, rows, "k", "s", ["F", "P"], "e").collect()
     assert {r.k: (r.status, r.expires) for r in got} == {1: ("F", "b"), 2: ("other", "a"), 3: ("P", "d"), 4: ("missing", None), None: ("missing", None)}
+
+
+@pytest.fixture(scope="module")
+def fine_events(spark, tmp_path_factory):
+    """Events whose order and milliseconds hang on their microseconds."""
+    folder = tmp_path_factory.mktemp("fine")
+    at = lambda *x: datetime(2024, 1, *x)
+    rows = [
+        (9, at(1, 0, 0, 0, 100), 1, "view"), (3, at(1, 0, 0, 0, 300), 1, "view"), (6, at(1, 0, 0, 0, 200), 1, "view"), (1, at(1, 1, 0, 0, 99_700), 1, "view"), (2, at(1, 0, 0, 0, 300), 1, "error"), (7, at(1, 1, 0, 0, 400), 1, "view"),
+        (12, at(2, 6, 29, 59, 999_700), 2, "click"), (13, at(2, 6, 44, 59, 999_700), 2, "click"), (16, at(2, 6, 44, 59, 999_499), 2, "click"), (15, at(2, 6, 30, 0, 300), 2, "view"), (18, at(2, 12, 30, 0, 100), 2, "view"), (19, at(2, 12, 30, 0, 0), 2, "error"),
+    ]
+    rows = [(i, t, u, kind, 1.0, '{"k": 1}') for i, t, u, kind in rows]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["counted_window_limit", "fixed_window_limit", "persistent_dedupe", "sliding_lockout", "mentioned_lately", "waiting_bursts", "waiting_blocks", "waiting_updates"])
+def test_microseconds(spark, fine_events, name):
+    compared(spark, name, fine_events, ["events"])
+
+
+def test_nearest_ms(spark):
+    said = ["2024-01-01 00:14:59.999500", "2024-01-01 00:14:59.999499", "1960-01-01 00:14:59.999500", "1960-01-01 00:14:59.999700"]
+    got = spark.createDataFrame([(s,) for s in said], "s string").select(numbers.nearest_ms(F.col("s").cast("timestamp_ntz"))).collect()
+    want = [duckdb.connect().execute(f"select epoch_ms(timestamp '{s}')").fetchone()[0] for s in said]
+    assert [r[0] for r in got] == want
