@@ -6,19 +6,17 @@ Most plans are one statement that Spark and the oracle both read, given the word
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import matching, ordered, query_filter
+from quillspark.operators import matching, ordered, query_filter, vectors
 from quillspark.plans import content, decisions, files, indexed, more, scalars, secondary, waiting
 from quillspark.sources import sinks
 from quillspark.sources.tables import TABLES, load
 from quillspark.streaming import events as live
 
-QUERY_BLOCK = 4096
 #: word: (Spark, oracle)
 WORDS = {
     "K": ("cast(get_json_object(props, '$.k') as bigint)", "cast(json_extract_string(props, '$.k') as bigint)"),
@@ -112,17 +110,10 @@ def as_of_join(spark, sf_dir):
     return ordered.as_of(e.drop("value"), right, "user_id", "ts", "last_purchase").select("event_id", F.round("last_purchase", 6).alias("last_purchase"))
 
 
-def cosine_topk(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # a stated query set against all rows, in blocks of a bounded size: the side that grows is never moved
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    score = F.round(dot(F.col("v"), F.col("q")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("q"), F.col("q"))), 6)
-    parts = [e.join(F.broadcast(asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)), F.col("vec_id") != F.col("query_id")) for k in range(blocks)]
-    scored = reduce(lambda a, b: a.union(b), parts).select("query_id", "vec_id", score.alias("score"))
-    top = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("place", top).where("place <= 6")
+def cosine_topk(spark, sf_dir, asked="vec_id % 20 = 0"):
+    """A stated query set against all rows."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(e, "vec_id", "embedding", e.where(asked), 6).select("query_id", F.col("id").alias("vec_id"), "score", "place")
 
 
 def bm25(spark, sf_dir, words=("the", "tion", "license", "released")):
@@ -141,7 +132,7 @@ def bm25_topk(spark, sf_dir):
 
 def hybrid_fusion(spark, sf_dir):
     k = bm25(spark, sf_dir).select(F.col("doc_id").alias("id"), (F.col("s") / (1 + F.col("s"))).alias("text_score"))
-    v = cosine_topk(spark, sf_dir).where("query_id = 0").select(F.col("vec_id").alias("id"), F.col("score").alias("vector_score"))
+    v = cosine_topk(spark, sf_dir, "vec_id = 0").select(F.col("vec_id").alias("id"), F.col("score").alias("vector_score"))
     score = 0.7 * F.coalesce("vector_score", F.lit(0.0)) + 0.3 * F.coalesce("text_score", F.lit(0.0))
     return v.join(k, "id", "full_outer").where(score >= 0.05).select("id", F.round(score, 6).alias("score"))
 

@@ -1,5 +1,6 @@
 """Queries on rows that the given tables don't hold or hold only when they are large: against SQL or plain versions."""
 
+import random
 from datetime import datetime
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
-from quillspark.operators import relational
+from quillspark.operators import relational, vectors
 from quillspark.plans import catalogue
 
 
@@ -54,3 +55,24 @@ def test_nearest_ms(spark):
     got = spark.createDataFrame([(s,) for s in said], "s string").select(numbers.nearest_ms(F.col("s").cast("timestamp_ntz"))).collect()
     want = [duckdb.connect().execute(f"select epoch_ms(timestamp '{s}')").fetchone()[0] for s in said]
     assert [r[0] for r in got] == want
+
+
+def test_cosine_scan(spark, tmp_path, monkeypatch):
+    """Repeated ids and queries, copies, ties, zeros, nulls, nulls inside; any slices and blocks give the SQL's rows."""
+    r = random.Random(4)
+    v = lambda: [round(r.gauss(0, 1), 3) for _ in range(4)]
+    rows = [(k, v()) for k in range(300)]
+    rows += [(1000 + k, rows[k % 7][1]) for k in range(90)] + [(40, v()), (41, v()), (2000, [0.0] * 4), (2001, [0.0] * 4), (2020, None), (2002, None), (None, v())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    compared(spark, "cosine_topk", tmp_path, ["embeddings"])
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(vectors, "QUERY_SLICE", 2)
+    monkeypatch.setattr(vectors, "ROW_SLICE", 5)
+    compared(spark, "cosine_topk", tmp_path, ["embeddings"])
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [1.0]), (1, [2.0, 0.0]), (2, [1.0, None]), (3, [5.0])], "vec_id long, embedding array<double>")
+    got = vectors.nearest(few, "vec_id", "embedding", few.where("vec_id % 20 = 0"), 9).collect()
+    assert sorted((x.query_id, x.place, x.id, x.score) for x in got if x.place == 1) == [(0, 1, 1, 1.0), (20, 1, 3, 1.0)] and len(got) == 8
+    assert vectors.nearest(few, "vec_id", "embedding", few.limit(0), 9).count() == 0
+    plan = catalogue.queries()["cosine_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
