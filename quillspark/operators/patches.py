@@ -35,11 +35,11 @@ def nodes(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: b
     name = F.coalesce(F.concat(F.lit("="), F.col(doc).cast("string")), F.lit("-"))
     rows = patches.groupBy(name.alias("doc"), F.col(seq).cast("long").alias("seq")).agg(F.max(json).alias("json"))
     level = rows.select("doc", "seq", F.array().cast("array<string>").alias("path"), F.struct("seq", F.lit(0).alias("place")).alias("at"), F.try_parse_json("json").alias("v")).where("v is not null")
-    out, depth = None, 0
+    spark, depth = patches.sparkSession, 0
     while True:
         level = _stored(level, f"{path}/level{depth}")
         if depth and level.isEmpty():
-            return out
+            return spark.read.schema(NODE).parquet(*[f"{path}/nodes{k}" for k in range(depth)])
         shape = F.schema_of_variant("v")
         elements = F.try_variant_get("v", "$", "array<variant>")
         id_ = lambda x: F.when(F.schema_of_variant(F.coalesce(F.try_variant_get(x, "$.id", "variant"), F.parse_json(F.lit("0")))) == "STRING", F.nullif(F.try_variant_get(x, "$.id", "string"), F.lit("")))
@@ -48,8 +48,8 @@ def nodes(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: b
         keyed = F.lit(by_id) & shape.startswith("ARRAY") & (F.size(F.array_distinct(own)) == F.size(own)) & ((F.size(own) > 0) | (F.size(elements) == 0))
         kind = F.when(shape.startswith("OBJECT"), "object").when(F.coalesce(keyed, F.lit(False)), "array").when((shape == "VOID") & (F.col("seq") > 0), "null").otherwise("leaf")
         level = level.withColumn("kind", kind).withColumn("ids", ids)
-        here = level.select("doc", "seq", "path", "at", "kind", ((F.col("kind") == "array") & F.exists("ids", lambda x: x.isNull())).alias("mixed"), F.when(F.col("kind") == "leaf", F.to_json("v")).alias("text"))
-        out = here if out is None else out.unionByName(here)
+        # each level's nodes are written: what follows reads them several times, and the plan doesn't grow with the levels
+        level.select("doc", "seq", "path", "at", "kind", ((F.col("kind") == "array") & F.exists("ids", lambda x: x.isNull())).alias("mixed"), F.when(F.col("kind") == "leaf", F.to_json("v")).alias("text")).write.parquet(f"{path}/nodes{depth}")
         inside = level.where("kind = 'object'").select("doc", "seq", "path", F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("key", "v"))
         inside = inside.where((F.col("seq") == 0) | ~F.col("key").isin(BLOCKED)).select("doc", "seq", F.array_append("path", F.col("key")).alias("path"), F.struct("seq", F.lit(0).alias("place")).alias("at"), "v")
         parts = level.where("kind = 'array'").select("doc", "seq", "path", "ids", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("place", "v"))
@@ -58,19 +58,20 @@ def nodes(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: b
         level, depth = inside.unionByName(parts), depth + 1
 
 
-def survivors(rows: DataFrame) -> DataFrame:
-    """doc, path, kind, text, at of the nodes that no later patch removes."""
+def survivors(rows: DataFrame, path: str) -> DataFrame:
+    """doc, path, kind, text, at of the nodes that no later patch removes. Sides grow with the documents, so no join broadcasts one."""
     before = W.partitionBy("doc", "path").orderBy("seq")
     after_array = F.coalesce(F.lag("kind").over(before) == "array", F.lit(False))
     merges = after_array & ~F.coalesce(F.lag("mixed").over(before), F.lit(False))
     ends = F.col("kind").isin("leaf", "null") | ((F.col("kind") == "array") & ~merges) | ((F.col("kind") == "object") & after_array)
-    rows = rows.withColumn("ends", ends)
-    ends = rows.where("ends").groupBy("doc", "path").agg(F.max("seq").alias("last_end"))
-    objects = rows.where("kind = 'object'").groupBy("doc", "path").agg(F.max("seq").alias("last_object"))
+    last_object = F.max(F.when(F.col("kind") == "object", F.col("seq"))).over(W.partitionBy("doc", "path"))
+    rows = _stored(rows.withColumn("ends", ends).withColumn("last_object", last_object), f"{path}/marked")
+    least = F.lit(rows.agg(F.min("seq")).first()[0])  # nothing is before it that it could end: with bases, most rows
+    ends = rows.where(F.col("ends") & (F.col("seq") > least)).groupBy("doc", "path").agg(F.max("seq").alias("last_end"))
     kept = rows.where("kind <> 'null'")
     above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    gone = kept.select("doc", "seq", F.col("path").alias("own"), F.explode(above).alias("path")).join(ends, ["doc", "path"]).where("last_end > seq").select("doc", "seq", F.col("own").alias("path")).distinct()
-    kept = kept.join(gone, ["doc", "seq", "path"], "left_anti").join(objects, ["doc", "path"], "left").where((F.col("kind") == "object") | F.col("last_object").isNull() | (F.col("last_object") < F.col("seq")))
+    gone = kept.select("doc", "seq", F.col("path").alias("own"), F.explode(above).alias("path")).join(ends.hint("merge"), ["doc", "path"]).where("last_end > seq").select("doc", "seq", F.col("own").alias("path")).distinct()
+    kept = kept.join(gone.hint("merge"), ["doc", "seq", "path"], "left_anti").where((F.col("kind") == "object") | F.col("last_object").isNull() | (F.col("last_object") < F.col("seq")))
     return kept.groupBy("doc", "path").agg(F.max_by("kind", "seq").alias("kind"), F.max_by("text", "seq").alias("text"), F.min("at").alias("at"))
 
 
@@ -83,7 +84,7 @@ def rebuilt(kept: DataFrame, path: str) -> DataFrame:
     for depth in range(deepest, -1, -1):
         here = kept.where(F.size("path") == depth)
         if below is not None:
-            here = here.join(below, ["doc", "path"], "left")
+            here = here.join(below.hint("merge"), ["doc", "path"], "left")
             listed = F.coalesce("inside", F.array().cast("array<struct<at: struct<seq: bigint, place: int>, key: string, text: string>>"))
             by_key = F.array_sort(F.transform(listed, lambda m: F.struct(m["key"].alias("key"), m["text"].alias("text"))))
             members = lambda of, keys=False: F.array_join(F.transform(by_key if keys else listed, of), ",")
@@ -96,8 +97,9 @@ def rebuilt(kept: DataFrame, path: str) -> DataFrame:
             return here.select(F.when(F.col("doc") != "-", F.substring("doc", 2, 1 << 30)).alias("doc"), F.col("text").alias("json"))
         member = F.struct("at", F.element_at("path", -1).alias("key"), "text")
         below = here.select("doc", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), member.alias("m")).groupBy("doc", "path").agg(F.sort_array(F.collect_list("m")).alias("inside"))
+        below = _stored(below, f"{path}/inside{depth}")
 
 
 def folded(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: bool = False) -> DataFrame:
     """doc (as text), json: each document after all its patches. ``path``: a new folder for the levels."""
-    return rebuilt(survivors(nodes(patches, doc, seq, json, path, by_id)), path)
+    return rebuilt(survivors(nodes(patches, doc, seq, json, path, by_id), path), path)

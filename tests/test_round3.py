@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import numbers
-from quillspark.operators import relational, vectors
+from quillspark.operators import patches, relational, vectors
 from quillspark.plans import catalogue
 
 
@@ -76,3 +76,14 @@ def test_cosine_scan(spark, tmp_path, monkeypatch):
     assert vectors.nearest(few, "vec_id", "embedding", few.limit(0), 9).count() == 0
     plan = catalogue.queries()["cosine_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_patches_keep_the_driver_small(spark, tmp_path):
+    """No side that grows with the documents is broadcast, and the plan doesn't grow with the levels."""
+    plans = []
+    for depth in (2, 7):
+        rows = [(k, 0, '{"a":' * depth + str(k) + "}" * depth) for k in range(5)] + [(k, 1, '{"a":{"b":null}}') for k in range(5)]
+        done = patches.folded(spark.createDataFrame(rows, "doc long, seq long, json string"), "doc", "seq", "json", f"{tmp_path}/{depth}", True)
+        plans.append(done._jdf.queryExecution().executedPlan().toString())
+        assert done.count() == 5
+    assert all("Broadcast" not in p for p in plans) and len(plans[1]) < 1.2 * len(plans[0])
