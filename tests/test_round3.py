@@ -7,8 +7,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import numbers
-from quillspark.operators import patches, relational, vectors
+from quillspark.functions import numbers, tables, text
+from quillspark.operators import chunking, matching, patches, relational, vectors
 from quillspark.plans import catalogue
 
 
@@ -87,3 +87,49 @@ def test_patches_keep_the_driver_small(spark, tmp_path):
         plans.append(done._jdf.queryExecution().executedPlan().toString())
         assert done.count() == 5
     assert all("Broadcast" not in p for p in plans) and len(plans[1]) < 1.2 * len(plans[0])
+
+
+def test_redaction_with_hints(spark):
+    """A text without hints has no secret: the hints change nothing."""
+    r = random.Random(8)
+    parts = ["API_KEY=", "token: ", '"apiKey" : "', "--password ", "authorization = bearer ", "Bearer ", "sk-", "GHP_", "github_pat_", "xoxb-", "xapp-", "gsk_", "AIzA", "pplx-", "npm_", "bot", "123456:", "K", "İ", "x", " ", '"', "-----BEGIN PRIVATE KEY-----\n", "\n-----END PRIVATE KEY-----"]
+    said = ["".join(r.choice(parts) + r.choice(["", " ", "Ab1_" * r.randrange(1, 9)]) for _ in range(r.randrange(1, 6))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame([(s,) for s in said], "t string")
+    plain = F.col("t")
+    for pattern in text.SECRETS:
+        for found, by in text._mask_steps(pattern):
+            plain = F.regexp_replace(plain, "(?i)" + found, by)
+    got = df.select(text.redact_all(df.t).alias("a"), plain.alias("b"), df.t).collect()
+    assert all(x.a == x.b for x in got) and sum(x.a != x.t for x in got) > 200
+
+
+def test_texts_are_shaped_once(spark):
+    """The documents' texts are folded in one place of the plan."""
+    docs, items = spark.createDataFrame([(1, " Some  TEXT here ")], "d long, text string"), spark.createDataFrame([(1, "some text")], "i long, text string")
+    df = matching.contained_either(docs, "d", items, "i", "text", 9)
+    assert [tuple(x) for x in df.collect()] == [(1, 1, True, False)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(trim(text") == 1
+
+
+def test_pieces_and_tables_go_by_arrow(spark):
+    """Neither a batch's texts nor its pieces are held as pandas columns."""
+    df = spark.range(700).select("id", F.concat(F.lit("| a |\n|---|\n| "), F.col("id"), F.lit(" |")).alias("text")).union(spark.createDataFrame([(-1, None)], "id long, text string"))
+    parts, told = chunking.byte_limited(df, "id", "text", 5), df.select("id", tables.tables_converted(F.col("text"), "bullets").alias("t"))
+    assert "MapInPandas" not in parts._jdf.queryExecution().executedPlan().toString()
+    joined = {}
+    for x in parts.orderBy("id", "part").collect():
+        joined[x.id] = joined.get(x.id, "") + x.text
+    assert joined == {x.id: x.text for x in df.where("id >= 0").collect()}
+    assert {x.id: x.t for x in told.collect()} == {-1: None} | {k: f"• {k}" for k in range(700)}
+
+
+def test_probed_scores_are_sliced(spark, tmp_path, monkeypatch):
+    """A cell's scores are made for some queries at a time; slices change nothing."""
+    r = random.Random(5)
+    rows = spark.createDataFrame([(k, [r.gauss(0, 1) for _ in range(4)]) for k in range(200)], "vec_id long, v array<double>")
+    index = vectors.build(rows, "vec_id", "v", f"{tmp_path}/v", 4, 3)
+    found = lambda: sorted(map(tuple, vectors.search(index, rows, "vec_id", "v", 3, 2).collect()))
+    want = found()
+    monkeypatch.setattr(vectors, "QUERY_SLICE", 7)
+    assert found() == want and len(want) == 600
