@@ -1,7 +1,7 @@
 """Splitting texts (chunks with overlap, byte limits, breaks) and fuzzy ranking.
 
-Each is sequential within one text only: texts go through ``mapInPandas`` in Arrow batches, without a shuffle, and a batch's
-pieces are given out a thousand at a time. A null text gives no rows.
+Each is sequential within one text only: texts go through ``mapInArrow``, without a shuffle; a batch's texts become Python strings
+one at a time, and its pieces are given out a thousand at a time. A null text gives no rows.
 """
 
 from __future__ import annotations
@@ -11,29 +11,34 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 OUT = 1000
 
 
 def _pieces(df: DataFrame, id_: str, text: str, schema: str, split: Callable[[str], Iterator[tuple]]) -> DataFrame:
-    kind = df.schema[id_].dataType.simpleString()
-    names = [id_, *re.findall(r"(\w+) \w+", schema)]
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for key, value in zip(frame[id_], frame[text]):
-                for piece in split(value):
+    fields = [df.schema[id_], *StructType.fromDDL(schema).fields]
+    names, kinds = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+    def run(batches):
+        for batch in batches:
+            rows, keys, values = [], batch.column(0), batch.column(1)
+            for k in range(batch.num_rows):
+                key = keys[k].as_py()
+                for piece in split(values[k].as_py()):
                     rows.append((key, *piece))
                     if len(rows) == OUT:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield batch_of(rows)
                         rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=names)
+                yield batch_of(rows)
 
-    return df.where(F.col(text).isNotNull()).select(id_, text).mapInPandas(run, f"{id_} {kind}, {schema}")
+    return df.where(F.col(text).isNotNull()).select(id_, text).mapInArrow(run, StructType(fields))
 
 
 def ranges(sizes: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
