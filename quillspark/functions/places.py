@@ -23,6 +23,9 @@ EMOJI = (
     r"\x{1F85A}-\x{1F85F}\x{1F888}-\x{1F88F}\x{1F8AE}-\x{1F8FF}\x{1F90C}-\x{1F93A}\x{1F93C}-\x{1F945}\x{1F947}-\x{1FAFF}\x{1FC00}-\x{1FFFD}]"
 )
 
+#: Few ranges that hold those of EMOJI and SPACES: most characters fail at them, and not at each of the many.
+MAYBE_EMOJI, MAYBE_SPACE = r"(?=[\x{A9}\x{AE}\x{203C}-\x{1FFFD}])", r"(?=[\x{0}-\x{20}\x{A0}\x{1680}-\x{FEFF}])"
+
 
 def _line(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
@@ -89,7 +92,7 @@ def without_words(keywords: Column, words: list[str]) -> Column:
 
 def compared(c: Column) -> Column:
     """A text as sent texts are compared: lower case, no emoji, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), EMOJI, ""), SPACES, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), MAYBE_EMOJI + EMOJI, ""), MAYBE_SPACE + SPACES, " "))
 
 
 def shaped_text(c: Column, most: int = 4000) -> Column:

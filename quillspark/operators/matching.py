@@ -34,8 +34,9 @@ class Finder:
         return found
 
 
-def _pairs(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, both: bool) -> DataFrame:
+def _pairs(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, both: bool, least: int) -> DataFrame:
     """doc_id, item_id, way ("holds": the document holds the item; "held": the item holds the document) over column _text.
+    Documents of fewer than ``least`` characters, and null ones, match nothing.
 
     Items are sent in blocks of some ``BLOCK_BYTES`` by a hash of the item, each one more map over the documents; no row is shuffled. For
     the second way a task gathers those of its documents that aren't longer than the longest item, builds their automaton,
@@ -68,7 +69,9 @@ def _pairs(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, both: b
 
             short, chars = [], 0
             for batch in batches:
-                names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                # the length is asked here: a filter on _text would make Spark shape each text twice
+                known = [(n, body) for n, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if body is not None and len(body) >= least]
+                names, bodies = [n for n, _ in known], [body for _, body in known]
                 yield rows(((n, ids[i]) for n, body in zip(names, bodies) for i in finder.within(body)), "holds")
                 for n, body in zip(names, bodies) if both else ():
                     if len(body) <= longest:
@@ -90,7 +93,7 @@ def _long(df: DataFrame, id_: str, text, least: int) -> DataFrame:
 
 def contained(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int) -> DataFrame:
     """Pairs (doc_id, item_id) where the item's text, of ``least`` characters and more, stands in the document's. Null texts match nothing."""
-    return _pairs(_long(docs, doc_id, F.col(text), least), doc_id, _long(items, item_id, F.col(text), least), item_id, False).select(doc_id, item_id)
+    return _pairs(docs.select(doc_id, F.col(text).alias("_text")), doc_id, _long(items, item_id, F.col(text), least), item_id, False, least).select(doc_id, item_id)
 
 
 def contained_either(docs: DataFrame, doc_id: str, items: DataFrame, item_id: str, text: str, least: int = 10, folded: bool = True) -> DataFrame:
@@ -99,7 +102,7 @@ def contained_either(docs: DataFrame, doc_id: str, items: DataFrame, item_id: st
     Texts are compared trimmed, lower-cased, without pictographs and with single spaces, unless not ``folded``, and have ``least``
     characters then. Null texts match nothing; rows that repeat id and text give a pair once."""
     shape = compared(F.col(text)) if folded else F.col(text)
-    found = _pairs(_long(docs, doc_id, shape, least), doc_id, _long(items, item_id, shape, least), item_id, True)
+    found = _pairs(docs.select(doc_id, shape.alias("_text")), doc_id, _long(items, item_id, shape, least), item_id, True, least)
     return found.groupBy(doc_id, item_id).agg(F.bool_or(F.col("way") == "holds").alias("holds"), F.bool_or(F.col("way") == "held").alias("held"))
 
 

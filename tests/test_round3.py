@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import numbers, tables, text
+from quillspark.functions import numbers, places, tables, text
 from quillspark.operators import chunking, matching, patches, relational, vectors
 from quillspark.plans import catalogue
 
@@ -133,3 +133,11 @@ def test_probed_scores_are_sliced(spark, tmp_path, monkeypatch):
     want = found()
     monkeypatch.setattr(vectors, "QUERY_SLICE", 7)
     assert found() == want and len(want) == 600
+
+
+def test_first_looks_lose_no_character(spark):
+    """The short ranges before the long classes change no text."""
+    every = spark.range(1, 0x20000).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("c"))
+    t = F.lower(F.concat(F.lit("a"), "c", F.lit("b")))
+    plain = F.regexp_replace(F.regexp_replace(t, places.EMOJI, ""), places.SPACES, " ")
+    assert every.where(~places.compared(t).eqNullSafe(plain)).count() == 0 and every.where(F.length(plain) == 2).count() > 500
