@@ -1,8 +1,9 @@
 """A stored keyword index: postings by term in blocks, each with the most that it can add to a score.
 
-``build`` reads a table once. A term's postings are dealt to ``SHARDS`` shards by document, so that a word that most documents hold
-is many rows of many tasks, put in the order of what they can add, and packed ``BLOCK`` to a row. Rows are stored by a hash of
-the term (partitions) and sorted by term, so a query reads its words' partitions and row groups only. Terms are
+``build`` reads a table once and shuffles nothing. A task takes its documents in segments of some ``WAIT`` words and packs a
+segment's postings of a term, in the order of what they can add, ``BLOCK`` to a row; segments are dealt to ``SHARDS`` shards, so that a
+word that most documents hold is many rows of many tasks. Rows are stored by a hash of the term (partitions) and sorted by
+term in a file, so a query reads its words' partitions only; their headers, which need the corpus' mean length, are stored beside them. Terms are
 runs of letters, digits and underscores, lower-cased; a document is a row, so rows that repeat an id are one document each.
 
 ``search`` takes queries as text: a document must hold all words of a query (``parsed``), and is scored by BM25. Shard 0 is
@@ -15,31 +16,36 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TERM, SHARDS, BLOCK, BUCKETS, K1, B, DIGITS = r"[\p{L}\p{N}_]+", 16, 128, 64, 1.2, 0.75, 6
-HEAD = "term string, shard int, block int, most double, n int, bucket int"
-POSTINGS = "term string, shard int, block int, most double, n int, docs array<struct<row: bigint, id: bigint, tf: int, part: double>>, bucket int"
+WAIT = 1 << 21
+HEAD = "term string, shard int, block bigint, most double, n int, bucket int"
+SEGMENTS = "term string, shard int, block bigint, docs array<struct<row: bigint, id: bigint, tf: int, n: int>>, seen bigint, words bigint"
+POSTINGS = "term string, shard int, block bigint, docs array<struct<row: bigint, id: bigint, tf: int, n: int>>, bucket int"
 
 
 @dataclass(frozen=True)
 class Index:
-    """Stored tables: ``postings`` (a row a block), ``terms`` (term, df) and the corpus' documents and mean length."""
+    """Stored tables: ``postings`` (a row a block), ``heads`` (the blocks without postings) and the corpus' documents and mean length."""
 
     path: str
     docs: int
     mean: float
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(POSTINGS).parquet(f"{self.path}/postings")
+        return spark.read.schema(POSTINGS).parquet(f"{self.path}/postings").where("bucket >= 0")
 
     def heads(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(HEAD).parquet(f"{self.path}/postings")
+        return spark.read.schema(HEAD).parquet(f"{self.path}/heads")
 
-    def terms(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("term string, df long, bucket int").parquet(f"{self.path}/terms")
+    def part(self, d: Column) -> Column:
+        """The share of its word's weight that a posting earns."""
+        return saturated(d["tf"], d["n"], max(self.mean, 1e-9))
 
 
 def words(text: Column) -> Column:
@@ -60,20 +66,56 @@ def saturated(tf: Column, n: Column, mean: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n / mean))
 
 
+def _segments(shards: int, block: int):
+    """Blocks of postings of ``WAIT`` words at a time, and a row with the documents and words of the segment."""
+
+    def run(batches):
+        held, waiting, nth = [], 0, 0
+        for batch in batches:
+            held.append(batch)
+            waiting += len(batch.column(2).flatten())
+            if waiting >= WAIT:
+                yield from _blocks(held, nth, shards, block)
+                held, waiting, nth = [], 0, nth + 1
+        if held:
+            yield from _blocks(held, nth, shards, block)
+
+    return run
+
+
+def _blocks(batches, nth: int, shards: int, block: int):
+    row, id_, t = (c.combine_chunks() for c in pa.Table.from_batches(batches).columns)
+    if not len(row):
+        return
+    task = row[0].as_py() >> 33  # as Spark numbers rows
+    n = np.diff(t.offsets.to_numpy())
+    code = t.flatten().dictionary_encode()
+    terms, many = code.dictionary, max(1, len(code.dictionary))
+    key, tf = np.unique(np.repeat(np.arange(len(n)), n) * many + code.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    doc, term = key // many, key % many
+    order = np.lexsort((-saturated(tf, n[doc], max(n.mean(), 1e-9)), term))
+    doc, term, tf = doc[order], term[order], tf[order]
+    start = np.flatnonzero(np.diff(term, prepend=-1))
+    place = np.arange(len(term)) - np.repeat(start, np.diff(np.append(start, len(term))))
+    first = np.flatnonzero(place % block == 0)
+    fields = [row.take(pa.array(doc)), id_.take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(n[doc].astype(np.int32))]
+    docs = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["row", "id", "tf", "n"]))
+    named, shard, none = terms.take(pa.array(term[first])).cast(pa.string()), np.full(len(first), (task + nth) % shards, np.int32), pa.nulls(len(first), pa.int64())
+    names = ["term", "shard", "block", "docs", "seen", "words"]
+    yield pa.RecordBatch.from_arrays([named, pa.array(shard), pa.array((task << 40) + (nth << 24) + place[first] // block), docs, none, none], names=names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, x) for x in (pa.string(), pa.int32(), pa.int64(), docs.type)), pa.array([len(n)], pa.int64()), pa.array([int(n.sum())], pa.int64())], names=names)
+
+
 def build(df: DataFrame, id_: str, text: str, path: str) -> Index:
     spark = df.sparkSession
-    read = df.select(F.col(id_).cast("long").alias("id"), words(F.col(text)).alias("t"), F.monotonically_increasing_id().alias("row")).select("row", "id", F.size("t").alias("n"), "t")
-    read.where(F.col("t").isNotNull()).write.parquet(f"{path}/read")
-    read = spark.read.parquet(f"{path}/read")
-    docs, mean = read.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).first()
-    each = read.select("row", "id", "n", F.explode("t").alias("term")).groupBy("row", "id", "n", "term").agg(F.count("*").cast("int").alias("tf"))
-    each = each.select("term", F.pmod(F.xxhash64("row"), F.lit(SHARDS)).cast("int").alias("shard"), "row", "id", "tf", saturated(F.col("tf"), F.col("n"), max(mean, 1e-9)).alias("part"))
-    place = F.row_number().over(W.partitionBy("term", "shard").orderBy(F.col("part").desc(), "row"))
-    blocks = each.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).groupBy("term", "shard", "block").agg(
-        F.max("part").alias("most"), F.count("*").cast("int").alias("n"), F.collect_list(F.struct("row", "id", "tf", "part")).alias("docs"))
-    blocks.withColumn("bucket", _bucket("term")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "shard", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(path, docs, mean)
-    index.heads(spark).groupBy("bucket", "term").agg(F.sum("n").alias("df")).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    read = df.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.col(id_).cast("long").alias("id"), words(F.col(text)).alias("t"))
+    blocks = read.mapInArrow(_segments(SHARDS, BLOCK), SEGMENTS).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(_bucket("term")))
+    blocks.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    seen = spark.read.schema(SEGMENTS + ", bucket int").parquet(f"{path}/postings").where("bucket = -1")
+    docs, total = seen.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    index = Index(path, docs, total / docs if docs else 0.0)
+    most = F.array_max(F.transform("docs", index.part)).alias("most")
+    index.postings(spark).select("term", "shard", "block", most, F.size("docs").alias("n"), "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/heads")
     return index
 
 
@@ -89,14 +131,15 @@ def weighed(index: Index, queries: DataFrame, query_id: str, text: str) -> tuple
     each = each.select("query_id", F.size("t").alias("need"), F.explode("t").alias("term")).withColumn("bucket", _bucket("term"))
     buckets = sorted(r.bucket for r in each.select("bucket").distinct().collect())  # BUCKETS numbers at most
     weight = F.log(1 + (F.lit(float(index.docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = each.join(_of(index.terms(spark), each, buckets), ["bucket", "term"]).select("query_id", "need", "bucket", "term", weight.alias("weight"))
+    terms = _of(index.heads(spark), each, buckets).groupBy("bucket", "term").agg(F.sum("n").alias("df"))
+    known = each.join(terms, ["bucket", "term"]).select("query_id", "need", "bucket", "term", weight.alias("weight"))
     whole = known.groupBy("query_id", "need").agg(F.count("*").alias("found")).where("found = need").select("query_id")
     return known.join(whole, "query_id", "left_semi"), buckets
 
 
-def _scored(postings: DataFrame, wanted: DataFrame, top: int) -> DataFrame:
+def _scored(index: Index, postings: DataFrame, top: int) -> DataFrame:
     """query_id, row, id, score of the best rows among those whose words all stand in ``postings`` (columns of blocks, and query_id)."""
-    each = postings.select("query_id", "need", "weight", F.explode("docs").alias("d")).select("query_id", "need", F.col("d.row").alias("row"), F.col("d.id").alias("id"), (F.col("weight") * F.col("d.part")).alias("s"))
+    each = postings.select("query_id", "need", "weight", F.explode("docs").alias("d")).select("query_id", "need", F.col("d.row").alias("row"), F.col("d.id").alias("id"), (F.col("weight") * index.part(F.col("d"))).alias("s"))
     score = F.round(F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda a, b: a + b), DIGITS)  # a query's words at most
     hits = each.groupBy("query_id", "need", "row", "id").agg(F.count("*").alias("found"), score.alias("score")).where("found = need")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row"))
@@ -110,7 +153,7 @@ def readable(index: Index, queries: DataFrame, query_id: str, text: str, top: in
     wanted.write.parquet(f"{path}/wanted")
     wanted = spark.read.parquet(f"{path}/wanted")
     first = _of(index.postings(spark).where("shard = 0"), wanted, buckets).join(wanted, ["bucket", "term"])
-    _scored(first, wanted, top).write.parquet(f"{path}/first")
+    _scored(index, first, top).write.parquet(f"{path}/first")
     first = spark.read.parquet(f"{path}/first")
     floor = first.where(F.col("place") == top).select("query_id", F.col("score").alias("floor"))
     heads = _of(index.heads(spark).where("shard > 0"), wanted, buckets).join(wanted, ["bucket", "term"]).withColumn("most", F.col("most") * F.col("weight"))
@@ -129,7 +172,7 @@ def search(index: Index, queries: DataFrame, query_id: str, text: str, top: int,
     able = spark.read.parquet(f"{path}/able")
     buckets = sorted(r.bucket for r in able.select("bucket").distinct().collect())
     rest = index.postings(spark).where(F.col("bucket").isin(buckets) & (F.col("shard") > 0)).select("bucket", "term", "shard", "block", "docs").join(able, ["bucket", "term", "shard", "block"])
-    found = _scored(rest, able, top).unionByName(first).drop("place")
+    found = _scored(index, rest, top).unionByName(first).drop("place")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row"))
     return found.withColumn("place", place).where(F.col("place") <= top).select("query_id", "id", "score", "place")
 

@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from quillspark.operators import keywords, vectors
@@ -127,6 +129,35 @@ def test_keyword_blocks_skipped(spark):
     assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_keyword_build_shuffles_nothing(spark, monkeypatch):
+    """Postings are packed where the texts are read; segments of a few words give the scan's result."""
+    monkeypatch.setattr(keywords, "BLOCK", 3)
+    data = [(k, f"w{k % 3} w{k % 7} the the w{k}") for k in range(200)]
+    plans, real = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **named):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        real(self, path, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    index = keywords.build(spark.createDataFrame(data, "id long, text string"), "id", "text", shared_path(spark, "k"))
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
+    asked = spark.createDataFrame([(1, "the w1"), (2, "w2 w5")], "q long, text string")
+    got = keywords.search(index, asked, "q", "text", 9, shared_path(spark, "s")).collect()
+    assert sorted((r.query_id, r.place, r.id, r.score) for r in got) == plain_bm25(data, [(1, "the w1"), (2, "w2 w5")], 9)
+
+
+def test_keyword_segments(monkeypatch):
+    """A segment's blocks: whole documents, no block of two terms, numbers of blocks that never repeat."""
+    monkeypatch.setattr(keywords, "WAIT", 5)
+    batches = [pa.RecordBatch.from_arrays([pa.array([(3 << 33) + k]), pa.array([k]), pa.array([["a"] * 2 + ["b"] * k])], names=["row", "id", "t"]) for k in range(6)]
+    got = pa.Table.from_batches(keywords._segments(4, 2)(batches)).to_pylist()
+    rows = [r for r in got if r["term"]]
+    assert sum(r["seen"] or 0 for r in got) == 6 and sum(r["words"] or 0 for r in got) == 27
+    assert len({(r["term"], r["shard"], r["block"]) for r in rows}) == len(rows) and max(len(r["docs"]) for r in rows) == 2
+    assert sorted((r["term"], d["id"], d["tf"], d["n"]) for r in rows for d in r["docs"]) == sorted([("a", k, 2, k + 2) for k in range(6)] + [("b", k, k, k + 2) for k in range(1, 6)])
+
+
 @pytest.mark.parametrize("name", ["cosine_indexed_exact", "keyword_indexed_topk"])
 def test_index_queries(spark, name):
     compare(spark, name)
