@@ -13,6 +13,7 @@ Components come from alternating large-star and small-star steps, each cut by a
 ``near_dedup``, the stage for corpora, joins texts whose distinct five-word shingles have a Jaccard similarity of ``ALIKE`` (4 / 5) or
 more. Fingerprints only propose pairs: those of ``WIDE_WORDS`` words of 64 bits that differ in ``WIDE_RADIUS`` bits at most (a pair
 of similarity 0.8 differs in some 38) and meet in one of ``TREES`` trees over ``TREE_BITS`` bits each, drawn with a fixed seed;
+a leaf is searched by a vantage-point tree (``vantage_pairs``), exact at that radius, which cuts clusters of near copies off from other texts;
 ``forest`` gives more bits to over 2**20 texts, so that leaves stay as small, and as many more trees as keep the chance to meet.
 Every proposed pair is told by the Jaccard similarity of its shingles themselves. A leaf with more than ``PAIRS`` pairs a text
 proposes none: its texts' sets of shingles are brought to the leaf and told there, all against all, as products of incidence
@@ -43,6 +44,7 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 BRANCH, LEAF, SHARDS, CROWD = 50_000, 64, 128, 1024
 WIDE_SHINGLE, WIDE_WORDS, WIDE_RADIUS, TREES, TREE_BITS, PAIRS = 5, 4, 58, 64, 14, 32
 ALIKE = (4, 5)
+RING = 64 * WIDE_WORDS // 4  # unrelated fingerprints differ in twice as many bits
 LEAF_ROWS, SLICE = 50_000, 16_384  # rows of a task's group of leaves, and of a slice of a hot leaf
 
 
@@ -286,13 +288,44 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _near_pairs(points: np.ndarray, own: np.ndarray):
-    """(a, b, differing bits) of the pairs within the wide radius, a block of ``own`` at a time."""
-    for at in range(0, len(own), 256):
-        block, rest = own[at : at + 256], own[at:]
-        d = _far(points[block][:, None], points[rest][None, :])
-        x, y = np.nonzero((d <= WIDE_RADIUS) & (np.arange(len(rest))[None, :] > np.arange(len(block))[:, None]))
-        yield block[x], rest[y], d[x, y]
+def vantage_pairs(points: np.ndarray, leaf: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], int]:
+    """(a, b) within the wide radius of one leaf, hot leaves (points, leaf) of over ``LEAF`` points and ``bound`` pairs a point,
+    and how many distances were taken. ``leaf`` is sorted.
+
+    Each leaf is a vantage-point tree, and all trees grow a level at a time. The first point of a branch is its vantage; its
+    distances to the others tell its own pairs, and the rest is cut in a ring around it and what is beyond, if these
+    are more than the radius apart, as by the triangle bound no pair joins them then. No cut can be made where distances are closer."""
+    _, at, size = np.unique(leaf, return_index=True, return_counts=True)
+    own = np.repeat(np.arange(len(size)), size)  # a point's leaf, by number
+    found, hot, taken = np.zeros(len(size), np.int64), np.zeros(len(size), bool), 0
+    left, branch, all_a, all_b = np.arange(len(leaf)), own, [], []
+    while len(left):
+        head = np.flatnonzero(np.diff(branch, prepend=-1))
+        vantage = np.repeat(left[head], np.diff(np.append(head, len(left))))
+        rest = left != vantage
+        left, branch, vantage = left[rest], branch[rest], vantage[rest]
+        if not len(left):
+            break
+        d = _far(points[left], points[vantage])
+        taken += len(d)
+        near = d <= WIDE_RADIUS
+        all_a.append(vantage[near])
+        all_b.append(left[near])
+        found += np.bincount(own[left[near]], minlength=len(size))
+        hot = (size > LEAF) & (found > bound * size)
+        inner, head = d <= RING, np.flatnonzero(np.diff(branch, prepend=-1))
+        edge, beyond = np.maximum.reduceat(np.where(inner, d, -1), head), np.minimum.reduceat(np.where(inner, 1 << 30, d), head)
+        apart = (beyond - edge > WIDE_RADIUS) & (edge >= 0) & (beyond < 1 << 30)
+        nth = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(left))))
+        branch = 2 * nth + (apart[nth] & ~inner)
+        keep = ~hot[own[left]]
+        left, branch = left[keep], branch[keep]
+        if apart.any():
+            order = np.argsort(branch, kind="stable")
+            left, branch = left[order], branch[order]
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (all_a, all_b))
+    fine = ~hot[own[a]]
+    return a[fine], b[fine], [(int(size[k]), int(leaf[at[k]])) for k in np.flatnonzero(hot)], taken
 
 
 def _propose(bound: int, depth: int = TREE_BITS):
@@ -303,27 +336,7 @@ def _propose(bound: int, depth: int = TREE_BITS):
         frame = frame.sort_values(["leaf", "rep"], ignore_index=True)
         points = np.stack([frame[c].to_numpy() for c in WIDE], 1).view(np.uint64)
         leaf, rep, tree = frame["leaf"].to_numpy(), frame["rep"].to_numpy(), int(frame["tree"].iloc[0])
-        first = np.flatnonzero(np.concatenate(([True], np.diff(leaf) != 0)))
-        size = np.diff(np.append(first, len(leaf)))
-        small = np.repeat(size <= LEAF, size)
-        all_a, all_b, hot = [], [], []
-        for step in range(1, min(LEAF, int(size.max()))):
-            a = np.flatnonzero((leaf[step:] == leaf[:-step]) & small[step:])
-            a = a[_far(points[a], points[a + step]) <= WIDE_RADIUS]
-            all_a.append(a)
-            all_b.append(a + step)
-        for at, n in zip(first[size > LEAF].tolist(), size[size > LEAF].tolist()):
-            found, many = [], 0
-            for a, b, _ in _near_pairs(points, np.arange(at, at + n)):
-                found.append((a, b))
-                many += len(a)
-                if many > bound * n:
-                    hot.append((n, int(leaf[at])))
-                    break
-            else:
-                all_a += [a for a, _ in found]
-                all_b += [b for _, b in found]
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (all_a, all_b))
+        a, b, hot, _ = vantage_pairs(points, leaf, bound)
         if len(a) and tree:  # a pair is proposed by the first tree in which it meets
             used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
             before = leaves_of(points[used], tree, depth)

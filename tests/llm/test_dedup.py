@@ -351,6 +351,27 @@ def test_similar_texts_are_found(spark):
     assert len(simhash.near_dedup(docs(spark)).collect()) < len(rows()) and simhash.near_dedup(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 3, 1000])
+def test_vantage_trees_of_leaves(bound):
+    """The near stage's search in leaves: all pairs within the radius, hot leaves named, and distances that the triangle bound spares."""
+    r = np.random.default_rng(4)
+    points, leaf = r.integers(0, 1 << 63, (500, simhash.WIDE_WORDS)).astype(np.uint64), np.sort(r.integers(0, 5, 500)) ** 2
+    for k in range(0, 450, 3):  # clusters of near copies, some at the radius
+        points[k + 1] = points[k] ^ np.uint64(1 << k % 60)
+        flips = np.zeros(64 * simhash.WIDE_WORDS, np.uint8)
+        flips[r.permutation(len(flips))[: 8 if k < 300 else 54 + k % 9]] = 1
+        points[k + 2] = points[k] ^ np.packbits(flips, bitorder="little").view(np.uint64)
+    far = np.bitwise_count(points[:, None] ^ points[None, :]).sum(axis=2)
+    want = {(a, b) for a, b in np.argwhere(far <= simhash.WIDE_RADIUS).tolist() if a < b and leaf[a] == leaf[b]}
+    size = {x: int((leaf == x).sum()) for x in leaf.tolist()}
+    hot = {x for x in size if size[x] > simhash.LEAF and sum(leaf[a] == x for a, _ in want) > bound * size[x]}
+    a, b, found, taken = simhash.vantage_pairs(points, leaf, bound)
+    assert sorted((min(p), max(p)) for p in zip(a.tolist(), b.tolist())) == sorted(p for p in want if leaf[p[0]] not in hot)
+    assert sorted(found) == sorted((size[x], x) for x in hot) and len(want) > 300 and (bound or hot)
+    assert taken < sum(n * (n - 1) // 2 for n in size.values())
+    assert [len(x) for x in simhash.vantage_pairs(points[:0], leaf[:0], bound)[:3]] == [0, 0, 0]
+
+
 def test_shared_counts():
     r = np.random.default_rng(4)
     sets = [np.unique(r.integers(0, 60, r.integers(0, 30))) for _ in range(40)]
