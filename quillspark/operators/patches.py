@@ -1,12 +1,12 @@
-"""Merge patches of nested JSON documents as joins on paths: a base and any number of patches fold into one document at once.
+"""Merge patches of nested JSON documents: a base and any number of patches fold into one document.
 
-A patch replaces what it names, descends where both sides are objects, and deletes with null. Documents become rows, one for each node:
-objects, and leaves (scalars and arrays) with their JSON. A node survives if no later patch has a leaf or a null at it or above it,
-and a leaf also if no later patch has an object in its place (an object in an array's place ends the array); since this doesn't depend on an order of application, all patches of
-a document are folded by two joins on (document, path), whatever their number. The survivors are put together level by level.
+A patch replaces what it names, descends where both sides are objects, and deletes with null; one that is no object takes the whole
+document's place. Texts are dealt by document and sorted by place, once; a task walks them in Arrow batches with one state, the document at hand, so memory is
+bounded by a batch and a document, however many patches it has. Nothing is written but that shuffle, whose rows are the given texts: nodes as
+rows would repeat their document and path at each step. A document's patches are walked by one task.
 
-With ``by_id``, an array of objects that all have an id of their own is a node whose children are its elements, so a later array of such
-elements merges into it: same ids merge, new ones and elements without an id follow in their order. An array that got an element
+With ``by_id``, an array below the root whose objects with an id all have one of their own merges into one of such elements: same ids merge, new
+ones and elements without an id, as they are, follow in their order. An array that got an element
 without an id, or that repeats one, is replaced by the next array as any other.
 
 A text that isn't JSON changes nothing; a null in the base stays; keys of ``BLOCKED`` are ignored in patches. Keys come in
@@ -16,90 +16,145 @@ text counts. A null document is one of its own.
 
 from __future__ import annotations
 
+import json as js
+import sys
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Keys that a patch can't set.
 BLOCKED = ["__proto__", "prototype", "constructor"]
-NODE = "doc string, seq long, path array<string>, at struct<seq: bigint, place: int>, kind string, mixed boolean, text string"
-
-
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def nodes(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: bool = False) -> DataFrame:
-    """The nodes of all documents, read one level of nesting at a time: NODE. ``seq`` orders a document's patches; 0 is the base."""
-    name = F.coalesce(F.concat(F.lit("="), F.col(doc).cast("string")), F.lit("-"))
-    rows = patches.groupBy(name.alias("doc"), F.col(seq).cast("long").alias("seq")).agg(F.max(json).alias("json"))
-    level = rows.select("doc", "seq", F.array().cast("array<string>").alias("path"), F.struct("seq", F.lit(0).alias("place")).alias("at"), F.try_parse_json("json").alias("v")).where("v is not null")
-    spark, depth = patches.sparkSession, 0
-    while True:
-        level = _stored(level, f"{path}/level{depth}")
-        if depth and level.isEmpty():
-            return spark.read.schema(NODE).parquet(*[f"{path}/nodes{k}" for k in range(depth)])
-        shape = F.schema_of_variant("v")
-        elements = F.try_variant_get("v", "$", "array<variant>")
-        id_ = lambda x: F.when(F.schema_of_variant(F.coalesce(F.try_variant_get(x, "$.id", "variant"), F.parse_json(F.lit("0")))) == "STRING", F.nullif(F.try_variant_get(x, "$.id", "string"), F.lit("")))
-        ids = F.when(shape.startswith("ARRAY"), F.transform(elements, id_))
-        own = F.filter(ids, lambda x: x.isNotNull())
-        keyed = F.lit(by_id) & shape.startswith("ARRAY") & (F.size(F.array_distinct(own)) == F.size(own)) & ((F.size(own) > 0) | (F.size(elements) == 0))
-        kind = F.when(shape.startswith("OBJECT"), "object").when(F.coalesce(keyed, F.lit(False)), "array").when((shape == "VOID") & (F.col("seq") > 0), "null").otherwise("leaf")
-        level = level.withColumn("kind", kind).withColumn("ids", ids)
-        # each level's nodes are written: what follows reads them several times, and the plan doesn't grow with the levels
-        level.select("doc", "seq", "path", "at", "kind", ((F.col("kind") == "array") & F.exists("ids", lambda x: x.isNull())).alias("mixed"), F.when(F.col("kind") == "leaf", F.to_json("v")).alias("text")).write.parquet(f"{path}/nodes{depth}")
-        inside = level.where("kind = 'object'").select("doc", "seq", "path", F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("key", "v"))
-        inside = inside.where((F.col("seq") == 0) | ~F.col("key").isin(BLOCKED)).select("doc", "seq", F.array_append("path", F.col("key")).alias("path"), F.struct("seq", F.lit(0).alias("place")).alias("at"), "v")
-        parts = level.where("kind = 'array'").select("doc", "seq", "path", "ids", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("place", "v"))
-        key = F.coalesce(F.concat(F.lit("id:"), F.get("ids", F.col("place"))), F.concat_ws(":", F.lit("new"), "seq", "place"))
-        parts = parts.select("doc", "seq", F.array_append("path", key).alias("path"), F.struct("seq", "place").alias("at"), "v")
-        level, depth = inside.unionByName(parts), depth + 1
-
-
-def survivors(rows: DataFrame, path: str) -> DataFrame:
-    """doc, path, kind, text, at of the nodes that no later patch removes. Sides grow with the documents, so no join broadcasts one."""
-    before = W.partitionBy("doc", "path").orderBy("seq")
-    after_array = F.coalesce(F.lag("kind").over(before) == "array", F.lit(False))
-    merges = after_array & ~F.coalesce(F.lag("mixed").over(before), F.lit(False))
-    ends = F.col("kind").isin("leaf", "null") | ((F.col("kind") == "array") & ~merges) | ((F.col("kind") == "object") & after_array)
-    last_object = F.max(F.when(F.col("kind") == "object", F.col("seq"))).over(W.partitionBy("doc", "path"))
-    rows = _stored(rows.withColumn("ends", ends).withColumn("last_object", last_object), f"{path}/marked")
-    least = F.lit(rows.agg(F.min("seq")).first()[0])  # nothing is before it that it could end: with bases, most rows
-    ends = rows.where(F.col("ends") & (F.col("seq") > least)).groupBy("doc", "path").agg(F.max("seq").alias("last_end"))
-    kept = rows.where("kind <> 'null'")
-    above = F.transform(F.sequence(F.lit(0), F.size("path")), lambda n: F.slice("path", F.lit(1), n))
-    gone = kept.select("doc", "seq", F.col("path").alias("own"), F.explode(above).alias("path")).join(ends.hint("merge"), ["doc", "path"]).where("last_end > seq").select("doc", "seq", F.col("own").alias("path")).distinct()
-    kept = kept.join(gone.hint("merge"), ["doc", "seq", "path"], "left_anti").where((F.col("kind") == "object") | F.col("last_object").isNull() | (F.col("last_object") < F.col("seq")))
-    return kept.groupBy("doc", "path").agg(F.max_by("kind", "seq").alias("kind"), F.max_by("text", "seq").alias("text"), F.min("at").alias("at"))
-
-
-def rebuilt(kept: DataFrame, path: str) -> DataFrame:
-    """doc, json of the surviving nodes, from the deepest level up."""
-    kept = _stored(kept, f"{path}/kept")
-    deepest = kept.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
-    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
-    below = None
-    for depth in range(deepest, -1, -1):
-        here = kept.where(F.size("path") == depth)
-        if below is not None:
-            here = here.join(below.hint("merge"), ["doc", "path"], "left")
-            listed = F.coalesce("inside", F.array().cast("array<struct<at: struct<seq: bigint, place: int>, key: string, text: string>>"))
-            by_key = F.array_sort(F.transform(listed, lambda m: F.struct(m["key"].alias("key"), m["text"].alias("text"))))
-            members = lambda of, keys=False: F.array_join(F.transform(by_key if keys else listed, of), ",")
-            whole = F.when(F.col("kind") == "object", F.concat(F.lit("{"), members(lambda m: F.concat(quoted(m["key"]), F.lit(":"), m["text"]), True), F.lit("}")))
-            whole = whole.when(F.col("kind") == "array", F.concat(F.lit("["), members(lambda m: m["text"]), F.lit("]"))).otherwise(F.col("text"))
+#: Characters of documents that a batch of results holds at most, besides the last.
+BATCH_CHARS = 1 << 24
+ABSENT = ...  # the same object in every worker
+_ESCAPED = {n: f"\\u{n:04X}" for n in range(32)} | str.maketrans({'"': '\\"', "\\": "\\\\", "\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"})
+
+
+class _Number:
+    """A number with a fraction or an exponent, in the text's form."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+
+class _Keyed(list):
+    """An array with the places of its elements by id; None if one has no id."""
+
+    at: dict[str, int] | None
+
+
+_READ = js.JSONDecoder(parse_float=_Number, parse_constant=_Number).decode
+_WRITE = js.JSONEncoder(ensure_ascii=False, check_circular=False, sort_keys=True, separators=(",", ":")).encode
+
+
+def _id(x: object) -> str | None:
+    name = x.get("id") if type(x) is dict else None
+    return name if type(name) is str and name else None
+
+
+def _told_apart(v: list) -> bool:
+    """Some elements have an id (or there are none), and no id repeats."""
+    ids = [name for x in v if (name := _id(x))]
+    return len(set(ids)) == len(ids) and (bool(ids) or not v)
+
+
+def _joined(base: object, patch: list) -> list:
+    """Array ``patch`` merged by id into ``base``, or in its place if that has other elements."""
+    if not isinstance(base, _Keyed):
+        ids = [_id(x) for x in base] if isinstance(base, list) else [None]
+        fits = None not in ids and len(set(ids)) == len(ids)
+        base = _Keyed(base if fits else [])
+        base.at = {name: n for n, name in enumerate(ids)} if fits else {}
+    elif base.at is None:
+        base = _Keyed()
+        base.at = {}
+    at = base.at
+    for x in patch:
+        name = _id(x)
+        if name is None:
+            base.at = None  # for the next array
+            base.append(x)
+        elif name in at:
+            base[at[name]] = merged(base[at[name]], x, True)
+        else:
+            at[name] = len(base)
+            base.append(merged(ABSENT, x, True))
+    return base
+
+
+def merged(base: object, patch: object, by_id: bool) -> object:
+    """``base``, which may be changed in place, after ``patch``."""
+    if type(patch) is not dict:
+        return patch
+    out = base if type(base) is dict else {}
+    for k, v in patch.items():
+        if k in BLOCKED:
+            continue
+        if v is None:
+            out.pop(k, None)
+        elif by_id and type(v) is list and _told_apart(v):
+            out[k] = _joined(out.get(k), v)
         else:
-            whole = F.when(F.col("kind") == "object", "{}").when(F.col("kind") == "array", "[]").otherwise(F.col("text"))
-        here = here.select("doc", "path", "at", whole.alias("text"))
-        if depth == 0:
-            return here.select(F.when(F.col("doc") != "-", F.substring("doc", 2, 1 << 30)).alias("doc"), F.col("text").alias("json"))
-        member = F.struct("at", F.element_at("path", -1).alias("key"), "text")
-        below = here.select("doc", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), member.alias("m")).groupBy("doc", "path").agg(F.sort_array(F.collect_list("m")).alias("inside"))
-        below = _stored(below, f"{path}/inside{depth}")
-
-
-def folded(patches: DataFrame, doc: str, seq: str, json: str, path: str, by_id: bool = False) -> DataFrame:
-    """doc (as text), json: each document after all its patches. ``path``: a new folder for the levels."""
-    return rebuilt(survivors(nodes(patches, doc, seq, json, path, by_id), path), path)
+            out[k] = merged(out.get(k), v, by_id)
+    return out
+
+
+def _spelled(v: object) -> str:
+    if isinstance(v, _Number):
+        return v.text
+    if isinstance(v, str):
+        return f'"{v.translate(_ESCAPED)}"'
+    if isinstance(v, dict):
+        return "{" + ",".join([f"{_spelled(k)}:{_spelled(v[k])}" for k in sorted(v)]) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join([_spelled(x) for x in v]) + "]"
+    return "null" if v is None else str(v).lower()
+
+
+def _text(v: object) -> str:
+    """JSON as Spark writes it, with keys in alphabetical order. The quick writer knows no ``_Number`` and writes escapes by other digits."""
+    try:
+        text = _WRITE(v)
+    except TypeError:
+        return _spelled(v)
+    return _spelled(v) if "\\u00" in text else text
+
+
+def _after(state: object, seq: int | None, text: str, by_id: bool) -> object:
+    value = _READ(text)
+    return value if state is ABSENT and seq == 0 else merged(state, value, by_id)
+
+
+def _walk(by_id: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # Spark reads JSON to a depth of 1000
+        rows = chain.from_iterable(zip(*(b.column(k).to_pylist() for k in range(3))) for b in batches)
+        docs, texts, size, state, held = [], [], 0, ABSENT, next(rows, None)
+        while held is not None:
+            doc, seq, text = held
+            held = next(rows, None)
+            if held is not None and held[:2] == (doc, seq):
+                continue  # the greatest text of a place comes last
+            if text is not None:
+                state = _after(state, seq, text, by_id)
+            if held is not None and held[0] == doc:
+                continue
+            if state is not ABSENT:
+                docs.append(doc)
+                texts.append(_text(state))
+                size, state = size + len(texts[-1]), ABSENT
+            if size > BATCH_CHARS or held is None or len(docs) == 10_000:
+                yield pa.RecordBatch.from_pydict({"doc": pa.array(docs, pa.string()), "json": pa.array(texts, pa.string())})
+                docs, texts, size = [], [], 0
+
+    return run
+
+
+def folded(patches: DataFrame, doc: str, seq: str, json: str, path: str | None = None, by_id: bool = False) -> DataFrame:
+    """doc (as text), json: each document after all its patches. ``seq`` orders them; 0 is the base. ``path``: of no use, nothing is written."""
+    rows = patches.select(F.col(doc).cast("string").alias("doc"), F.col(seq).cast("long").alias("seq"), F.col(json).alias("json"))
+    rows = rows.repartition("doc").sortWithinPartitions("doc", "seq", "json").select("doc", "seq", F.to_json(F.try_parse_json("json")).alias("json"))
+    return rows.mapInArrow(_walk(by_id), "doc string, json string")
